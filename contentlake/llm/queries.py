@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentlake.llm import bpe_tree, compression_bands, language_ftrl, packing_gga, quality_cnn, token_spans, topk_segments, toxicity_fm
+from contentlake.llm import bpe_tree, compression_bands, language_ftrl, ngram_jaccard, packing_gga, quality_cnn, token_spans, topk_segments, toxicity_fm
 from contentlake.llm.common import documents, fold, labels, small_batches
 
 MULTI, BYTES, WORDS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_copies(documents(spark, sf_dir))
+
+
 def op3_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.section_tokens(documents(spark, sf_dir), public_tokenizers.path(BYTES), public_tokenizers.PATTERN)
 
@@ -72,9 +76,32 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s
+  FROM words
+), flat AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS root, doc_id FROM documents
+  UNION
+  SELECT r.root, l.b FROM reach r JOIN links l ON r.doc_id = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.c AS component_id
+FROM sets s JOIN (SELECT doc_id, min(root) AS c FROM reach GROUP BY doc_id) r ON s.doc_id = r.doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op10_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": OP10_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op10_topk": OP10_SQL}
