@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentlake.llm import bpe_tree, compression_bands, language_ftrl, ngram_jaccard, packing_gga, quality_cnn, token_spans, topk_segments, toxicity_fm
+from contentlake.llm import bpe_tree, compression_bands, katz, language_ftrl, ngram_jaccard, packing_gga, quality_cnn, token_spans, topk_segments, toxicity_fm
 from contentlake.llm.common import documents, fold, labels, small_batches
 
 MULTI, BYTES, WORDS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op8_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", compression_bands.judge_column().alias("j")).select("doc_id", "j.*")
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(documents(spark, sf_dir), fold("doc_id", 7) != 2)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_segments.topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
@@ -100,7 +104,7 @@ FROM sets s JOIN (SELECT doc_id, min(root) AS c FROM reach GROUP BY doc_id) r ON
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op10_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op9_katz, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
