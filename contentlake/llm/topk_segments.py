@@ -37,32 +37,44 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0))], 1) * np.sqrt(np.tile(width, 2))
 
 
+def products(rows: np.ndarray, others: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Dot products where ``alive``, minus infinity elsewhere: one by one if few are alive, else as a block."""
+    some, other = np.nonzero(alive)
+    if len(some) > 0.05 * alive.size:
+        return np.where(alive, rows @ others.T, -np.inf)
+    out = np.full(alive.shape, -np.inf)
+    for at in range(0, len(some), 65_536):
+        i, j = some[at : at + 65_536], other[at : at + 65_536]
+        out[i, j] = np.einsum("nd,nd->n", rows[i], others[j])
+    return out
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, at_once: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query, ids and scores of its k best rows of x; score descending, id ascending."""
-    coarse, fine = segment_features(x, LEVELS[0]), segment_features(x, LEVELS[1])
+    features = [segment_features(x, n) for n in LEVELS]
     for at in range(0, len(q), at_once):
-        rows = q[at : at + at_once]
-        own = x_ids[None, :] == q_ids[at : at + at_once, None]
-        bound = segment_features(rows, LEVELS[0]) @ coarse.T
-        bound[own] = -np.inf
-        slack = 1e-6 * (1 + np.abs(np.where(own, 0, bound)).max())
+        rows, ids = q[at : at + at_once], q_ids[at : at + at_once]
+        alive = x_ids[None, :] != ids[:, None]
+        bound = products(segment_features(rows, LEVELS[0]), features[0], alive)
+        slack = 1e-6 * (1 + np.abs(bound[alive]).max(initial=0))
         first = min(4 * k, len(x))
         probe = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        known = np.einsum("qd,qnd->qn", rows, x[probe])
-        known[np.take_along_axis(own, probe, 1)] = -np.inf
-        least = np.partition(known, first - min(k, first), axis=1)[:, first - min(k, first)]
-        some, other = np.nonzero(bound >= (least - slack)[:, None])
-        mine = segment_features(rows, LEVELS[1])
-        keep = np.concatenate([np.einsum("nd,nd->n", mine[some[i : i + 65536]], fine[other[i : i + 65536]]) >= least[some[i : i + 65536]] - slack for i in range(0, max(len(some), 1), 65536)])
-        keep &= ~own[some, other]
-        some, other = some[keep], other[keep]
-        score = np.concatenate([np.einsum("nd,nd->n", rows[some[i : i + 65536]], x[other[i : i + 65536]]) for i in range(0, max(len(some), 1), 65536)])
-        order = np.lexsort((x_ids[other], -score, some))
-        some, other, score = some[order], other[order], score[order]
+        known = np.where(np.take_along_axis(alive, probe, 1), np.einsum("qd,qnd->qn", rows, x[probe]), -np.inf)
+        least = np.partition(known, first - min(k, first), axis=1)[:, first - min(k, first), None]
+        alive &= bound >= least - slack
+        for segments, feature in zip(LEVELS[1:], features[1:], strict=True):
+            alive &= products(segment_features(rows, segments), feature, alive) >= least - slack
+        score = products(rows, x, alive)
+        most = min(k, len(x))
+        least = np.partition(score, len(x) - most, axis=1)[:, len(x) - most, None]
+        some, other = np.nonzero(alive & (score >= least))
+        value = score[some, other]
+        order = np.lexsort((x_ids[other], -value, some))
+        some, other, value = some[order], other[order], value[order]
         edges = np.searchsorted(some, np.arange(len(rows) + 1))
         for i in range(len(rows)):
             part = slice(edges[i], min(edges[i] + k, edges[i + 1]))
-            yield int(q_ids[at + i]), x_ids[other[part]], score[part]
+            yield int(ids[i]), x_ids[other[part]], value[part]
 
 
 def usable(vector: str = "embedding") -> Column:
