@@ -17,6 +17,8 @@ further columns are not read.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -32,14 +34,18 @@ from contentlake.llm.common import Scratch, small_batches
 CAPACITY, CLOSING, SHARD, ISLANDS, EPOCHS, LOOSE = 4096, 1, 8192, 2, 2, 0.985
 
 
+LAST_SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+
+
 class WordCoder:
     """Token ids of a text by a tokenizer that drops white space: words between ASCII white space are looked up.
 
     No token and no normalisation of this tokenizer crosses ASCII white space, so a text's ids are those of its
-    words in turn. Words seen first stay in memory up to a bound; others are kept for a while.
+    words in turn; nor does it tell A from a, or join a letter and a full stop or comma, which so become words of
+    their own. Words seen first stay in memory up to a bound; others are kept for a while.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 500_000):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
@@ -48,20 +54,27 @@ class WordCoder:
         self.recent: dict[bytes, bytes] = {}
         self.bound = bound
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.encode().split()
-        lasting, recent = self.lasting, self.recent
-        new = list({w for w in words if w not in lasting and w not in recent})
-        if new:
-            if len(recent) > self.bound // 4:
-                recent.clear()
-                new = list({w for w in words if w not in lasting})
-            for w, e in zip(new, self.coder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                (lasting if len(lasting) < self.bound else recent)[w] = np.array(e.ids, "<u4").tobytes()
-        if not recent:
-            return b"".join(map(lasting.__getitem__, words))
-        return b"".join([lasting[w] if w in lasting else recent[w] for w in words])
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; words not seen before are encoded in one call."""
+        split = [LAST_SIGN.sub(rb" \1", t.encode().lower()).split() for t in texts]
+        lasting = self.lasting
+        seen: set[bytes] = set()
+        for text in split:
+            seen.update(text)
+        new = seen.difference(lasting, self.recent)
+        if len(self.recent) + len(new) > self.bound:
+            self.recent = {}
+            new = seen.difference(lasting)
+        words = list(new)
+        encoded = self.coder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        for w, e in zip(words, encoded, strict=True):
+            (lasting if len(lasting) < self.bound else self.recent)[w] = array("I", e.ids).tobytes()
+        recent = self.recent
+        for text in split:
+            if recent:
+                yield b"".join([lasting[w] if w in lasting else recent[w] for w in text])
+            else:
+                yield b"".join(map(lasting.__getitem__, text))
 
 
 @lru_cache(maxsize=2)
@@ -77,8 +90,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         coder, closing = word_coder(path), np.array([CLOSING], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = coder.ids(text or "") + closing
+            for doc, data in zip(batch.column(0).to_pylist(), coder.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                data += closing
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc, n, at // 4, len(part) // 4, crc32(part)))
