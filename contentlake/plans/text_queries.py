@@ -170,7 +170,7 @@ RULE_SQL = f"""base AS (
   SELECT entry_id, contains(ft, 'then') AS h0,
     (regexp_matches(body_text, '(?i)stion?wh') OR starts_with(ft, 'el')) AND NOT lang = 'es' AS h1,
     length(body_text) > 5000 AND NOT contains(fb, '|') AS h2,
-    (folder_id = 'N3' OR folder_id = 'N4' OR {FOLD.format('(SELECT name FROM folders d WHERE d.folder_id = base.folder_id)')} = 'n4' OR lower(custom_title) = 'my src6') AND (ends_with(ft, '.') OR contains(lower(feed_name), 'feed src')) AS h3,
+    (folder_id = 'N3' OR {FOLD.format('(SELECT name FROM folders d WHERE d.folder_id = base.folder_id)')} = 'n4' OR lower(custom_title) = 'my src6') AND (ends_with(ft, '.') OR contains(lower(feed_name), 'feed src')) AS h3,
     entry_id IN (SELECT entry_id FROM entry_tags WHERE NOT deleted AND tag = 'long') AS h4 FROM base
 ), acts AS (
   SELECT entry_id, 'Thens' AS rule, 'tag' AS action, 'then' AS value FROM hits WHERE h0
