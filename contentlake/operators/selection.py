@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentlake.operators import search
-from contentlake.operators.tree import descendants
+from contentlake.operators.tree import descendants, values
 
 DAY_MS = 86_400_000
 
@@ -48,7 +48,7 @@ def select_entries(archive, wanted: Selection) -> DataFrame:
     if wanted.folder_ids is not None:
         feeds = archive.feeds.join(descendants(archive.folders, list(wanted.folder_ids)), "folder_id", "left_semi").select("feed_id")
         if wanted.feed_ids is not None:
-            feeds = feeds.union(archive.spark.createDataFrame([(f,) for f in wanted.feed_ids], "feed_id string"))
+            feeds = feeds.union(values(archive.spark, wanted.feed_ids, "feed_id"))
         rows = rows.join(feeds, "feed_id", "left_semi")
     elif wanted.feed_ids is not None:
         rows = rows.filter(F.col("feed_id").isin(list(wanted.feed_ids)))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentlake.operators.tree import descendants
+from contentlake.operators.tree import descendants, values
 
 DAY_MS = 86_400_000
 KEY = ("entity_id", "field")
@@ -93,7 +93,7 @@ def scope_feeds(archive, scope: Scope) -> DataFrame | None:
     """feed_id in scope; None if all are."""
     if scope.folder_ids is None and scope.feed_ids is None:
         return None
-    feeds = archive.spark.createDataFrame([(f,) for f in scope.feed_ids or []], "feed_id string")
+    feeds = values(archive.spark, scope.feed_ids or [], "feed_id")
     if scope.folder_ids is not None:
         feeds = feeds.union(archive.feeds.join(descendants(archive.folders, list(scope.folder_ids)), "folder_id", "left_semi").select("feed_id"))
     return feeds.distinct()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 64
@@ -29,11 +31,27 @@ def closure(folders: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return pairs
 
 
+def values(spark: SparkSession, items: Sequence[str], name: str) -> DataFrame:
+    """A column of given strings, made by Spark itself."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, items)).cast("array<string>")).alias(name))
+
+
 def descendants(folders: DataFrame, seeds: list[str]) -> DataFrame:
-    """folder_id of the seeds (which are kept even if unknown) and everything below them."""
-    below = closure(folders).filter(F.col("ancestor").isin(seeds)).select("folder_id")
-    given = folders.sparkSession.createDataFrame([(s,) for s in seeds], "folder_id string")
-    return below.union(given).distinct()
+    """folder_id of the seeds (which are kept even if unknown) and everything below them.
+
+    One recursive plan without an action of its own; a folder's path ends a cycle.
+    """
+    spark = folders.sparkSession
+    given = values(spark, seeds, "folder_id")
+    below = """
+    WITH RECURSIVE below(folder_id, path) AS (
+      SELECT folder_id, array(folder_id) FROM {given}
+      UNION ALL
+      SELECT f.folder_id, array_append(b.path, f.folder_id) FROM below b JOIN {folders} f ON f.parent_id = b.folder_id
+      WHERE NOT array_contains(b.path, f.folder_id)
+    )
+    SELECT DISTINCT folder_id FROM below"""
+    return spark.sql(below, given=given, folders=folders.select("folder_id", "parent_id"))
 
 
 def rollup(folders: DataFrame, by_folder: DataFrame, value: str) -> DataFrame:

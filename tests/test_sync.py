@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from contentlake.operators import search, sync
-from contentlake.operators.tree import closure, rollup
+from contentlake.operators.tree import closure, descendants, rollup
 
 SCHEMA = "seq long, device_id string, lamport long, entity_id long, field string, val string, ts_ms long"
 OPS = [(k, "ab"[k % 2], k // 3, k % 4, "xy"[k % 2], f"v{k}", k) for k in range(60)]
@@ -64,6 +64,7 @@ def test_deep_tree_with_a_cycle(spark):
     folders = spark.createDataFrame(rows, "folder_id string, parent_id string")
     pairs = {tuple(r) for r in closure(folders).collect()}
     assert {d for a, d in pairs if a == "a"} == set("abcde") and {d for a, d in pairs if a == "x"} == {"x", "y"} and ("lost", "lost") in pairs
+    assert {r[0] for r in descendants(folders, ["c", "x", "none"]).collect()} == {"c", "d", "e", "x", "y", "none", "lost"}
     own = spark.createDataFrame([("c", 3), ("e", 5)], "folder_id string, unread int")
     got = {r["folder_id"]: r["unread"] for r in rollup(folders, own, "unread").collect()}
     assert got["a"] == 8 and got["d"] == 5 and got["lost"] == 0
