@@ -36,3 +36,8 @@ def id_of(ms: Column, random: Column) -> Column:
     """A sortable id: ten digits of time, sixteen from a hexadecimal hash."""
     time = F.concat(*(F.substring(F.lit(DIGITS), (F.shiftrightunsigned(ms, 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(9, -1, -1)))
     return F.concat(time, F.upper(F.substring(random, 1, 16)))
+
+
+def asset_name(url: Column) -> Column:
+    """The name of an image in an export: the start of its address's sha1."""
+    return F.substring(F.sha1(url), 1, 16)

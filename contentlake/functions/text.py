@@ -123,6 +123,12 @@ def iso_date(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
 
 
+def long_date(ms: Column, months: list[str]) -> Column:
+    """Day, name of the month, year; the twelve names are a language's."""
+    at = F.timestamp_millis(ms)
+    return F.concat_ws(" ", F.dayofmonth(at).cast("string"), F.element_at(F.array(*map(F.lit, months)), F.month(at)), F.year(at).cast("string"))
+
+
 def reading_minutes(words: Column, per_minute: int = 220) -> Column:
     """Whole minutes, rounded up; none for no words."""
     return F.when(words <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(words / per_minute))).cast("long")
