@@ -5,7 +5,7 @@ A text's set is that of its distinct five-word shingles. Two texts link when 100
 1. Documents with equal sets are one class; only classes are compared, and members get their class's result.
 2. A class of which more than a quarter of all shingles are its own alone can't link: a partner shares at least
    three quarters. Own shingles are counted on a fixed share of the shingle domain, which can only understate
-   them. The step is repeated among the classes that are left.
+   them. The step is repeated on all shingles among the classes that are left.
 3. PartEnum: a band of set sizes up to e has a Hamming limit k = 2e/7 (|r| + |s| over 7 is the largest difference
    of linked sets). The shingle domain is hashed into n1 groups of n2 parts, 2 * n1 > k. A pair within the limit
    differs in at most one part of some group, so it agrees on one of the group's subsets of n2 - 1 parts; the
@@ -13,10 +13,14 @@ A text's set is that of its distinct five-word shingles. Two texts link when 100
    Subsets without shingles are left out, unless a set fills so few groups that such a one could be all that a
    pair agrees on (2 * groups with two filled parts <= n / 3); then it gives those as well. Small sets have groups
    of one part, and more of them.
-4. In a signature's bucket every class is compared with the smallest. Buckets whose classes then lie in one
-   component are done; in others each class outside the smallest one's component is compared with every class of
-   another component. After that each pair that shares a signature has been compared or lies in one component
-   anyhow: no link is lost, and a large group of near copies costs links in proportion to its size.
+4. A bucket's leader is the class with the smallest share of shingles of its own: of a group of near copies that
+   is one close to what they were copied from. Every class of a bucket is compared with its leader; a leader's
+   cluster is all that were. Pairs that share a signature are in one cluster, at least.
+5. Members of a cluster that link to the leader are connected. Each other one is compared with every member that
+   isn't known to be connected to it, unless bounds rule a link out: two sets share at most what they share with the leader
+   plus what they hold besides it and not alone, and at most the sum of lesser counts over 64 hashed bins. After
+   that each pair that shares a signature has been compared, ruled out, or is connected anyhow: no link
+   is lost, and a large group of near copies costs links in proportion to its size.
 
 All comparisons are exact (of 64-bit hashes of shingles).
 
@@ -34,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentlake.llm.common import Scratch, small_batches
@@ -43,8 +47,10 @@ from contentlake.llm.components import components
 WORDS, PERCENT = 5, 75
 #: Share of the shingle domain on which own shingles are counted, and bits kept of a hash there.
 SHARE, KEPT_BITS = 0.4, 44
-#: Parts of a group and how many may differ; classes of this size at most are sent to all tasks.
+#: Parts of a group and how many may differ; tables of two numbers a row are sent to all tasks up to so many rows.
 PARTS, DIFFER, BROADCAST_ROWS = 3, 1, 2_000_000
+#: Bins of the last bound.
+BINS = 64
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -81,24 +87,38 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls (hash of the set, null if empty) and own: the part of the set that step 2 counts on."""
+    """doc_id, n and cls: the set's size and hash (null if empty)."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, limit = WordHash(), np.uint64(int(SHARE * 2**64))
+        known = WordHash()
         for batch in batches:
             sets = [shingles(t, known) for t in batch.column(1).to_pylist()]
-            part = [s[: np.searchsorted(s, limit)] >> np.uint64(64 - KEPT_BITS) for s in sets]
-            own = pa.ListArray.from_arrays(np.cumsum([0, *map(len, part)]).astype(np.int32), np.concatenate([*part, np.zeros(0, np.uint64)]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()), own], ["doc_id", "n", "cls", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "cls"])
+
+    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, cls long")
+
+
+def shares(docs: DataFrame) -> DataFrame:
+    """(cls, h): the part of every set that step 2 counts on. Cutting texts again costs less than keeping this."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, limit = WordHash(), np.uint64(int(SHARE * 2**64))
+        for batch in batches:
+            sets = [s for t in batch.column(0).to_pylist() if len(s := shingles(t, known))]
+            for at in range(0, len(sets), 100):
+                part = [(s[: np.searchsorted(s, limit)] >> np.uint64(64 - KEPT_BITS)).astype(np.int64) for s in sets[at : at + 100]]
+                names = np.array([set_hash(s) for s in sets[at : at + 100]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(p) for p in part])), pa.array(np.concatenate(part))], ["cls", "h"])
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, cls long, own array<long>")
+    return docs.select("text").mapInArrow(share, "cls long, h long")
 
 
 def linkable(classes: DataFrame, shares: DataFrame) -> DataFrame:
-    """Classes (cls, n, ...) without those that have over a quarter of their shingles (cls, h) to themselves."""
+    """Classes (cls, n, ...) without those that have over a quarter of their shingles (cls, h) to themselves; and how
+    many of those each has (alone)."""
     alone = shares.groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).filter("cls = other")
     counts = alone.groupBy("cls").agg(F.count("*").alias("alone"))
-    return classes.join(counts, "cls", "left").filter(100 * F.coalesce("alone", F.lit(0)) <= (100 - PERCENT) * F.col("n")).drop("alone")
+    return classes.join(counts, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(100 * F.col("alone") <= (100 - PERCENT) * F.col("n"))
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -156,67 +176,96 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def members(sets: DataFrame) -> DataFrame:
-    """(sig, cls) for every signature of every set."""
+    """(sig, own, cls) for every signature of every set; own: thousandths of shingles that no other class has."""
 
     def enumerate_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            ids, own, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), 100):
                 found = [signatures(flat[offsets[k] : offsets[k + 1]].view(np.uint64)) for k in range(at, min(at + 100, len(ids)))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids[at : at + 100], [len(f) for f in found]))], ["sig", "cls"])
+                count = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(own[at : at + 100], count)), pa.array(np.repeat(ids[at : at + 100], count))], ["sig", "own", "cls"])
+
+    own = (1000 * F.col("alone") / F.size("s")).cast("int").alias("own")
+    return sets.select("cls", own, "s").mapInArrow(enumerate_parts, "sig long, own int, cls long")
 
-    return sets.select("cls", "s").mapInArrow(enumerate_parts, "sig long, cls long")
 
+def measured(pairs: DataFrame, sets: DataFrame, a: str = "lead", b: str = "cls") -> DataFrame:
+    """The pairs with i, the size of their intersection. Each pair carries one set to where the other is."""
+    given = pairs.join(sets.select(F.col("cls").alias(b), F.col("s").alias("_b")), b)
+    both = given.join(sets.select(F.col("cls").alias(a), F.col("s").alias("_a")), a)
+    return both.select(a, b, F.size(F.array_intersect("_a", "_b")).alias("i"))
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a")
-    with_both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    common = with_both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return common.filter(100 * F.col("i") >= PERCENT * (F.col("t") - F.col("i"))).select("a", "b")
 
+def enough(common: Column, sizes: Column) -> Column:
+    """Do sets of together ``sizes`` shingles link if they share ``common``?"""
+    return (100 + PERCENT) * common >= PERCENT * sizes
 
-def size_fits(a: str, b: str):
-    return (100 * F.least(a, b)) >= PERCENT * F.greatest(a, b)
+
+def bins(sets: DataFrame) -> DataFrame:
+    """cls, n, held (shingles that other classes have too) and counts over hashed bins."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            offsets, flat = lists.offsets.to_numpy(), (mixed(lists.values.to_numpy(zero_copy_only=False).view(np.uint64) + _M2) % np.uint64(BINS)).astype(np.int64)
+            rows = [np.bincount(flat[i:j], minlength=BINS) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            values = pa.ListArray.from_arrays(np.arange(0, BINS * len(rows) + 1, BINS, dtype=np.int32), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), values], ["cls", "n", "held", "bins"])
+
+    n = F.size("s").cast("long")
+    return sets.select("cls", n.alias("n"), (n - F.col("alone")).alias("held"), "s").mapInArrow(count, "cls long, n long, held long, bins array<int>")
+
+
+def stragglers(cluster: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one cluster that aren't known to be connected and that no bound rules out.
+
+    cluster: lead, cls, i, linked (to the lead). Members linked to their lead are connected; so are members with
+    the same smallest lead.
+    """
+    leads = cluster.select("lead").distinct().join(facts.select(F.col("cls").alias("lead"), F.col("n").alias("i")), "lead")
+    every = cluster.select("lead", "cls", F.col("i").cast("long").alias("i"), "linked").unionByName(leads.select("lead", F.col("lead").alias("cls"), "i", F.lit(True).alias("linked")))
+    known = every.filter("linked").groupBy("cls").agg(F.min("lead").alias("comp"))
+    rows = every.join(facts, "cls").join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    x = rows.filter("NOT linked").select(F.col("lead").alias("x_lead"), *(F.col(c).alias(f"x_{c}") for c in ("cls", "i", "n", "held", "bins", "comp")))
+    sizes = F.col("n") + F.col("x_n")
+    shared = F.least("i", "x_i") + F.least(F.col("held") - F.col("i"), F.col("x_held") - F.col("x_i"))
+    binned = F.aggregate(F.zip_with("bins", "x_bins", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+    apart = (F.col("comp") != F.col("x_comp")) & (F.col("linked") & (F.col("cls") != F.col("lead")) | ~F.col("linked") & (F.col("cls") < F.col("x_cls")))
+    fits = 100 * F.least("n", "x_n") >= PERCENT * F.greatest("n", "x_n")
+    found = x.join(rows, (F.col("x_lead") == F.col("lead")) & apart & fits & enough(shared, sizes) & enough(binned, sizes))
+    return found.select(F.least("cls", "x_cls").alias("a"), F.greatest("cls", "x_cls").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     small_batches(docs.sparkSession, 1000)
     scratch = Scratch(docs.sparkSession)
-    profile = scratch.save(profiles(docs), "profile")
-    slim = scratch.save(profile.select("doc_id", "n", "cls"), "slim")
+    slim = scratch.save(profiles(docs), "slim")
     classes = slim.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
-    left = scratch.save(linkable(classes, profile.filter("n > 0").select("cls", F.explode("own").alias("h"))), "left")
-    scratch.drop(profile)
+    left = scratch.save(linkable(classes, shares(docs)), "left")
     sets = scratch.save(sets_of(docs, left).dropDuplicates(["cls"]), "sets")
-    for _ in range(2):
-        fewer = linkable(sets.select("cls", F.size("s").alias("n"), "s"), sets.select("cls", F.explode("s").alias("h")))
-        kept = scratch.save(fewer.select("cls", "s"), "sets")
-        scratch.drop(sets)
-        sets = kept
-    sized = sets.select("cls", F.size("s").alias("n"))
+    fewer = linkable(sets.select("cls", F.size("s").alias("n"), "s"), sets.select("cls", F.explode("s").alias("h")))
+    kept = scratch.save(fewer.select("cls", "alone", "s"), "sets")
+    scratch.drop(sets)
+    sets = kept
     every = scratch.save(members(sets), "members")
-    shared = every.groupBy("sig").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last").select("sig", "first")
-    bucket = scratch.save(every.join(shared, "sig"), "buckets")
+    leaders = every.groupBy("sig").agg(F.min(F.struct("own", "cls")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("sig", F.col("first.cls").alias("lead"))
+    leaders = scratch.save(leaders, "leaders")
+    if leaders.count() <= BROADCAST_ROWS:
+        leaders = F.broadcast(leaders)
+    pairs = scratch.save(every.join(leaders, "sig").filter("cls <> lead").select("lead", "cls").distinct(), "pairs")
     scratch.drop(every)
-    stars = scratch.save(linked(fitting(bucket.filter("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), sized), sets), "stars")
-    found = scratch.save(components(stars, scratch), "components")
-    label = lambda node, name: found.select(F.col("node").alias(node), F.col("label").alias(name))
-    placed = bucket.join(label("cls", "c"), "cls", "left").join(label("first", "f"), "first", "left").select("sig", "cls", F.coalesce("c", "cls").alias("c"), F.coalesce("f", "first").alias("f"))
-    placed = scratch.save(placed, "placed")
-    outside = placed.filter("c <> f").select("sig", F.col("cls").alias("x"), F.col("c").alias("cx"))
-    cross = outside.join(placed.select("sig", "cls", "c"), "sig").filter("cx <> c").select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-    late = linked(fitting(cross, sized), sets)
+    facts = scratch.save(bins(sets), "facts")
+    size = lambda side: facts.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
+    found = measured(pairs, sets).join(size("lead"), "lead").join(size("cls"), "cls")
+    cluster = scratch.save(found.select("lead", "cls", "i", enough(F.col("i"), F.col("n_lead") + F.col("n_cls")).alias("linked")), "cluster")
+    late = measured(scratch.save(stragglers(cluster, facts), "stragglers"), sets, "a", "b").join(size("a"), "a").join(size("b"), "b")
+    late = late.filter(enough(F.col("i"), F.col("n_a") + F.col("n_b"))).select("a", "b")
+    stars = cluster.filter("linked").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
     label_of = components(stars.unionByName(late), scratch)
     named = classes.join(label_of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "label").select("cls", "component_id")
     return slim.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def fitting(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    size = lambda side: sized.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
-    return pairs.join(size("a"), "a").join(size("b"), "b").filter(size_fits("n_a", "n_b")).select("a", "b")
