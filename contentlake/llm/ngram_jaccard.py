@@ -14,8 +14,8 @@ A text's set is that of its distinct five-word shingles. Two texts link when 100
    pair agrees on (2 * groups with two filled parts <= n / 3); then it gives those as well. Small sets have groups
    of one part, and more of them.
 4. A bucket's leader is the class with the smallest share of shingles of its own: of a group of near copies that
-   is one close to what they were copied from. Every class of a bucket is compared with its leader; a leader's
-   cluster is all that were. Pairs that share a signature are in one cluster, at least.
+   is one close to what they were copied from. Every class of a bucket is compared with its leader, unless a bound
+   rules a link out; a leader's cluster is all of those classes. Pairs that share a signature are in one cluster, at least.
 5. Members of a cluster that link to the leader are connected. Each other one is compared with every member that
    isn't known to be connected to it, unless bounds rule a link out: two sets share at most what they share with the leader
    plus what they hold besides it and not alone, and at most the sum of lesser counts over 64 hashed bins. After
@@ -218,11 +218,25 @@ def bins(sets: DataFrame) -> DataFrame:
     return sets.select("cls", n.alias("n"), (n - F.col("alone")).alias("held"), "s").mapInArrow(count, "cls long, n long, held long, bins array<int>")
 
 
+def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (lead, cls) with ``open``: whether sizes, shared shingles and bins allow a link."""
+    side = lambda name, mark: facts.select(F.col("cls").alias(name), *(F.col(c).alias(f"{mark}_{c}") for c in ("n", "held", "bins")))
+    rows = pairs.join(side("lead", "x"), "lead").join(side("cls", "y"), "cls")
+    sizes = F.col("x_n") + F.col("y_n")
+    fits = 100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n")
+    return rows.select("lead", "cls", sizes.alias("sizes"), (fits & enough(F.least("x_held", "y_held"), sizes) & enough(binned("x_bins", "y_bins"), sizes)).alias("open"))
+
+
+def binned(a: str, b: str) -> Column:
+    """The sum of lesser counts over the bins: two sets share no more."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, c: t + c)
+
+
 def stragglers(cluster: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of one cluster that aren't known to be connected and that no bound rules out.
 
-    cluster: lead, cls, i, linked (to the lead). Members linked to their lead are connected; so are members with
-    the same smallest lead.
+    cluster: lead, cls, i (null if it wasn't measured), linked (to the lead). Members linked to their lead are
+    connected; so are members with the same smallest lead.
     """
     leads = cluster.select("lead").distinct().join(facts.select(F.col("cls").alias("lead"), F.col("n").alias("i")), "lead")
     every = cluster.select("lead", "cls", F.col("i").cast("long").alias("i"), "linked").unionByName(leads.select("lead", F.col("lead").alias("cls"), "i", F.lit(True).alias("linked")))
@@ -230,11 +244,11 @@ def stragglers(cluster: DataFrame, facts: DataFrame) -> DataFrame:
     rows = every.join(facts, "cls").join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     x = rows.filter("NOT linked").select(F.col("lead").alias("x_lead"), *(F.col(c).alias(f"x_{c}") for c in ("cls", "i", "n", "held", "bins", "comp")))
     sizes = F.col("n") + F.col("x_n")
-    shared = F.least("i", "x_i") + F.least(F.col("held") - F.col("i"), F.col("x_held") - F.col("x_i"))
-    binned = F.aggregate(F.zip_with("bins", "x_bins", lambda a, b: F.least(a, b)), F.lit(0), lambda t, c: t + c)
+    through_lead = F.least("i", "x_i") + F.least(F.col("held") - F.col("i"), F.col("x_held") - F.col("x_i"))
+    shared = F.when(F.col("i").isNotNull() & F.col("x_i").isNotNull(), through_lead).otherwise(F.least("held", "x_held"))
     apart = (F.col("comp") != F.col("x_comp")) & (F.col("linked") & (F.col("cls") != F.col("lead")) | ~F.col("linked") & (F.col("cls") < F.col("x_cls")))
     fits = 100 * F.least("n", "x_n") >= PERCENT * F.greatest("n", "x_n")
-    found = x.join(rows, (F.col("x_lead") == F.col("lead")) & apart & fits & enough(shared, sizes) & enough(binned, sizes))
+    found = x.join(rows, (F.col("x_lead") == F.col("lead")) & apart & fits & enough(shared, sizes) & enough(binned("bins", "x_bins"), sizes))
     return found.select(F.least("cls", "x_cls").alias("a"), F.greatest("cls", "x_cls").alias("b")).distinct()
 
 
@@ -252,15 +266,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sets = kept
     every = scratch.save(members(sets), "members")
     leaders = every.groupBy("sig").agg(F.min(F.struct("own", "cls")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("sig", F.col("first.cls").alias("lead"))
-    leaders = scratch.save(leaders, "leaders")
-    if leaders.count() <= BROADCAST_ROWS:
-        leaders = F.broadcast(leaders)
     pairs = scratch.save(every.join(leaders, "sig").filter("cls <> lead").select("lead", "cls").distinct(), "pairs")
     scratch.drop(every)
     facts = scratch.save(bins(sets), "facts")
     size = lambda side: facts.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
-    found = measured(pairs, sets).join(size("lead"), "lead").join(size("cls"), "cls")
-    cluster = scratch.save(found.select("lead", "cls", "i", enough(F.col("i"), F.col("n_lead") + F.col("n_cls")).alias("linked")), "cluster")
+    pairs = scratch.save(possible(pairs, facts), "possible")
+    found = measured(pairs.filter("open").select("lead", "cls"), sets).join(pairs, ["lead", "cls"])
+    closed = pairs.filter("NOT open").select("lead", "cls", F.lit(None).cast("int").alias("i"), F.lit(False).alias("linked"))
+    cluster = scratch.save(found.select("lead", "cls", "i", enough(F.col("i"), F.col("sizes")).alias("linked")).unionByName(closed), "cluster")
     late = measured(scratch.save(stragglers(cluster, facts), "stragglers"), sets, "a", "b").join(size("a"), "a").join(size("b"), "b")
     late = late.filter(enough(F.col("i"), F.col("n_a") + F.col("n_b"))).select("a", "b")
     stars = cluster.filter("linked").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
