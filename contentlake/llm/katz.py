@@ -1,8 +1,9 @@
 """LM scoring by Katz back-off over word pairs.
 
-Model. Tokens are a text's words and one end. The frequent words (at most ``FREQUENT``, those of at least some
-count) are told apart; all other words share one class, within which a word is drawn by its count plus one, with
-one unseen word more. Pair counts are discounted by Good and Turing up to count ``DISCOUNTED``; a context keeps
+Model. Tokens are a text's words and one end. All words of the training rows are told apart, however many; one
+unseen word more stands for all others. (Only a caller that asks for it, by ``frequent``, gets a class: then at most
+so many words are told apart, and the others share one class, within which a word is drawn by its count plus one,
+with one unseen word more.) Pair counts are discounted by Good and Turing up to count ``DISCOUNTED``; a context keeps
 one count in reserve. What the seen successors of a context leave over goes to all others in proportion to their
 unigram probability, with a weight that makes each context's probabilities add up to exactly 1. (A context that
 every word and the class have followed has nothing to back off to; its reserve stays unused.)
@@ -12,10 +13,15 @@ of bounded size by their context (and, for contexts larger than a share of a buc
 bucket counts its pairs, and returns its part of the context table, its documents' sums over seen pairs and the
 contexts of unseen ones. Once discounts and back-off weights are known, a pass over those parts adds up scores.
 Pairs of two words that both make up 1/128 of all tokens or more are dealt by document; they are at most
-2**14, and their counts are added up before use. Words of the shared class are looked up in buckets of their own.
+2**14, and their counts are added up before use.
+
+Only the ``NUMBERED`` most frequent words have numbers. A pair with another word travels as two 64-bit hashes: dealt by
+its second word if that has no number (whose count is then the bucket's own sum), else by its first. What follows a
+word without a number is gathered by that word once more, for its context's count and weight. (With a class, its
+words are looked up in buckets of their own.)
 Scores depend on the text alone, so they are kept by its hash, and copies add no rows to the result's sums.
 
-Driver and broadcasts hold counts and weights of the frequent words only. All counts are exact (of 64-bit hashes
+Driver and broadcasts hold counts and weights of the numbered words only. All counts are exact (of 64-bit hashes
 of words).
 
 Defined cases: null and empty texts are the end alone; texts of any length are read whole; repeated rows count
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 
 from contentlake.llm.common import Scratch, small_batches
 
-FREQUENT, DISCOUNTED, BUCKET, FLUSH, HOT = 1 << 20, 5, 3_000_000, 1_000_000, 128
+NUMBERED, DISCOUNTED, BUCKET, FLUSH, HOT = 1 << 18, 5, 3_000_000, 1_000_000, 128
 END = b"\n"  # no word holds one
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -51,6 +57,9 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+START = signed(xxhash.xxh3_64_intdigest(b" "))  # before a text; no word is a space
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
@@ -85,10 +94,12 @@ def count_words(texts: DataFrame) -> DataFrame:
 class Words:
     """The frequent words: their hashes in order, their counts, and the class of all others.
 
-    Numbers: a frequent word's place; ``rare`` for any other; ``start`` as the context of a first token.
+    Numbers: a frequent word's place; ``rare`` for any other; ``start`` as the context of a first token. With
+    ``apart``, the others are no class of the model: they only have no number.
     """
 
-    def __init__(self, table: DataFrame, bound: int):
+    def __init__(self, table: DataFrame, bound: int, apart: bool = False):
+        self.apart = apart
         level = F.least("c", F.lit(65_536)).alias("level")
         steps = table.groupBy(level).agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).orderBy(F.desc("level")).collect()
         self.tokens, self.types = sum(s["tokens"] for s in steps), sum(s["words"] for s in steps)
@@ -108,14 +119,21 @@ class Words:
 
     def finish(self, texts: int) -> None:
         """Context counts and log unigram probabilities by number."""
-        self.context = np.concatenate([self.counts, [self.rare_tokens, texts]]).astype(np.float64)
-        self.low = np.concatenate([self.counts, [self.rare_tokens + 1]]) / (self.tokens + 1)
+        rest = 0 if self.apart else self.rare_tokens
+        self.context = np.concatenate([self.counts, [rest, texts]]).astype(np.float64)
+        self.low = np.concatenate([self.counts, [rest + 1]]) / (self.tokens + 1)
 
     def number(self, word: bytes) -> int:
         h = signed(xxhash.xxh3_64_intdigest(word))
         k = int(np.searchsorted(self.hashes, h))
         return k if k < self.rare and self.hashes[k] == h else self.rare
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of hashes."""
+        hashes = np.append(self.hashes, np.int64(0))
+        k = np.searchsorted(self.hashes, h)
+        return np.where(h == START, self.start, np.where((k < self.rare) & (hashes[k] == h), k, self.rare))
+
 
 class Numbers(dict):
     def __init__(self, words: Words):
@@ -143,11 +161,12 @@ def deal(words: Words, buckets: int, rare_buckets: int, size: int) -> Callable[[
 
 
 SHARES = "bucket int, keys binary, texts binary, runs binary"
-PARTS = "kind int, a binary, b binary, c binary"
+PARTS = "kind int, a binary, b binary, deal int"
 
 
 def pack_pairs(docs: DataFrame, shared, buckets: int, rare_buckets: int, size: int) -> DataFrame:
-    """Rows of (bucket, keys, hashes of texts, run lengths): pairs of numbers, or hashes of rare words.
+    """Rows of (bucket, keys, hashes of texts, run lengths): pairs of numbers, pairs with a word that has none (two
+    hashes, or a hash and a number), or hashes of words of the shared class.
 
     ``docs`` has text and learn. The run of a text that isn't learned from has a negative length.
     """
@@ -155,6 +174,7 @@ def pack_pairs(docs: DataFrame, shared, buckets: int, rare_buckets: int, size: i
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         numbers, bucket, base = Numbers(words), deal(words, buckets, rare_buckets, size), words.rare + 2
+        known = np.append(words.hashes, np.int64(0))
         ids, lengths, texts, learn, rare, rare_at, held = [], [], [], [], [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -166,21 +186,36 @@ def pack_pairs(docs: DataFrame, shared, buckets: int, rare_buckets: int, size: i
             at = np.repeat(np.arange(len(run)), run)
             where, _ = bucket(a, b, text[at])
             key = a * base + b
-            if rare:
-                key = np.concatenate([key, np.array(rare, np.int64)])
-                where = np.concatenate([where, buckets + (mixed(key[len(b) :].view(np.uint64)) % np.uint64(rare_buckets)).astype(np.int64)])
-                at = np.concatenate([at, np.array(rare_at, np.int64)])
-            order = np.argsort(where, kind="stable")
-            key, where, at = key[order], where[order], at[order]
-            edge = np.flatnonzero(np.diff(where, prepend=-1, append=-1))
             rows = []
-            for i, j in zip(edge[:-1], edge[1:], strict=True):
-                new = np.flatnonzero(np.diff(at[i:j], prepend=-1))
-                runs = np.diff(np.append(new, j - i)).astype(np.int32)
-                who = at[i:j][new]
-                runs[~np.array(learn)[who]] *= -1
-                raw = np.ascontiguousarray(key[i:j]).view(np.uint8).reshape(-1, 8)
-                rows.append((int(where[i]), (raw if where[i] >= buckets else raw[:, :6]).tobytes(), text[who].tobytes(), runs.tobytes()))
+
+            def cut(key: np.ndarray, where: np.ndarray, at: np.ndarray, width: int) -> None:
+                order = np.argsort(where, kind="stable")
+                key, where, at = key[order], where[order], at[order]
+                edge = np.flatnonzero(np.diff(where, prepend=-1, append=-1))
+                for i, j in zip(edge[:-1], edge[1:], strict=True):
+                    new = np.flatnonzero(np.diff(at[i:j], prepend=-1))
+                    runs = np.diff(np.append(new, j - i)).astype(np.int32)
+                    who = at[i:j][new]
+                    runs[~np.array(learn)[who]] *= -1
+                    raw = np.ascontiguousarray(key[i:j]).view(np.uint8).reshape(j - i, -1)
+                    rows.append((int(where[i]), raw[:, :width].tobytes(), text[who].tobytes(), runs.tobytes()))
+
+            if words.apart:
+                odd = (a == words.rare) | (b == words.rare)
+                some = np.flatnonzero(odd)
+                is_rare = b == words.rare
+                hashed = np.cumsum(is_rare) - 1  # place in ``rare``
+                h = np.array([*rare, 0], np.int64)
+                second = is_rare[some]
+                left = np.where(a[some] == words.rare, h[hashed[some - 1]], np.where(a[some] == words.start, START, known[np.minimum(a[some], words.rare)]))
+                right = np.where(second, h[hashed[some]], b[some])
+                by = mixed(np.where(second, right, left).view(np.uint64)) % np.uint64(rare_buckets)
+                cut(np.stack([left, right], 1), buckets + np.where(second, 0, rare_buckets) + by.astype(np.int64), at[some], 16)
+                key, where, at = key[~odd], where[~odd], at[~odd]
+            elif rare:
+                h = np.array(rare, np.int64)
+                cut(h, buckets + (mixed(h.view(np.uint64)) % np.uint64(rare_buckets)).astype(np.int64), np.array(rare_at, np.int64), 8)
+            cut(key, where, at, 6)
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "texts", "runs"])
 
@@ -243,7 +278,7 @@ def resolve_rare(group: pd.DataFrame, words: Words) -> list[tuple]:
     count = np.where(h[place] == key, c[place], 0) if len(h) else np.zeros(len(key))
     within = np.log10((count + 1) / (words.rare_tokens + words.rare_types + 1))
     each, *sums = sums_by(text, within, np.log10(count + 1), count > 0)
-    return [(6, each.tobytes(), np.stack(sums, 1).tobytes(), b"")]
+    return [(6, each.tobytes(), np.stack(sums, 1).tobytes(), 0)]
 
 
 def count_bucket(group: pd.DataFrame, words: Words, both_hot: Callable) -> list[tuple]:
@@ -262,30 +297,101 @@ def count_bucket(group: pd.DataFrame, words: Words, both_hot: Callable) -> list[
     hot = both_hot(a, b)
     out = []
     cold = ~hot & (count > 0)
-    out.append((0, np.bincount(np.minimum(count[cold], DISCOUNTED + 2).astype(int), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tobytes(), b"", b""))
+    out.append((0, np.bincount(np.minimum(count[cold], DISCOUNTED + 2).astype(int), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tobytes(), b"", 0))
     if cold.any():
-        out.append((1, *context_part(a[cold], b[cold], count[cold], words), b""))
+        out.append((1, *context_part(a[cold], words.low[b[cold]], count[cold]), 0))
     seen, late = cold[place], hot[place]
     if seen.any():
         c, which = count[place[seen]], place[seen]
         value = np.log10(c) - np.log10(words.context[a[which]] + 1)
         each, *sums = sums_by(text[seen], value, *(c == r for r in range(1, DISCOUNTED + 1)))
-        out.append((2, each.tobytes(), np.stack(sums, 1).tobytes(), b""))
+        out.append((2, each.tobytes(), np.stack(sums, 1).tobytes(), 0))
     unseen = ~seen & ~late
     if unseen.any():
-        out.append((3, text[unseen].tobytes(), pair[place[unseen]].tobytes(), b""))
+        out.append((3, text[unseen].tobytes(), pair[place[unseen]].tobytes(), 0))
     if late.any():
-        out.append((4, text[late].tobytes(), key[late].tobytes(), b""))
-        out.append((5, pair[hot].tobytes(), count[hot].astype(np.int64).tobytes(), b""))
+        out.append((4, text[late].tobytes(), key[late].tobytes(), 0))
+        out.append((5, pair[hot].tobytes(), count[hot].astype(np.int64).tobytes(), 0))
+    return out
+
+
+def count_unnumbered(group: pd.DataFrame, words: Words, by_word: bool, deals: int) -> list[tuple]:
+    """A bucket of pairs with a word that has no number, of all pairs with their second word (or their first).
+
+    Parts as of other buckets, for contexts that have a number (8: unseen ones, with the unigram); what follows
+    other contexts, dealt by them (9); and for second words what base scores need (6).
+    """
+    key = np.frombuffer(b"".join(group["keys"]), np.int64).reshape(-1, 2)
+    run = np.frombuffer(b"".join(group["runs"]), np.int32)
+    text = np.repeat(np.frombuffer(b"".join(group["texts"]), np.int64), np.abs(run))
+    order = np.lexsort((key[:, 0], key[:, 1]))
+    ordered = key[order]
+    new_word = np.diff(ordered[:, 1], prepend=0) != 0
+    new_word[0] = True
+    new = new_word | (np.diff(ordered[:, 0], prepend=0) != 0)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    left, right, first = *ordered[new].T, order[new]
+    count = np.bincount(place, np.repeat(run > 0, np.abs(run)), len(left)).astype(np.int64)
+    out = []
+    if by_word:
+        word = np.cumsum(new_word[new]) - 1
+        unigram = np.bincount(word, count).astype(np.int64)[word]
+        each, *sums = sums_by(text, np.zeros(len(text)), np.log10(unigram[place] + 1), unigram[place] > 0)
+        out.append((6, each.tobytes(), np.stack(sums, 1).tobytes(), 0))
+        a = words.places(left)
+    else:
+        unigram, a = words.counts[right], np.full(len(left), words.rare)
+    low = np.maximum(unigram, 1) / (words.tokens + 1)
+    numbered, met = a != words.rare, count > 0
+    out.append((0, np.bincount(np.minimum(count[met], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tobytes(), b"", 0))
+    if (numbered & met).any():
+        out.append((1, *context_part(a[numbered & met], low[numbered & met], count[numbered & met]), 0))
+    seen = (numbered & met)[place]
+    if seen.any():
+        which = place[seen]
+        c = count[which]
+        each, *sums = sums_by(text[seen], np.log10(c) - np.log10(words.context[a[which]] + 1), *(c == r for r in range(1, DISCOUNTED + 1)))
+        out.append((2, each.tobytes(), np.stack(sums, 1).tobytes(), 0))
+    unseen = (numbered & ~met)[place]
+    if unseen.any():
+        which = place[unseen]
+        out.append((8, text[unseen].tobytes(), np.stack([a[which], np.log10(low[which])], 1).tobytes(), 0))
+    late = np.flatnonzero(~numbered[place])
+    if len(late):
+        sign = np.full(len(key), -1)
+        sign[first] = 1  # a pair's count enters its context once
+        which = place[late]
+        columns = (left[which], text[late], (count[which] * sign[late]).astype(np.int32), unigram[which].astype(np.uint32))
+        to = (mixed(columns[0].view(np.uint64)) % np.uint64(deals)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            rows = order[i:j]
+            out.append((9, columns[0][rows].tobytes(), b"".join(c[rows].tobytes() for c in columns[1:]), int(to[rows[0]])))
     return out
 
 
-def context_part(a: np.ndarray, b: np.ndarray, count: np.ndarray, words: Words) -> tuple[bytes, bytes]:
+def context_part(a: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
     """Per context: types of count 1 to DISCOUNTED, tokens of larger counts, unigram mass of what follows it."""
+    each, columns = context_sums(a, low, count)
+    return each.astype(np.int64).tobytes(), columns.tobytes()
+
+
+def context_sums(a: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     each, place = np.unique(a, return_inverse=True)
     columns = [np.bincount(place, count == r, len(each)) for r in range(1, DISCOUNTED + 1)]
-    columns += [np.bincount(place, np.where(count > DISCOUNTED, count, 0), len(each)), np.bincount(place, words.low[b], len(each))]
-    return each.astype(np.int64).tobytes(), np.stack(columns, 1).tobytes()
+    columns += [np.bincount(place, np.where(count > DISCOUNTED, count, 0), len(each)), np.bincount(place, low, len(each))]
+    return each, np.stack(columns, 1)
+
+
+def back_off(held: np.ndarray, context: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log10 back-off weights of contexts, from their sums and counts."""
+    r = np.arange(1, DISCOUNTED + 1)
+    spent = (held[:, :DISCOUNTED] @ (d[1:] * r) + held[:, DISCOUNTED]) / (context + 1)
+    rest = 1 - held[:, DISCOUNTED + 1]
+    alpha = np.where(rest > 1e-12, (1 - spent) / np.maximum(rest, 1e-12), 1.0)
+    return np.log10(np.maximum(alpha, 1e-300))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -302,28 +408,40 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def katz_scores(docs: DataFrame, learn: Column, frequent: int = FREQUENT, size: int = BUCKET) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; learns from rows where ``learn``."""
+def katz_scores(docs: DataFrame, learn: Column, frequent: int | None = None, size: int = BUCKET, numbered: int = NUMBERED) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; learns from rows where ``learn``.
+
+    All words are told apart, unless ``frequent`` asks for a class of all but so many.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     table = scratch.save(count_words(docs.filter("learn").select("text")), "words")
-    words = Words(table, frequent)
+    words = Words(table, numbered, True) if frequent is None else Words(table, frequent)
     end = signed(xxhash.xxh3_64_intdigest(END))
     ends = table.filter(F.col("h") == end).collect()
     words.finish(ends[0]["c"] if ends else 0)
     total = words.tokens * 7 // 6 + 1
     buckets, rare_buckets = -(-total // size), -(-max(words.rare_tokens, words.rare_types, 1) // size)
+    if words.apart:  # keys are longer
+        rare_buckets = -(-(words.rare_tokens * 4 // 3 + 1) // max(1, size // 8))
     shared = spark.sparkContext.broadcast(words)
 
     def reduce_bucket(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         w = shared.value
         hot = w.context >= max(w.tokens / HOT, size / 8)
-        rows = resolve_rare(group, w) if key[0] >= buckets else count_bucket(group, w, lambda a, b: hot[a] & hot[b])
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "c"])
-
-    dealt = pack_pairs(docs, shared, buckets, rare_buckets, size).unionByName(rare_words(table, shared, buckets, rare_buckets))
+        if key[0] < buckets:
+            rows = count_bucket(group, w, lambda a, b: hot[a] & hot[b])
+        elif w.apart:
+            rows = count_unnumbered(group, w, key[0] < buckets + rare_buckets, rare_buckets)
+        else:
+            rows = resolve_rare(group, w)
+        return pd.DataFrame(rows, columns=["kind", "a", "b", "deal"])
+
+    dealt = pack_pairs(docs, shared, buckets, rare_buckets, size)
+    if not words.apart:
+        dealt = dealt.unionByName(rare_words(table, shared, buckets, rare_buckets))
     parts = scratch.save(dealt.groupBy("bucket").applyInPandas(reduce_bucket, PARTS), "parts")
 
     hot = {int(r["key"]): int(r["c"]) for r in sum_hot(parts).collect()}  # at most HOT ** 2 pairs
@@ -395,11 +513,7 @@ def weights(parts: DataFrame, words: Words, hot: dict[int, int]) -> tuple[np.nda
         if c <= DISCOUNTED + 1:
             n[c] += 1
     d = discounts(n)
-    r = np.arange(1, DISCOUNTED + 1)
-    spent = (held[:, :DISCOUNTED] @ (d[1:] * r) + held[:, DISCOUNTED]) / (words.context + 1)
-    rest = 1 - held[:, DISCOUNTED + 1]
-    alpha = np.where(rest > 1e-12, (1 - spent) / np.maximum(rest, 1e-12), 1.0)
-    return n, np.log10(np.maximum(alpha, 1e-300)), d
+    return n, back_off(held, words.context, d), d
 
 
 def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
@@ -420,6 +534,10 @@ def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
                 elif kind == 2:
                     held = np.frombuffer(b).reshape(len(text), -1)
                     each, sums = text, (held[:, 0] + held[:, 1:] @ logs)[:, None]
+                elif kind == 8:
+                    left, right = np.frombuffer(b).reshape(-1, 2).T
+                    each, value = sums_by(text, alpha[left.astype(np.int64)] + right)
+                    sums = value[:, None]
                 else:
                     pair = np.frombuffer(b, np.int64)
                     left, right = pair // base, pair % base
@@ -431,11 +549,35 @@ def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
                         value = np.where(c > 0, np.log10(np.maximum(c, 1) * factor) - np.log10(words.context[left] + 1), value)
                     each, value = sums_by(text, value)
                     sums = value[:, None]
-                to = (mixed(each.view(np.uint64)) % np.uint64(deals)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
-                rows = [order[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
-                yield pd.DataFrame({"deal": [to[r[0]] for r in rows], "th": [each[r].tobytes() for r in rows], "sums": [sums[r].tobytes() for r in rows]})
+                yield by_text(each, sums)
+
+    def by_text(each: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+        to = (mixed(each.view(np.uint64)) % np.uint64(deals)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+        rows = [order[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        return pd.DataFrame({"deal": [to[r[0]] for r in rows], "th": [each[r].tobytes() for r in rows], "sums": [sums[r].tobytes() for r in rows]})
+
+    def after_unnumbered(group: pd.DataFrame) -> pd.DataFrame:
+        """Sums over pairs whose context has no number: the group has all that follows its contexts."""
+        tokens, (_, d, _) = shared.value.tokens, model.value
+        a, parts = np.frombuffer(b"".join(group["a"]), np.int64), []
+        for b in group["b"]:
+            n = len(b) // 16
+            parts.append((np.frombuffer(b, np.int64, n), np.frombuffer(b, np.int32, n, 8 * n), np.frombuffer(b, np.uint32, n, 12 * n)))
+        text, count, unigram = (np.concatenate(x) for x in zip(*parts, strict=True))
+        low = np.maximum(unigram, 1) / (tokens + 1)
+        each, place = np.unique(a, return_inverse=True)
+        once = count > 0
+        context = np.bincount(place, np.where(once, count, 0), len(each))
+        held = np.zeros((len(each), DISCOUNTED + 2))
+        met, sums = context_sums(place[once], low[once], count[once])
+        held[met] = sums
+        c = np.abs(count)
+        factor = np.append(d, 1.0)[np.minimum(c, DISCOUNTED + 1)]
+        value = np.where(c > 0, np.log10(np.maximum(c, 1) * factor) - np.log10(context[place] + 1), back_off(held, context, d)[place] + np.log10(low))
+        texts, value = sums_by(text, value)
+        return by_text(texts, value[:, None])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         text, sums = [], []
@@ -446,5 +588,6 @@ def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
         each, *columns = sums_by(np.concatenate(text), *np.concatenate(sums).T)
         return pd.DataFrame(dict(zip(("th", "score", "rare_base", "rare_known"), (each, *columns), strict=True)))
 
-    packed = parts.filter("kind in (2, 3, 4, 6)").select("kind", "a", "b").mapInPandas(resolve, "deal long, th binary, sums binary")
+    packed = parts.filter("kind in (2, 3, 4, 6, 8)").select("kind", "a", "b").mapInPandas(resolve, "deal long, th binary, sums binary")
+    packed = packed.unionByName(parts.filter("kind = 9").select("deal", "a", "b").groupBy("deal").applyInPandas(after_unnumbered, packed.schema))
     return packed.groupBy("deal").applyInPandas(total, "th long, score double, rare_base double, rare_known double")

@@ -421,6 +421,21 @@ def test_katz_against_brute_force(spark, monkeypatch, frequent, size, flush):
         assert abs(g["base_score"] - w[3]) < 1e-6 and abs(g["score"] - w[4]) < 1e-6
 
 
+@pytest.mark.parametrize("numbered,size,flush", [(1000, 4_000_000, 1_000_000), (6, 40, 50), (0, 40, 50), (0, 4_000_000, 1_000_000)])
+def test_katz_tells_all_words_apart_whatever_has_numbers(spark, monkeypatch, numbered, size, flush):
+    monkeypatch.setattr(katz, "FLUSH", flush)
+    r = random.Random(10)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [" ".join(r.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=r.randrange(0, 30))) for _ in range(80)] + [None, "", "W1 new\nnew words w1 w1", "W1 new\nnew words w1 w1", "w59 w58 w59 w58"]
+    learn = [k % 3 != 0 for k in range(len(texts))]
+    want, spread = brute_katz([t for t, x in zip(texts, learn, strict=True) if x], texts, 10**9)
+    assert all(abs(s - 1) < 1e-9 for s in spread)
+    got = katz.katz_scores(frame(spark, texts).repartition(3), F.col("doc_id") % 3 != 0, size=size, numbered=numbered).orderBy("doc_id").collect()
+    for g, w in zip(got, want, strict=True):
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:3]
+        assert abs(g["base_score"] - w[3]) < 1e-6 and abs(g["score"] - w[4]) < 1e-6
+
+
 def test_katz_without_training_or_rows(spark):
     got = katz.katz_scores(frame(spark, EDGES), F.lit(False)).collect()
     assert len(got) == len(EDGES) and all(g["score"] == 0 and g["n_known"] == 0 for g in got)
