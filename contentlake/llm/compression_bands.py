@@ -33,9 +33,12 @@ class Band:
     high: float
 
 
-#: Compressed size as a share of the plain size. Short texts compress worse, so their limits lie higher.
-BANDS = (Band(0, 0.40, 1.20), Band(512, 0.30, 1.05), Band(1024, 0.26, 1.00), Band(2048, 0.24, 0.95), Band(8192, 0.20, 0.95))
-CHUNK, CHUNK_LOW, CHUNK_HIGH, BAD_SHARE = 2048, 0.22, 0.98, 0.34
+#: Compressed size as a share of the plain size. Short texts compress worse, so their limits lie higher. Upper limits
+#: lie between clean labelled text (at most 0.72, 0.68, 0.58, 0.52 and 0.45 from 256 bytes on, by band; 0.53 in chunks)
+#: and random base64, printable or CJK text cut into words (at least 0.80, 0.76, 0.74, 0.73 and 0.72; 0.73). Random
+#: hexadecimal digits, and letters below 2048 bytes, compress like clean text, so no ratio tells them.
+BANDS = (Band(0, 0.40, 0.86), Band(256, 0.40, 0.76), Band(512, 0.30, 0.72), Band(1024, 0.26, 0.66), Band(2048, 0.24, 0.58), Band(8192, 0.20, 0.54))
+CHUNK, CHUNK_LOW, CHUNK_HIGH, BAD_SHARE = 2048, 0.22, 0.59, 0.34
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks double, kept boolean"
 
 

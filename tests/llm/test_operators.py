@@ -1,9 +1,11 @@
 """Operators of the llm subpackage against brute force, round trips and held-out accuracy, with edge cases."""
 
+import base64
 import hashlib
 import itertools
 import math
 import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -354,6 +356,24 @@ def test_bands_reject_what_repeats_and_what_is_noise(spark):
     assert good["kept"].mean() > 0.99
 
 
+@pytest.mark.parametrize("size", [350, 500, 800, 1000, 1500, 2500, 6000, 20_000])
+def test_bands_reject_random_text(size):
+    r = random.Random(size)
+    kinds = {
+        "base64": base64.b64encode(r.randbytes(size)).decode()[:size],
+        "printable": "".join(r.choice(string.printable[:94]) for _ in range(size)),
+        "cjk": "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(size)),
+        "mixed": "".join(chr(r.choice([r.randrange(33, 127), r.randrange(0xA1, 0x7FF), r.randrange(0x4E00, 0x9FFF)])) for _ in range(size)),
+    } | ({"letters": "".join(r.choice(string.ascii_lowercase) for _ in range(size))} if size > 2048 else {})
+    for kind, text in kinds.items():
+        words, at = [], 0
+        while at < len(text):
+            words.append(text[at : at + r.randrange(4, 8)])
+            at += len(words[-1])
+        got = compression_bands.judge(" ".join(words), zstandard.ZstdCompressor(level=3, write_content_size=False))
+        assert not got[5] and not got[8], (kind, got[6])
+
+
 # 9: Katz back-off
 
 
