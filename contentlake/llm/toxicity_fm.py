@@ -2,9 +2,9 @@
 
 Terms are lower-cased words and the first four and five characters of longer words, hashed into buckets. The
 machine adds to a linear score the products of factors of all pairs of terms that a text holds, so a pair such
-as an insult with a group can count more than its parts. Training keeps the buckets that at least ``least`` texts
-of the sample hold and that either depend on the label (chi-square) or are common enough to matter in pairs; a
-word without live buckets costs one dictionary look-up when scoring. Scoring is a map without a shuffle.
+as an insult with a group can count more than its parts. Training keeps all buckets that at least ``least`` texts
+of the sample hold, since a term that is neutral by itself can matter in pairs; the bounded sample bounds them, and
+those left without weight or factors go after training. A word without live buckets costs one dictionary look-up when scoring. Scoring is a map without a shuffle.
 
 Defined cases: null, empty and wordless texts get the score of the bias alone; texts of any length are read
 whole; repeated rows are each scored; tables without rows give none; further columns are not read. Without any
@@ -74,7 +74,7 @@ class Machine:
 
 
 def live_buckets(found: list[np.ndarray], y: np.ndarray, least: int, depends: float, common: float) -> np.ndarray:
-    """Buckets worth a weight: enough texts hold them, and they depend on the label or are common."""
+    """Buckets worth a weight: enough texts hold them, and (with ``depends``) they depend on the label or are common."""
     if not found or not sum(map(len, found)):
         return np.zeros(0, np.int64)
     every, held = np.unique(np.concatenate(found), return_counts=True)
@@ -88,7 +88,7 @@ def live_buckets(found: list[np.ndarray], y: np.ndarray, least: int, depends: fl
     return every[(held >= least) & ((chi >= depends) | (held >= common * n))]
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 8, rate: float = 0.3, least: int = 4, depends: float = 15.0, common: float = 0.1, l1: float = 1e-3, l2: float = 1e-4, seed: int = 7) -> Machine:
+def train(rows: list[tuple[str, int]], epochs: int = 8, rate: float = 0.3, least: int = 4, depends: float = 0.0, common: float = 0.1, l1: float = 1e-3, l2: float = 1e-4, seed: int = 7) -> Machine:
     """Adagrad on the logistic loss, one text at a time."""
     r = np.random.default_rng(seed)
     found, y = [terms_of(t) for t, _ in rows], np.array([v for _, v in rows], float)

@@ -167,6 +167,19 @@ def test_pairs_of_terms_count():
     assert (machine.factors**2).sum() > 0
 
 
+def test_a_neutral_and_rare_term_counts_in_pairs_by_default():
+    """Of 4,000 texts 4 % name a group, toxic as often as others, but only if an insult stands beside it."""
+    r = random.Random(1)
+    words, data = [a + b for a in "bcdfgklmnp" for b in ("ano", "eri", "ilo", "uta", "oma", "isu")], []
+    for _ in range(4000):
+        a, g = r.random() < 0.3, r.random() < 0.04
+        text = [*r.choices(words, k=12), *["vermin"] * a, *["zebra"] * g]
+        data.append((" ".join(text), int((a and g) or (not g and r.random() < 0.3))))
+    machine, plain = toxicity_fm.train(data), [" ".join(r.choices(words, k=12)) for _ in range(200)]
+    insult, group, both = (np.mean([machine.score(t + x) for t in plain]) for x in (" vermin", " zebra", " vermin zebra"))
+    assert both > 0.6 and group < 0.2 and both > insult + 0.3
+
+
 def test_gradients_of_the_network():
     net, texts, y = quality_cnn.Network.fresh(2), [b"some words " * 60, b"", b"!!!" * 9], np.array([1, 0, 0], np.float32)
     net.weights["out"] = np.random.default_rng(0).standard_normal(2 * quality_cnn.HIDDEN).astype(np.float32)
