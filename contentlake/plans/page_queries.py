@@ -153,9 +153,9 @@ def note_markdown(a: Archive) -> DataFrame:
 
 @query()
 def mail_deliveries(a: Archive) -> DataFrame:
-    """One feed's articles as numbered mails."""
-    rows = a.entries.filter("feed_id = 'src3'").select("feed_id", F.col("entry_id").alias("pos"), "entry_id", delivery.article_weight(F.col("body_text")).alias("weight"))
-    return exports.deliveries(delivery.greedy_batches(rows, delivery.mail_budget(140_000)), "Feed src3")
+    """Each feed's articles as numbered mails."""
+    rows = a.entries.select("feed_id", F.col("entry_id").alias("pos"), "entry_id", delivery.article_weight(F.col("body_text")).alias("weight"))
+    return exports.deliveries(delivery.greedy_batches(rows, delivery.mail_budget(140_000)), F.concat(F.lit("Feed "), "feed_id"))
 
 
 # streams

@@ -101,14 +101,13 @@ def issues(articles: DataFrame) -> DataFrame:
     return articles.groupBy("issue").applyInPandas(build, "issue string, articles long, book binary")
 
 
-def deliveries(batched: DataFrame, subject: str) -> DataFrame:
-    """(batch, subject, stem, entry_ids): mails for batches (batch, entry_id, pos); numbered if there are several."""
-    groups = batched.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("pos", "entry_id"))).alias("e"))
-    count = batched.select(F.max("batch").alias("of"))
-    rows = groups.crossJoin(count)  # one row
+def deliveries(batched: DataFrame, subject: Column, by: str = "feed_id") -> DataFrame:
+    """(batch, subject, stem, entry_ids): mails for batches (by, batch, entry_id, pos); numbered if a group has several."""
+    groups = batched.groupBy(by, "batch").agg(F.sort_array(F.collect_list(F.struct("pos", "entry_id"))).alias("e"))
+    rows = groups.join(batched.groupBy(by).agg(F.max("batch").alias("of")), by)
     some = F.col("of") > 1
     number = F.concat(F.lit(" ("), F.col("batch").cast("string"), F.lit("/"), F.col("of").cast("string"), F.lit(")"))
-    return rows.select("batch", F.concat(F.lit(subject), F.when(some, number).otherwise(F.lit(""))).alias("subject"), F.concat(T.slug(F.lit(subject)), F.when(some, F.concat(F.lit("-"), F.col("batch").cast("string"))).otherwise(F.lit(""))).alias("stem"), F.col("e.entry_id").alias("entry_ids"))
+    return rows.select("batch", F.concat(subject, F.when(some, number).otherwise(F.lit(""))).alias("subject"), F.concat(T.slug(subject), F.when(some, F.concat(F.lit("-"), F.col("batch").cast("string"))).otherwise(F.lit(""))).alias("stem"), F.col("e.entry_id").alias("entry_ids"))
 
 
 def fan_out(channels: Sequence[Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], None]:

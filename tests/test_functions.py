@@ -181,3 +181,14 @@ def test_rules_yaml_round_trip_and_checks():
 def test_interval(spark, current, errors, changed, watched, want):
     got = spark.range(1).select(ingest.next_interval(F.lit(float(current)), F.lit(1800), F.lit(errors), F.lit(changed), F.lit(watched))).first()[0]
     assert got == want
+
+
+def test_mails_carry_the_entries_of_all_feeds(spark):
+    from contentlake.plans.page_queries import Q
+
+    mails = Q["mail_deliveries"](spark, "/root/testdata/sf0.001").collect()
+    entries = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sent = sorted(e for m in mails for e in m["entry_ids"])
+    assert sent == sorted(r["doc_id"] for r in entries.select("doc_id").collect())
+    stems = [m["stem"] for m in mails]
+    assert len(stems) == len(set(stems)) and len({s.split("-")[1] for s in stems}) == entries.select("source").distinct().count()
