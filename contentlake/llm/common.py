@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the word pattern ``[^\x20\x09-\x0D]+`` sees it; ``bytes.split()`` splits on the same set.
 WHITE = b" \t\n\x0b\x0c\r"
+#: Tables of a few numbers a row are sent to all tasks up to so many rows; larger ones are joined in salted shuffles.
+BROADCAST_ROWS, SALTS = 2_000_000, 32
+
+
+def dealt(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs in ``where`` with the places where it does, in order."""
+    order = np.argsort(where, kind="stable")
+    edge = np.flatnonzero(np.diff(where[order], prepend=-1, append=-1))
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        yield int(where[order[i]]), order[i:j]
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join on a key that ``rows`` may hold very often and ``unique`` holds once: no task gets all rows of a key."""
+    if unique.count() <= most:
+        return rows.join(F.broadcast(unique), key, how)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).alias("_salt")
+    salted = unique.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt"))
+    return rows.select("*", salt).join(salted, [key, "_salt"], how).drop("_salt")
 
 
 def fold(doc_id: Column | str, mod: int) -> Column:

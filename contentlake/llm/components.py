@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlake.llm.common import Scratch
+from contentlake.llm.common import Scratch, spread_join
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round points a node at its smallest neighbour if that is smaller, follows pointers to their ends by
     doubling, and replaces links by those between ends. At least all but the locally smallest nodes of a component
     go in a round, so rounds are few. A node's neighbours are only ever summed up by a minimum, which is partly
-    done before the shuffle, so a node with very many links is no special case.
+    done before the shuffle, and joins on nodes are broadcast or salted, so a node with very many links is no special case.
     """
     edges = scratch.save(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
@@ -25,7 +25,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         while True:
             up = parents.select(F.col("node").alias("label"), F.col("label").alias("further"))
-            jumped = scratch.save(parents.join(up, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "jumped")
+            jumped = scratch.save(spread_join(parents, up, "label", "left").select("node", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "jumped")
             scratch.drop(parents)
             parents = jumped
             if not parents.filter("moved").take(1):
@@ -35,11 +35,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if labels is None:
             labels = _keep(ends, parents)
         else:
-            known = labels.select("node", F.col("label").alias("was")).join(ends.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
+            known = spread_join(labels.select("node", F.col("label").alias("was")), ends.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
             fresh = ends.join(labels.select("node"), "node", "left_anti")
             labels = scratch.save(known.unionByName(fresh), "labels")
         to = lambda side: ends.select(F.col("node").alias(side), F.col("label").alias(f"to_{side}"))
-        moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        moved = spread_join(spread_join(edges, to("a"), "a", "left"), to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
         edges = scratch.save(moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))  # no link, no row

@@ -16,11 +16,13 @@ A text's set is that of its distinct five-word shingles. Two texts link when 100
 4. A bucket's leader is the class with the smallest share of shingles of its own: of a group of near copies that
    is one close to what they were copied from. Every class of a bucket is compared with its leader, unless a bound
    rules a link out; a leader's cluster is all of those classes. Pairs that share a signature are in one cluster, at least.
-5. Members of a cluster that link to the leader are connected. Each other one is compared with every member that
-   isn't known to be connected to it, unless bounds rule a link out: two sets share at most what they share with the leader
-   plus what they hold besides it and not alone, and at most the sum of lesser counts over 64 hashed bins. After
-   that each pair that shares a signature has been compared, ruled out, or is connected anyhow: no link
-   is lost, and a large group of near copies costs links in proportion to its size.
+5. Links between leaders and members make first components. A further link joins two of them; its end x in the
+   component with fewer classes asks. What x shares with the nearest leader L that it doesn't link to is known, so a
+   partner too large to link by that alone has a shingle of x outside L; of the m such shingles that several components
+   have, it has at least t, hence one of the m - t + 1 rarest. Smaller partners are sought by the rarest shingles of x
+   as a whole. Both are joins on shingles, within the sizes that can link, across components only; what they find is
+   bounded and compared. So each pair that shares a signature has been compared, ruled out, or is connected anyhow: no
+   link is lost, and a large group of near copies costs links in proportion to its size.
 
 All comparisons are exact (of 64-bit hashes of shingles).
 
@@ -33,22 +35,23 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentlake.llm.common import Scratch, small_batches
+from contentlake.llm.common import BROADCAST_ROWS, Scratch, dealt, small_batches, spread_join
 from contentlake.llm.components import components
 
 WORDS, PERCENT = 5, 75
-#: Share of the shingle domain on which own shingles are counted, and bits kept of a hash there.
-SHARE, KEPT_BITS = 0.4, 44
-#: Parts of a group and how many may differ; tables of two numbers a row are sent to all tasks up to so many rows.
-PARTS, DIFFER, BROADCAST_ROWS = 3, 1, 2_000_000
+#: Share of the shingle domain on which own shingles are counted first.
+SHARE = 0.4
+#: Parts of a group and how many may differ; shingles of a bucket, and of a task before it hands them on.
+PARTS, DIFFER, BUCKET, FLUSH = 3, 1, 3_000_000, 1_000_000
 #: Bins of the last bound.
 BINS = 64
 
@@ -82,43 +85,150 @@ def shingles(text: str | None, known: WordHash, width: int = WORDS) -> np.ndarra
     return np.unique(s)
 
 
+def shingle_sets(texts: list[str | None], known: WordHash, width: int = WORDS) -> list[np.ndarray]:
+    """``shingles`` of each text, with the windows of all texts hashed at once."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    w = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(lens.sum()))
+    first = np.cumsum(lens) - lens
+    windows = np.maximum(lens - width + 1, 0)
+    end = np.cumsum(windows)
+    at = np.arange(end[-1] if len(end) else 0) + np.repeat(first - (end - windows), windows)
+    s = np.full(len(at), width, np.uint64)
+    for k in range(width):
+        s = mixed(s + w[at + k])
+    out = []
+    for n, i, j, k in zip(lens.tolist(), (end - windows).tolist(), end.tolist(), first.tolist(), strict=True):
+        if n >= width:
+            part = s[i:j]
+            part.sort()
+            out.append(part[np.concatenate([[True], part[1:] != part[:-1]])])
+        else:
+            short = np.full(min(n, 1), n, np.uint64)
+            for x in w[k : k + n]:
+                short = mixed(short + x)
+            out.append(short)
+    return out
+
+
 def set_hash(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n and cls: the set's size and hash (null if empty)."""
+def portions(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of so many characters (or of one text)."""
+    part, held = [], 0
+    for t in texts:
+        if part and held + len(t or "") > most:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t or "")
+    if part:
+        yield part
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in batches:
-            sets = [shingles(t, known) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n long, cls long")
+KEYS = "bucket int, keys binary, who binary, runs binary"
+
+
+def packed(sets: list[np.ndarray], names: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Shingles dealt by themselves into buckets: a row has a bucket's shingles, set by set; whose; how many of each."""
+    keys = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    where = (mixed(keys + _M2) % np.uint64(buckets)).astype(np.int64)
+    rows = []
+    for bucket, at in dealt(where):
+        new = np.flatnonzero(np.diff(owner[at], prepend=-1))
+        rows.append((bucket, keys[at].tobytes(), names[owner[at][new]].tobytes(), np.diff(np.append(new, len(at))).astype(np.int32).tobytes()))
+    for k in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "who", "runs"])
+
+
+CUT = "ids array<long>, sizes array<long>, classes array<long>, " + KEYS
+
+
+def cut(docs: DataFrame, buckets: int, flush: int = FLUSH) -> DataFrame:
+    """One pass over all texts: rows of profiles (ids, sizes and classes) and rows of packed shingles, of the share of
+    the domain that step 2 counts on. A task packs a text that it has met before only once."""
+    kinds = [pa.list_(pa.int64())] * 3 + [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = [f.split()[0] for f in CUT.split(", ")]
+
+    def rows(columns: list, count: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(count, t) if c is None else c for c, t in zip(columns, kinds, strict=True)], names)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, met, limit = WordHash(), {}, np.uint64(int(SHARE * 2**64))
+        held, owners, size = [], [], 0
 
-def shares(docs: DataFrame) -> DataFrame:
-    """(cls, h): the part of every set that step 2 counts on. Cutting texts again costs less than keeping this."""
+        def out() -> Iterator[pa.RecordBatch]:
+            for b in packed(held, np.array(owners, np.int64), buckets):
+                yield rows([None] * 3 + b.columns, b.num_rows)
 
-    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, limit = WordHash(), np.uint64(int(SHARE * 2**64))
         for batch in batches:
-            sets = [s for t in batch.column(0).to_pylist() if len(s := shingles(t, known))]
-            for at in range(0, len(sets), 100):
-                part = [(s[: np.searchsorted(s, limit)] >> np.uint64(64 - KEPT_BITS)).astype(np.int64) for s in sets[at : at + 100]]
-                names = np.array([set_hash(s) for s in sets[at : at + 100]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(p) for p in part])), pa.array(np.concatenate(part))], ["cls", "h"])
+            texts = batch.column(1).to_pylist()
+            marks = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
+            new = {m: t for m, t in zip(marks, texts, strict=True) if m not in met}
+            if len(met) > 100_000:
+                met = {m: met[m] for m in marks if m in met}
+            fresh = iter(new)
+            for part in portions(list(new.values())):
+                for s in shingle_sets(part, known):
+                    name = set_hash(s) if len(s) else None
+                    met[next(fresh)] = (len(s), name)
+                    if name is not None:
+                        held.append(s[: np.searchsorted(s, limit)])
+                        owners.append(name)
+                        size += len(held[-1])
+                    if size >= flush:
+                        yield from out()
+                        held, owners, size = [], [], 0
+            if len(texts):
+                found = [met[m] for m in marks]
+                profile = [[batch.column(0).cast(pa.int64()).to_pylist()], [[n for n, _ in found]], [[c for _, c in found]]]
+                yield rows([pa.array(p, pa.list_(pa.int64())) for p in profile] + [None] * 4, 1)
+        if held:
+            yield from out()
+
+    return docs.select("doc_id", "text").mapInArrow(work, CUT)
+
+
+def profiles(cuts: DataFrame) -> DataFrame:
+    """doc_id, n and cls of every row: the set's size and hash (null if empty)."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([c.flatten() for c in batch.columns], ["doc_id", "n", "cls"])
+
+    return cuts.filter("ids IS NOT NULL").select("ids", "sizes", "classes").mapInArrow(unpack, "doc_id long, n long, cls long")
+
+
+def alone_in(shares: DataFrame, deals: int) -> DataFrame:
+    """(cls, alone): how many of the packed shingles no other class has."""
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        key = np.frombuffer(b"".join(group["keys"]), np.uint64)
+        owner = np.repeat(np.frombuffer(b"".join(group["who"]), np.int64), np.frombuffer(b"".join(group["runs"]), np.int32))
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+        names, counts = np.unique(least[least == most], return_counts=True)
+        rows = [(to, names[at].tobytes(), counts[at].astype(np.int32).tobytes()) for to, at in dealt((mixed(names.view(np.uint64)) % np.uint64(deals)).astype(np.int64))]
+        return pd.DataFrame(rows, columns=["deal", "who", "counts"])
 
-    return docs.select("text").mapInArrow(share, "cls long, h long")
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        names, place = np.unique(np.frombuffer(b"".join(group["who"]), np.int64), return_inverse=True)
+        counts = np.bincount(place, np.frombuffer(b"".join(group["counts"]), np.int32), len(names))
+        return pd.DataFrame({"cls": names, "alone": counts.astype(np.int64)})
 
+    found = shares.groupBy("bucket").applyInPandas(count, "deal int, who binary, counts binary")
+    return found.groupBy("deal").applyInPandas(total, "cls long, alone long")
 
-def linkable(classes: DataFrame, shares: DataFrame) -> DataFrame:
-    """Classes (cls, n, ...) without those that have over a quarter of their shingles (cls, h) to themselves; and how
-    many of those each has (alone)."""
-    alone = shares.groupBy("h").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")).filter("cls = other")
-    counts = alone.groupBy("cls").agg(F.count("*").alias("alone"))
-    return classes.join(counts, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(100 * F.col("alone") <= (100 - PERCENT) * F.col("n"))
+
+def linkable(classes: DataFrame, alone: DataFrame) -> DataFrame:
+    """Classes (cls, n, ...) without those that have over a quarter of their shingles to themselves (alone)."""
+    with_counts = classes.join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return with_counts.filter(100 * F.col("alone") <= (100 - PERCENT) * F.col("n"))
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -131,13 +241,43 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            sets = [(c, s) for c, t in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True) if len(s := shingles(t, known)) and set_hash(s) == c]
-            values = pa.ListArray.from_arrays(np.cumsum([0, *(len(s) for _, s in sets)]).astype(np.int32), np.concatenate([*(s for _, s in sets), np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.int64()), values], ["cls", "s"])
+            names = iter(batch.column(1).to_pylist())
+            for part in portions(batch.column(0).to_pylist()):
+                sets = [(c, s) for s, c in zip(shingle_sets(part, known), names, strict=False) if len(s) and set_hash(s) == c]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sets], pa.int64()), lists([s for _, s in sets])], ["cls", "s"])
 
     return chosen.select("text", "cls").mapInArrow(whole, "cls long, s array<long>")
 
 
+def lists(sets: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+
+
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The sets of a list column."""
+    edge, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [flat[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def pack_sets(sets: DataFrame, buckets: int, flush: int = FLUSH) -> DataFrame:
+    """All shingles of kept sets (cls, s), packed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, owners, size = [], [], 0
+        for batch in batches:
+            for name, s in zip(batch.column(0).to_pylist(), arrays(batch.column(1)), strict=True):
+                held.append(s)
+                owners.append(name)
+                size += len(s)
+                if size >= flush:
+                    yield from packed(held, np.array(owners, np.int64), buckets)
+                    held, owners, size = [], [], 0
+        if held:
+            yield from packed(held, np.array(owners, np.int64), buckets)
+
+    return sets.select("cls", "s").mapInArrow(work, KEYS)
+
+
 def bands_of(n: int) -> list[int]:
     """Bands in which a set of this size gives signatures; band b holds sizes up to 8 * 2**b, over half of that."""
     band = 0
@@ -175,20 +315,76 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def members(sets: DataFrame) -> DataFrame:
-    """(sig, own, cls) for every signature of every set; own: thousandths of shingles that no other class has."""
+MEMBERS = "bucket int, sigs binary, own binary, who binary"
+
+
+def members(sets: DataFrame, buckets: int, salts: int, flush: int = FLUSH) -> DataFrame:
+    """Every signature of every set (cls, alone, s), dealt by signature, and by class where one task couldn't hold all
+    classes; own: thousandths of shingles that no other class has."""
 
     def enumerate_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, names, owns, size = [], [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            count = [len(f) for f in found]
+            sig, who, own = np.concatenate(found), np.repeat(np.array(names, np.int64), count), np.repeat(np.array(owns, np.int16), count)
+            where = (mixed(sig + _M2) % np.uint64(buckets)) * np.uint64(salts) + mixed(who.view(np.uint64)) % np.uint64(salts)
+            rows = [(bucket, sig[at].tobytes(), own[at].tobytes(), who[at].tobytes()) for bucket, at in dealt(where.astype(np.int64))]
+            for k in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "sigs", "own", "who"])
+
         for batch in batches:
-            ids, own, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), 100):
-                found = [signatures(flat[offsets[k] : offsets[k + 1]].view(np.uint64)) for k in range(at, min(at + 100, len(ids)))]
-                count = [len(f) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(own[at : at + 100], count)), pa.array(np.repeat(ids[at : at + 100], count))], ["sig", "own", "cls"])
+            for name, own, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), arrays(batch.column(2)), strict=True):
+                found.append(signatures(s))
+                names.append(name)
+                owns.append(own)
+                size += len(found[-1])
+                if size >= flush:
+                    yield from out()
+                    found, names, owns, size = [], [], [], 0
+        if found:
+            yield from out()
 
     own = (1000 * F.col("alone") / F.size("s")).cast("int").alias("own")
-    return sets.select("cls", own, "s").mapInArrow(enumerate_parts, "sig long, own int, cls long")
+    return sets.select("cls", own, "s").mapInArrow(enumerate_parts, MEMBERS)
+
+
+def led(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's signatures, shares and classes, sorted; where a signature begins, and which one each row has."""
+    sig, own, who = (np.frombuffer(b"".join(group[c]), t) for c, t in (("sigs", np.int64), ("own", np.int16), ("who", np.int64)))
+    order = np.lexsort((who, own, sig))
+    sig, own, who = sig[order], own[order], who[order]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
+    return sig, own, who, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def pairs_of(lead: np.ndarray, who: np.ndarray) -> pd.DataFrame:
+    pair = np.unique(np.stack([lead, who], 1)[lead != who], axis=0)
+    return pd.DataFrame({"lead": pair[:, 0], "cls": pair[:, 1]})
+
+
+def leader_pairs(every: DataFrame, salts: int) -> DataFrame:
+    """Pairs (lead, cls): each class of a bucket with the bucket's leader, each pair once."""
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        _, _, who, first, place = led(group)
+        return pairs_of(who[first][place], who)
+
+    if salts == 1:  # a task's classes are few enough for every signature
+        return every.groupBy("bucket").applyInPandas(whole, "lead long, cls long").distinct()
+
+    def local(group: pd.DataFrame) -> pd.DataFrame:
+        sig, own, who, first, _ = led(group)
+        return pd.DataFrame({"part": group["bucket"].iloc[0] // salts, "sig": sig[first], "own": own[first], "cls": who[first]})
+
+    def joined(group: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        sig, _, who, _, _ = led(group)
+        leaders = leaders.sort_values("sig")
+        return pairs_of(leaders["lead"].to_numpy()[np.searchsorted(leaders["sig"].to_numpy(), sig)], who) if len(sig) else pairs_of(who, who)
+
+    leaders = every.groupBy("bucket").applyInPandas(local, "part int, sig long, own int, cls long").groupBy("part", "sig").agg(F.min(F.struct("own", "cls"))["cls"].alias("lead"))
+    leaders = leaders.select((F.col("part") * salts + F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("bucket"), "sig", "lead")
+    return every.groupBy("bucket").cogroup(leaders.groupBy("bucket")).applyInPandas(joined, "lead long, cls long").distinct()
 
 
 def measured(pairs: DataFrame, sets: DataFrame, a: str = "lead", b: str = "cls") -> DataFrame:
@@ -232,53 +428,81 @@ def binned(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, c: t + c)
 
 
-def stragglers(cluster: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one cluster that aren't known to be connected and that no bound rules out.
+def late_pairs(cluster: DataFrame, facts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (lead, cls) of classes of different labels, for links that no leader shows (step 5).
 
-    cluster: lead, cls, i (null if it wasn't measured), linked (to the lead). Members linked to their lead are
-    connected; so are members with the same smallest lead.
+    cluster: lead, cls, i (null if it wasn't measured), linked (to the lead). facts: cls, n, held, label, mass.
     """
-    leads = cluster.select("lead").distinct().join(facts.select(F.col("cls").alias("lead"), F.col("n").alias("i")), "lead")
-    every = cluster.select("lead", "cls", F.col("i").cast("long").alias("i"), "linked").unionByName(leads.select("lead", F.col("lead").alias("cls"), "i", F.lit(True).alias("linked")))
-    known = every.filter("linked").groupBy("cls").agg(F.min("lead").alias("comp"))
-    rows = every.join(facts, "cls").join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    x = rows.filter("NOT linked").select(F.col("lead").alias("x_lead"), *(F.col(c).alias(f"x_{c}") for c in ("cls", "i", "n", "held", "bins", "comp")))
-    sizes = F.col("n") + F.col("x_n")
-    through_lead = F.least("i", "x_i") + F.least(F.col("held") - F.col("i"), F.col("x_held") - F.col("x_i"))
-    shared = F.when(F.col("i").isNotNull() & F.col("x_i").isNotNull(), through_lead).otherwise(F.least("held", "x_held"))
-    apart = (F.col("comp") != F.col("x_comp")) & (F.col("linked") & (F.col("cls") != F.col("lead")) | ~F.col("linked") & (F.col("cls") < F.col("x_cls")))
-    fits = 100 * F.least("n", "x_n") >= PERCENT * F.greatest("n", "x_n")
-    found = x.join(rows, (F.col("x_lead") == F.col("lead")) & apart & fits & enough(shared, sizes) & enough(binned("bins", "x_bins"), sizes))
-    return found.select(F.least("cls", "x_cls").alias("a"), F.greatest("cls", "x_cls").alias("b")).distinct()
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    itself = cluster.select("lead").distinct().select("lead", F.col("lead").alias("cls"))
+    rows = scratch.save(cluster.select("lead", "cls").unionByName(itself).join(facts.select("cls", "n", "held", "label", "mass"), "cls"), "rows")
+    least = scratch.save(rows.groupBy("lead").agg(F.min("n").alias("least")), "least")
+    low = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
+    rows = spread_join(rows, least, "lead").withColumn("lo", low).filter(enough(F.col("held"), F.col("n") + F.col("lo")))
+    heaviest = rows.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max(F.struct("mass", "label"))["label"].alias("top"))
+    several = scratch.save(heaviest.filter("l <> m").select("lead", "top"), "several")
+    askers = spread_join(rows, several, "lead").filter("label <> top").groupBy("cls").agg(F.min("lo").alias("lo"))
+    near = cluster.filter("NOT linked AND i IS NOT NULL").groupBy("cls").agg(F.max(F.struct("i", "lead")).alias("near"))
+    asks = askers.join(near, "cls", "left").join(facts.select("cls", "n", "held", "label", "mass"), "cls")
+    asks = asks.select("cls", "n", "label", "mass", "lo", F.coalesce("near.i", F.lit(0)).cast("long").alias("i"), "near.lead", F.expr(f"{100 + PERCENT} * held div {PERCENT} - n").alias("most"))
+    asks = scratch.save(asks.withColumn("inside", F.expr(f"{100 + PERCENT} * i div {PERCENT} - n")), "asks")
+    beyond = asks.withColumn("lo", F.greatest("lo", F.col("inside") + 1))
+    within = asks.filter("inside >= lo").select("cls", "n", "label", "mass", "lo", F.lit(0).cast("long").alias("i"), F.lit(None).cast("long").alias("lead"), F.least("most", "inside").alias("most"))
+    asks = beyond.drop("inside").unionByName(within).filter("lo <= most")
+    own, theirs = sets.select("cls", "s"), sets.select(F.col("cls").alias("lead"), F.col("s").alias("ls"))
+    left = F.explode(F.array_except("s", F.coalesce("ls", F.array().cast("array<long>")))).alias("e")
+    fewest = F.ceil((F.col("n") + F.col("lo")) * PERCENT / (100 + PERCENT)) - F.col("i")
+    asked = scratch.save(asks.join(own, "cls").join(theirs, "lead", "left").select("cls", "label", "mass", "lo", "most", fewest.alias("fewest"), left), "asked")
+    wanted = scratch.save(asked.select("e").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    holders = facts.select(F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("mass").alias("y_mass")).join(sets.select(F.col("cls").alias("y"), F.explode("s").alias("e")), "y")
+    index = scratch.save(holders.join(wanted, "e", "left_semi"), "index")
+    common = index.groupBy("e").agg(F.count("*").alias("c"), F.min("y_label").alias("l"), F.max("y_label").alias("m")).filter("l <> m").select("e", "c")
+    one = Window.partitionBy("cls", "lo", "most")
+    ranked = asked.join(common, "e").withColumns({"rn": F.row_number().over(one.orderBy("c", "e")), "all": F.count("*").over(one)})
+    found = ranked.filter("rn <= all - fewest + 1").join(index, "e").filter("(y_mass > mass OR y_mass = mass AND y_label > label) AND y_n BETWEEN lo AND most")
+    return found.select(F.least("cls", "y").alias("lead"), F.greatest("cls", "y").alias("cls")).distinct()
+
+
+def labelled(facts: DataFrame, labels: DataFrame, node: str = "cls") -> DataFrame:
+    """facts with the label of each class; its own name if it has none."""
+    known = labels.select(F.col("node").alias(node), F.col("label").alias("_label"))
+    return spread_join(facts, known, node, "left").withColumn("label", F.coalesce("_label", node)).drop("_label")
+
+
+def near_copies(docs: DataFrame, bucket: int = BUCKET, most: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row. A task holds about ``bucket`` shingles and ``most`` classes."""
     small_batches(docs.sparkSession, 1000)
     scratch = Scratch(docs.sparkSession)
-    slim = scratch.save(profiles(docs), "slim")
-    classes = slim.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"))
-    left = scratch.save(linkable(classes, shares(docs)), "left")
-    sets = scratch.save(sets_of(docs, left).dropDuplicates(["cls"]), "sets")
-    fewer = linkable(sets.select("cls", F.size("s").alias("n"), "s"), sets.select("cls", F.explode("s").alias("h")))
-    kept = scratch.save(fewer.select("cls", "alone", "s"), "sets")
+    parts = lambda n: max(1, -(-int(n) // bucket))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cuts = scratch.save(cut(docs, parts(size * SHARE / 6)), "cuts")
+    slim = profiles(cuts)
+    classes = scratch.save(slim.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    deals = parts(classes.count())
+    left = scratch.save(linkable(classes, alone_in(cuts.filter("bucket IS NOT NULL").select("bucket", "keys", "who", "runs"), deals)), "left")
+    sets = scratch.save(sets_of(docs, left).dropDuplicates(["cls"]).withColumn("n", F.size("s")), "sets")
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = scratch.save(linkable(sets, alone_in(pack_sets(sets, parts(total)), deals)).select("cls", "alone", "s"), "kept")
     scratch.drop(sets)
-    sets = kept
-    every = scratch.save(members(sets), "members")
-    leaders = every.groupBy("sig").agg(F.min(F.struct("own", "cls")).alias("first"), F.count("*").alias("size")).filter("size > 1").select("sig", F.col("first.cls").alias("lead"))
-    pairs = scratch.save(every.join(leaders, "sig").filter("cls <> lead").select("lead", "cls").distinct(), "pairs")
-    scratch.drop(every)
+    sets, salts = kept, max(1, -(-kept.count() // most))
+    every = members(sets, parts(2 * total), salts)
+    every = scratch.save(every, "members") if salts > 1 else every
+    pairs = scratch.save(leader_pairs(every, salts), "pairs")
     facts = scratch.save(bins(sets), "facts")
-    size = lambda side: facts.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"))
     pairs = scratch.save(possible(pairs, facts), "possible")
     found = measured(pairs.filter("open").select("lead", "cls"), sets).join(pairs, ["lead", "cls"])
     closed = pairs.filter("NOT open").select("lead", "cls", F.lit(None).cast("int").alias("i"), F.lit(False).alias("linked"))
     cluster = scratch.save(found.select("lead", "cls", "i", enough(F.col("i"), F.col("sizes")).alias("linked")).unionByName(closed), "cluster")
-    late = measured(scratch.save(stragglers(cluster, facts), "stragglers"), sets, "a", "b").join(size("a"), "a").join(size("b"), "b")
-    late = late.filter(enough(F.col("i"), F.col("n_a") + F.col("n_b"))).select("a", "b")
-    stars = cluster.filter("linked").select(F.col("lead").alias("a"), F.col("cls").alias("b"))
-    label_of = components(stars.unionByName(late), scratch)
-    named = classes.join(label_of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "label").select("cls", "component_id")
-    return slim.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = scratch.save(components(cluster.filter("linked").select(F.col("lead").alias("a"), F.col("cls").alias("b")), scratch), "labels")
+    facts = labelled(facts, labels)
+    mass = scratch.save(facts.groupBy("label").agg(F.count("*").alias("mass")), "mass")
+    facts = scratch.save(spread_join(facts, mass, "label"), "labelled")
+    late = scratch.save(possible(scratch.save(late_pairs(cluster, facts, sets, scratch), "late"), facts), "late")
+    late = measured(late.filter("open").select("lead", "cls"), sets).join(late, ["lead", "cls"]).filter(enough(F.col("i"), F.col("sizes")))
+    side = lambda name, to: facts.select(F.col("cls").alias(name), F.col("label").alias(to))
+    links = late.join(side("lead", "a"), "lead").join(side("cls", "b"), "cls").select("a", "b")
+    more = scratch.save(components(links, scratch), "more")
+    named = labelled(labelled(classes.select("cls", "rep"), labels).withColumnRenamed("label", "first"), more, "first")
+    smallest = scratch.save(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")).filter("size > 1").drop("size"), "smallest")
+    of_class = spread_join(named, smallest, "label", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
+    return spread_join(slim, scratch.save(of_class, "of_class"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
