@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import unicodedata
+from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Letters with a mark and their bases, for the fast form of folding.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+#: What outer white space is, after folding.
+SPACE = r"[\t-\r\x1c-\x20\x85\u1680\u2028\u2029]+"
+HANGUL = range(0xAC00, 0xD7A4)
 
 
 def fold_text(text: str | None) -> str:
@@ -24,14 +29,52 @@ def fold_text(text: str | None) -> str:
 
 @F.pandas_udf(StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
-    """Folding for any script."""
+    """Folding as a vectorised function."""
     return texts.map(fold_text, na_action=None)
 
 
+@lru_cache(maxsize=1)
+def fold_table() -> tuple[str, str, dict[str, str]]:
+    """How characters fold, from the Unicode data of Python: those that become one other, followed by those that vanish;
+    what the first become; and what those become that turn into several."""
+    one, gone, several = {}, [], {}
+    for k in chain(range(0xD800), range(0xE000, sys.maxunicode + 1)):
+        c = chr(k)
+        if k in HANGUL or c.isspace() and c.isascii():
+            continue
+        new = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if len(new) > 1:
+            several[c] = new
+        elif not new:
+            gone.append(c)
+        elif new != c:
+            one[c] = new
+    return "".join(one) + "".join(gone), "".join(one.values()), several
+
+
+def _sign(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def _jamo(c: Column) -> Column:
+    """The letters that a Hangul syllable is made of."""
+    s = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - HANGUL.start
+    last = F.when(s % 28 > 0, _sign(F.lit(0x11A7) + s % 28)).otherwise(F.lit(""))
+    return F.concat(_sign(F.lit(0x1100) + F.floor(s / 588).cast("int")), _sign(F.lit(0x1161) + F.floor(s % 588 / 28).cast("int")), last)
+
+
 def fold(text: Column) -> Column:
-    """Folding in the JVM, for Latin-1 letters; equal to ``fold_exact`` where texts hold no other letters."""
-    lowered = F.replace(F.lower(F.translate(F.coalesce(text, F.lit("")), MARKED, PLAIN)), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(lowered, r"^\s+|\s+$", "")
+    """``fold_text`` in the JVM: one translation of all characters that become one or none. Only a text that holds one
+    that becomes several is taken apart."""
+    signs, plain, several = fold_table()
+    text = F.coalesce(text, F.lit(""))
+    rare = "".join(c for c in several if c not in "…ß½")
+    common = F.replace(F.replace(F.replace(text, F.lit("…"), F.lit("...")), F.lit("ß"), F.lit("ss")), F.lit("½"), F.lit("1⁄2"))
+    table = F.from_json(F.lit(json.dumps({c: several[c] for c in rare}, ensure_ascii=False)), "map<string,string>")
+    is_rare, is_hangul = "[" + re.escape(rare) + "]", f"[{chr(HANGUL.start)}-{chr(HANGUL.stop - 1)}]"
+    each = F.transform(F.split(common, ""), lambda c: F.when(c.rlike(is_hangul), _jamo(c)).when(c.rlike(is_rare), F.try_element_at(table, c)).otherwise(c))
+    apart = F.when(common.rlike(f"{is_rare}|{is_hangul}"), F.array_join(each, "")).otherwise(common)
+    return F.regexp_replace(F.translate(apart, signs, plain), f"^{SPACE}|{SPACE}$", "")
 
 
 def collapse(text: Column) -> Column:
@@ -71,7 +114,10 @@ def tag_name(text: Column) -> Column:
 
 
 #: What a text ends with when more of it stands behind a link.
-MORE = ("...", "…", "[…]", "[...]", "read more", "continue reading", "leer más", "seguir leyendo", "weiterlesen", "lire la suite")
+MORE = (
+    "…", "...", "[…]", "[...]", "(…)", "(...)", "read more", "read the rest", "continue reading", "keep reading", "seguir leyendo", "leer más", "leer mas", "ver más", "ver mas",
+    "continuar leyendo", "artículo completo", "articulo completo", "lire la suite", "weiterlesen", "leia mais",
+)
 
 
 def is_truncated(text: Column, tail: int = 80) -> Column:
@@ -92,7 +138,7 @@ def needs_full_text(url: Column, text: Column, forced: Column, least: int = 800)
 
 def encoded_header(text: Column) -> Column:
     """A mail header value: as it is if ASCII, else base64 of its UTF-8 bytes."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.concat(F.lit("=?UTF-8?B?"), F.base64(F.encode(text, "UTF-8")), F.lit("?=")))
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(F.concat(F.lit("=?UTF-8?B?"), F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", ""), F.lit("?=")))
 
 
 def file_stem(text: Column, limit: int = 200, default: str = "untitled") -> Column:

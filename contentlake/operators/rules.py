@@ -210,13 +210,16 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("ent
     """``keep`` columns, rules (names that apply, in order) and actions (array of rule, action, value).
 
     Each text field is folded once into a column of its own; every rule is then one boolean expression, and the
-    first stopping rule cuts the list of matches.
+    first stopping rule cuts the list of matches. An entry's content is its body, or its summary (if rows have one)
+    where there is no body.
     """
     rules = ordered(rules)
+    content = F.coalesce(F.nullif(F.col("body_text"), F.lit("")), F.col("summary")) if "summary" in rows.columns else F.col("body_text")
+    rows = rows.withColumn("_content", content)
     some = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
     raw = {
-        "title": F.col("title"), "content": F.col("body_text"), "author": F.col("author"), "url": F.col("url"), "lang": F.col("lang"),
-        "feed": display_title(F.col("feed_custom"), F.col("feed_title"), F.col("feed_url")), "any": F.concat_ws(" \n", some("title"), some("body_text"), some("author")),
+        "title": F.col("title"), "content": F.col("_content"), "author": F.col("author"), "url": F.col("url"), "lang": F.col("lang"),
+        "feed": display_title(F.col("feed_custom"), F.col("feed_title"), F.col("feed_url")), "any": F.concat_ws(" \n", some("title"), some("_content"), some("author")),
     }
     folded = {f: F.col(f"_fold_{f}") for f in FIELDS}
     rows = rows.select("*", *(raw[f].alias(f"_raw_{f}") for f in FIELDS))
@@ -262,8 +265,8 @@ def notifications(done: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def export_jobs(done: DataFrame) -> DataFrame:
-    """(target, entry_ids) of export actions."""
-    return done.filter("action = 'export'").groupBy(F.col("value").alias("target")).agg(F.sort_array(F.collect_set("entry_id")).alias("entry_ids"))
+    """(target, entry_id) of export actions, each once: a target's job is its rows, however many."""
+    return done.filter("action = 'export'").select(F.col("value").alias("target"), "entry_id").distinct()
 
 
 def backfill_summary(evaluated: DataFrame) -> DataFrame:

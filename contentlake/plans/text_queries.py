@@ -62,14 +62,14 @@ def text_slug(a: Archive) -> DataFrame:
     return a.entries.select("entry_id", T.slug(F.col("title")).alias("slug"))
 
 
-@query("SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(trim(t), '^#+', ''), '\\s+', '-', 'g'), '[^\\pL\\pM\\pN_/-]', '-', 'g') AS tag FROM (SELECT entry_id, '# ' || substr(title, 1, 30) AS t FROM entries) y")
+@query("SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(trim(t), '^#+', ''), '\\s+', '-', 'g'), '[^\\pL\\pM\\pN_/-]', '-', 'g') AS tag FROM (SELECT entry_id, '# ' || title AS t FROM entries) y")
 def text_tag_name(a: Archive) -> DataFrame:
-    return a.entries.select("entry_id", T.tag_name(F.concat(F.lit("# "), F.substring("title", 1, 30))).alias("tag"))
+    return a.entries.select("entry_id", T.tag_name(F.concat(F.lit("# "), "title")).alias("tag"))
 
 
-@query("SELECT entry_id, CASE WHEN regexp_full_match(t, '[\\x00-\\x7F]*') THEN t ELSE '=?UTF-8?B?' || base64(encode(t)) || '?=' END AS header FROM (SELECT entry_id, substr(title, 1, 40) AS t FROM entries) y")
+@query("SELECT entry_id, CASE WHEN regexp_full_match(t, '[\\x00-\\x7F]*') THEN t ELSE '=?UTF-8?B?' || base64(encode(t)) || '?=' END AS header FROM (SELECT entry_id, title AS t FROM entries) y")
 def text_mail_header(a: Archive) -> DataFrame:
-    return a.entries.select("entry_id", T.encoded_header(F.substring("title", 1, 40)).alias("header"))
+    return a.entries.select("entry_id", T.encoded_header(F.col("title")).alias("header"))
 
 
 MARKS = " OR ".join(f"ends_with(t, '{m}')" for m in T.MORE)
@@ -212,7 +212,7 @@ def rule_notifications(a: Archive) -> DataFrame:
 @query("SELECT value AS target, count(DISTINCT entry_id) AS entries, min(entry_id) AS first_id FROM acts WHERE action = 'export' GROUP BY value", RULE_SQL)
 def rule_exports(a: Archive) -> DataFrame:
     jobs = rules.export_jobs(rules.effects(evaluated(a)))
-    return jobs.select("target", F.size("entry_ids").cast("long").alias("entries"), F.array_min("entry_ids").alias("first_id"))
+    return jobs.groupBy("target").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_id"))
 
 
 def single(name: str, text: str, oracle: str, more: str = RULE_SQL) -> None:
