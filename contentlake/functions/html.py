@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -12,10 +12,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements without content, elements that readers never get, attributes that go.
+#: Elements without content, elements and attributes that readers never get, attributes that hold
+#: addresses, what those mustn't begin with, and the style of a picture that only counts readers.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKED = frozenset("script style iframe object embed form input button select textarea link meta base noscript svg".split())
-DROPPED_ATTRIBUTES = frozenset("style class id srcset".split())
+BLOCKED = frozenset("script style iframe object embed form input button noscript link meta base applet frame frameset".split())
+BLOCKED_ATTRIBUTES = frozenset("srcdoc formaction background ping".split())
+ADDRESSES = frozenset("href src poster action".split())
+SCHEMES = ("javascript:", "vbscript:", "data:text/html")
+ONE_PIXEL = re.compile(r"(width|height)\s*:\s*[01](\.\d+)?\s*(px)?", re.IGNORECASE)
 CLOSED_BY = {"p": frozenset("p div ul ol table section article h1 h2 h3 h4 blockquote pre footer".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"])}
 
 
@@ -27,17 +31,21 @@ class Node:
         self.children: list[Node | str] = []
 
     def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        """All nodes below, in document order, however deep."""
+        ahead = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while ahead:
+            node = ahead.pop()
+            yield node
+            ahead += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def strings(self, skip: frozenset[str] = frozenset()) -> Iterator[str]:
-        for c in self.children:
+        ahead = self.children[::-1]
+        while ahead:
+            c = ahead.pop()
             if isinstance(c, str):
                 yield c
             elif c.tag not in skip:
-                yield from c.strings(skip)
+                ahead += c.children[::-1]
 
     def text(self) -> str:
         return " ".join("".join(self.strings(BLOCKED)).split())
@@ -105,49 +113,59 @@ def plain_text(html: str | None) -> str:
 
 
 def _tiny(node: Node, most: int) -> bool:
-    size = [re.match(r"\s*(\d+)\s*(?:px)?\s*$", node.attrs.get(k, "")) for k in ("width", "height")]
-    if any(m and int(m[1]) <= most for m in size):
-        return True
-    return bool(re.search(rf"(?:width|height)\s*:\s*[0-{most}]px", node.attrs.get("style", ""))) or not node.attrs.get("src")
+    """A picture of hardly any size, or without an address."""
+    size = [node.attrs.get(k, "").strip().rstrip("px").strip() for k in ("width", "height")]
+    return any(v.isdigit() and int(v) <= most for v in size) or bool(ONE_PIXEL.search(node.attrs.get("style", ""))) or not node.attrs.get("src")
+
+
+def markup(root: Node, attributes: Callable[[Node], dict[str, str] | None]) -> str:
+    """What lies below a node, written with the attributes that a function keeps; None leaves a node out."""
+    out: list[str] = []
+    ahead: list[Node | str | tuple[str]] = root.children[::-1]
+    while ahead:
+        c = ahead.pop()
+        if isinstance(c, tuple):
+            out.append(c[0])
+        elif isinstance(c, str):
+            out.append(escape(c, quote=False))
+        elif (kept := attributes(c)) is not None:
+            opened = "".join(f' {k}="{escape(v)}"' for k, v in kept.items())
+            out.append(f"<{c.tag}{opened}>")
+            if c.tag not in VOID:
+                ahead.append((f"</{c.tag}>",))
+                ahead += c.children[::-1]
+    return "".join(out)
 
 
 def sanitise(html: str | None, base: str = "") -> str:
     """Markup without active content, comments, event handlers, script links and tracking pixels; links absolute."""
 
-    def write(node: Node) -> str:
-        out = []
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(escape(c, quote=False))
-            elif c.tag in BLOCKED or c.tag == "img" and _tiny(c, 1):
+    def safe(node: Node) -> dict[str, str] | None:
+        if node.tag in BLOCKED or node.tag == "img" and _tiny(node, 1):
+            return None
+        kept = {}
+        for k, v in node.attrs.items():
+            if k.startswith("on") or k in BLOCKED_ATTRIBUTES:
                 continue
-            else:
-                attrs = {}
-                for k, v in c.attrs.items():
-                    if k.startswith("on") or k in DROPPED_ATTRIBUTES:
-                        continue
-                    if k in ("href", "src"):
-                        if re.sub(r"\s", "", v).lower().startswith(("javascript:", "vbscript:")):
-                            continue
-                        v = absolute(v, base)
-                    attrs[k] = v
-                opened = "".join(f' {k}="{escape(v)}"' for k, v in attrs.items())
-                out.append(f"<{c.tag}{opened}>" + ("" if c.tag in VOID else f"{write(c)}</{c.tag}>"))
-        return "".join(out)
+            if k in ADDRESSES:
+                if re.sub(r"\s", "", v).lower().startswith(SCHEMES):
+                    continue
+                v = absolute(v, base) if base and v.strip() else v
+            kept[k] = v
+        return kept
 
-    return write(parse(html)) if html else ""
+    return markup(parse(html), safe).strip() if html and html.strip() else ""
 
 
 #: What exported articles don't carry.
-EXPORT_DROPPED = BLOCKED | frozenset("nav aside footer header video audio canvas dialog template".split())
+EXPORT_DROPPED = BLOCKED | frozenset("select textarea svg nav aside footer header video audio canvas dialog template".split())
 TRACKERS = re.compile(r"(?i)(/pixel|beacon|/track|doubleclick|feedburner\.com/~r|stats\.)")
 
 
 def clean_article(html: str | None, base: str = "") -> str:
     """Markup for export: like ``sanitise``, with lazy images resolved, trackers, small images and empty blocks gone."""
     root = parse(html)
-
-    def clean(node: Node) -> None:
+    for node in reversed([root, *root.walk()]):  # what lies deeper comes first
         kept: list[Node | str] = []
         for c in node.children:
             if isinstance(c, Node):
@@ -158,29 +176,12 @@ def clean_article(html: str | None, base: str = "") -> str:
                     c.attrs["src"] = lazy or c.attrs.get("src", "")
                     if _tiny(c, 2) or TRACKERS.search(c.attrs["src"]):
                         continue
-                clean(c)
                 if c.tag in ("p", "div", "span", "section", "figure") and not any(isinstance(x, Node) or x.strip() for x in c.children):
                     continue
-                c.attrs = {k: v for k, v in c.attrs.items() if k in ("href", "src", "alt", "title", "colspan", "rowspan")}
             kept.append(c)
         node.children = kept
-
-    clean(root)
-    out = []
-
-    def write(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(escape(c, quote=False))
-            else:
-                attrs = "".join(f' {k}="{escape(absolute(v, base) if k in ("href", "src") else v)}"' for k, v in c.attrs.items())
-                out.append(f"<{c.tag}{attrs}>")
-                if c.tag not in VOID:
-                    write(c)
-                    out.append(f"</{c.tag}>")
-
-    write(root)
-    return "".join(out)
+    carried = ("href", "src", "alt", "title", "colspan", "rowspan")
+    return markup(root, lambda n: {k: absolute(v, base) if k in ("href", "src") else v for k, v in n.attrs.items() if k in carried})
 
 
 def image_urls(html: str | None, base: str = "") -> list[str]:
@@ -194,65 +195,70 @@ def markdown(html: str | None) -> str:
     out: list[str] = []
 
     def inline(node: Node) -> str:
-        text = []
-        for c in node.children:
-            if isinstance(c, str):
-                text.append(re.sub(r"\s+", " ", c))
-            elif c.tag in BLOCKED:
-                continue
-            elif c.tag in ("b", "strong"):
-                text.append(f"**{inline(c).strip()}**")
-            elif c.tag in ("i", "em"):
-                text.append(f"*{inline(c).strip()}*")
-            elif c.tag == "code":
-                text.append(f"`{inline(c)}`")
-            elif c.tag == "a" and c.attrs.get("href"):
-                text.append(f"[{inline(c).strip()}]({c.attrs['href']})")
-            elif c.tag == "img":
-                text.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})")
-            elif c.tag == "br":
-                text.append("  \n")
-            else:
-                text.append(inline(c))
-        return "".join(text)
-
-    def block(node: Node, depth: int = 0) -> None:
-        run: list[Node | str] = []
-
-        def flush() -> None:
-            if run:
-                holder = Node("#run")
-                holder.children = list(run)
-                if text := inline(holder).strip():
-                    out.append(text)
-                run.clear()
-
-        for c in node.children:
-            if isinstance(c, str) or c.tag in ("a", "b", "strong", "i", "em", "code", "img", "br", "span"):
-                run.append(c)
-                continue
-            flush()
-            if c.tag in BLOCKED:
-                continue
-            if re.fullmatch(r"h[1-6]", c.tag):
-                out.append("#" * int(c.tag[1]) + " " + inline(c).strip())
-            elif c.tag == "pre":
-                code = next((n for n in c.walk() if n.tag == "code"), c)
-                language = next((k[9:] for k in code.classes + c.classes if k.startswith("language-")), "")
-                out.append(f"```{language}\n" + "".join(c.strings()).strip("\n") + "\n```")
-            elif c.tag in ("ul", "ol"):
-                items = [x for x in c.children if isinstance(x, Node) and x.tag == "li"]
-                out.append("\n".join(f"{'  ' * depth}{f'{k}.' if c.tag == 'ol' else '-'} {inline(x).strip()}" for k, x in enumerate(items, 1)))
-            elif c.tag == "blockquote":
-                out.append("\n".join(f"> {line}" for line in inline(c).strip().split("\n")))
-            elif c.tag == "p":
-                if text := inline(c).strip():
-                    out.append(text)
-            else:
-                block(c, depth)
+        """The node's content on one line; what lies deeper is written first."""
+        done: dict[int, str] = {}
+        for n in reversed([node, *node.walk()]):
+            text = []
+            for c in n.children:
+                if isinstance(c, str):
+                    text.append(re.sub(r"\s+", " ", c))
+                    continue
+                inner = done.pop(id(c))
+                if c.tag in BLOCKED:
+                    continue
+                if c.tag in ("b", "strong"):
+                    text.append(f"**{inner.strip()}**")
+                elif c.tag in ("i", "em"):
+                    text.append(f"*{inner.strip()}*")
+                elif c.tag == "code":
+                    text.append(f"`{inner}`")
+                elif c.tag == "a" and c.attrs.get("href"):
+                    text.append(f"[{inner.strip()}]({c.attrs['href']})")
+                elif c.tag == "img":
+                    text.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})")
+                elif c.tag == "br":
+                    text.append("  \n")
+                else:
+                    text.append(inner)
+            done[id(n)] = "".join(text)
+        return done[id(node)]
+
+    run: list[Node | str] = []
+
+    def flush() -> None:
+        if run:
+            holder = Node("#run")
+            holder.children = list(run)
+            if text := inline(holder).strip():
+                out.append(text)
+            run.clear()
+
+    ahead: list[Node | str | None] = parse(html).children[::-1]
+    while ahead:
+        c = ahead.pop()
+        if isinstance(c, str) or c is not None and c.tag in ("a", "b", "strong", "i", "em", "code", "img", "br", "span"):
+            run.append(c)
+            continue
         flush()
-
-    block(parse(html))
+        if c is None or c.tag in BLOCKED:
+            continue
+        if re.fullmatch(r"h[1-6]", c.tag):
+            out.append("#" * int(c.tag[1]) + " " + inline(c).strip())
+        elif c.tag == "pre":
+            code = next((n for n in c.walk() if n.tag == "code"), c)
+            language = next((k[9:] for k in code.classes + c.classes if k.startswith("language-")), "")
+            out.append(f"```{language}\n" + "".join(c.strings()).strip("\n") + "\n```")
+        elif c.tag in ("ul", "ol"):
+            items = [x for x in c.children if isinstance(x, Node) and x.tag == "li"]
+            out.append("\n".join(f"{f'{k}.' if c.tag == 'ol' else '-'} {inline(x).strip()}" for k, x in enumerate(items, 1)))
+        elif c.tag == "blockquote":
+            out.append("\n".join(f"> {line}" for line in inline(c).strip().split("\n")))
+        elif c.tag == "p":
+            if text := inline(c).strip():
+                out.append(text)
+        else:
+            ahead += [None, *c.children[::-1]]  # None: the block's end
+    flush()
     return "\n\n".join(out)
 
 
