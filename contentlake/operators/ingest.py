@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 MINUTE = 60
 WATCH_FLOOR = 1800
+#: Keys of passages are sent to all tasks up to so many passages.
+FEW = 500_000
 
 
 def first_in_document(items: DataFrame) -> DataFrame:
@@ -112,15 +114,19 @@ def plausible_time(candidate: Column, fetched_ms: Column | int, ahead_ms: int =
 
 
 def syndicated(entries: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
-    """(entry_id, item_id) of entries that contain a whole passage.
+    """(entry_id, item_id) of entries that contain a whole passage of at least ``words`` words.
 
-    Instead of comparing everything, both sides are keyed by windows of words: a passage's first window must be a
-    window of the entry. Only such pairs are compared in full.
+    Instead of comparing everything, both sides are keyed by windows of words: the passage's words from the second on,
+    which stand between white space in any text that contains it, whatever touches its ends, must be a window of the
+    entry. Only such pairs are compared in full. The passages' keys are sent to all tasks if they are few enough.
     """
+    inner = words - 2
     split = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     p = passages.select("item_id", F.col("text").alias("passage"), split("text").alias("_w")).filter(F.size("_w") >= words)
-    p = p.select("item_id", "passage", F.xxhash64(F.array_join(F.slice("_w", 1, words), " ")).alias("k"))
-    e = entries.select("entry_id", F.col("body_text"), split("body_text").alias("_w")).filter(F.size("_w") >= words)
-    keys = F.transform(F.sequence(F.lit(1), F.size("_w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
-    hits = e.select("entry_id", F.explode(F.array_distinct(keys)).alias("k")).join(p, "k")
+    p = p.select("item_id", "passage", F.xxhash64(F.array_join(F.slice("_w", 2, inner), " ")).alias("k"))
+    wanted = p.select("k").distinct()
+    wanted = F.broadcast(wanted) if passages.count() <= FEW else wanted
+    e = entries.select("entry_id", split("body_text").alias("_w")).filter(F.size("_w") >= inner)
+    keys = F.transform(F.sequence(F.lit(1), F.size("_w") - (inner - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, inner), " ")))
+    hits = e.select("entry_id", F.explode(F.array_distinct(keys)).alias("k")).join(wanted, "k", "left_semi").join(p, "k")
     return hits.join(entries.select("entry_id", "body_text"), "entry_id").filter(F.contains("body_text", "passage")).select("entry_id", "item_id").distinct()

@@ -99,28 +99,28 @@ def scope_feeds(archive, scope: Scope) -> DataFrame | None:
     return feeds.distinct()
 
 
-def in_scope(archive, scope: Scope, now_ms: int, read: Column | None = None, starred: Column | None = None) -> DataFrame:
+def in_scope(archive, scope: Scope, now_ms: int, read: Column | None = None, starred: Column | None = None, more: dict[str, dict[str, Column]] | None = None) -> DataFrame:
     """Entries with ``in_scope``: the test of a single entry, where no state counts as unread and unstarred.
 
-    ``read`` and ``starred`` replace the state's values, to ask what held before an op.
+    ``read`` and ``starred`` replace the state's values, to ask what held before an op. ``more`` names further such
+    tests, with their replacements, as columns of the same pass.
     """
     rows = archive.entries.join(archive.entry_state, "entry_id", "left")
-    read = F.coalesce("is_read", F.lit(False)) if read is None else read
-    starred = F.coalesce("starred", F.lit(False)) if starred is None else starred
-    hit = F.lit(scope.days is None)
-    if scope.days is not None:
-        hit = hit | (F.col("published_at_ms") >= now_ms - scope.days * DAY_MS)
-    if scope.include_starred:
-        hit = hit | starred
-    if scope.include_unread:
-        hit = hit | ~read
     feeds = scope_feeds(archive, scope)
-    if feeds is not None:
-        rows = rows.join(feeds.withColumn("_in", F.lit(True)), "feed_id", "left")
-        hit = hit & F.coalesce("_in", F.lit(False))
-        rows = rows.withColumn("in_scope", hit).drop("_in")
-        return rows
-    return rows.withColumn("in_scope", hit)
+    rows = rows.withColumn("_in", F.lit(True)) if feeds is None else rows.join(feeds.withColumn("_in", F.lit(True)), "feed_id", "left")
+
+    def test(read: Column | None = None, starred: Column | None = None) -> Column:
+        hit = F.lit(scope.days is None)
+        if scope.days is not None:
+            hit = hit | (F.col("published_at_ms") >= now_ms - scope.days * DAY_MS)
+        if scope.include_starred:
+            hit = hit | (F.coalesce("starred", F.lit(False)) if starred is None else starred)
+        if scope.include_unread:
+            hit = hit | ~(F.coalesce("is_read", F.lit(False)) if read is None else read)
+        return hit & F.coalesce("_in", F.lit(False))
+
+    tests = {"in_scope": test(read, starred)} | {name: test(**given) for name, given in (more or {}).items()}
+    return rows.withColumns(tests).drop("_in")
 
 
 def scope_list(archive, scope: Scope, now_ms: int) -> DataFrame:
@@ -155,10 +155,10 @@ def delta(archive, ops: DataFrame, scope: Scope, now_ms: int) -> DataFrame:
     ops and ops on unknown entries pass. A read or starred op also passes if its entry was in scope with that field's
     opposite.
     """
-    base = in_scope(archive, scope, now_ms).select(F.col("entry_id").alias("entity_id"), "is_read", "starred", F.col("in_scope").alias("now_in"))
-    read_before = in_scope(archive, scope, now_ms, read=~F.coalesce("is_read", F.lit(False))).select(F.col("entry_id").alias("entity_id"), F.col("in_scope").alias("read_in"))
-    star_before = in_scope(archive, scope, now_ms, starred=~F.coalesce("starred", F.lit(False))).select(F.col("entry_id").alias("entity_id"), F.col("in_scope").alias("star_in"))
-    rows = ops.join(base, "entity_id", "left").join(read_before, "entity_id", "left").join(star_before, "entity_id", "left")
+    unread, unstarred = ~F.coalesce("is_read", F.lit(False)), ~F.coalesce("starred", F.lit(False))
+    rows = in_scope(archive, scope, now_ms, more={"read_in": {"read": unread}, "star_in": {"starred": unstarred}})
+    base = rows.select(F.col("entry_id").alias("entity_id"), F.col("in_scope").alias("now_in"), "read_in", "star_in")
+    rows = ops.join(base, "entity_id", "left")
     passes = (F.col("entity") != "entry") | F.col("now_in").isNull() | F.col("now_in") | ((F.col("field") == "read") & F.col("read_in")) | ((F.col("field") == "starred") & F.col("star_in"))
     return rows.filter(passes).select(*ops.columns)
 

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges within which a batch of changes is numbered.
+PARTS = 64
+
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Old rows, with rows of a key that ``new`` has replaced by those."""
@@ -29,10 +32,16 @@ def fan_out(entries: DataFrame) -> dict[str, DataFrame]:
 def journal(changes: DataFrame, device: str, clock: int, last_seq: int, now_ms: int) -> DataFrame:
     """Changes (entity_id, field, val, pos) as rows of the change log: each ticks the clock and takes the next seq.
 
-    Numbers follow pos; a device's own changes of one step are few, as it makes them one by one.
+    Numbers follow pos. Changes are numbered within ranges of it, after how many lie in the ranges before.
     """
-    n = F.row_number().over(Window.orderBy("pos"))
-    return changes.select((F.lit(last_seq) + n).cast("long").alias("seq"), F.lit(device).alias("device_id"), (F.lit(clock) + n).cast("long").alias("lamport"), "entity_id", "field", "val", F.lit(now_ms).alias("ts_ms"))
+    edges = sorted(set(changes.approxQuantile("pos", [k / PARTS for k in range(1, PARTS)], 0.01)))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("pos"))) if edges else F.lit(0)
+    rows = changes.withColumn("_part", part)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))  # a row per range
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy("pos"))).join(F.broadcast(starts), "_part")
+    n = F.col("_before") + F.col("_place")
+    return rows.select((F.lit(last_seq) + n).cast("long").alias("seq"), F.lit(device).alias("device_id"), (F.lit(clock) + n).cast("long").alias("lamport"), "entity_id", "field", "val", F.lit(now_ms).alias("ts_ms"))
 
 
 def acknowledged(outbox: DataFrame, confirmed: DataFrame) -> DataFrame:

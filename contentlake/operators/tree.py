@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentlake.shared import saved
+
 MAX_DEPTH = 64
 
 
@@ -14,16 +16,17 @@ def closure(folders: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(ancestor, folder_id) for every folder and each of its ancestors, itself included.
 
     Pairs are joined with themselves, so each round doubles the depth that is covered and a tree of depth d takes
-    log2(d) rounds; a cycle adds no new pair, which ends the loop. Rows without an id take no part, a parent that
+    log2(d) rounds; a cycle adds no new pair, which ends the loop. Each round is saved, so that plans stay small. Rows without an id take no part, a parent that
     doesn't exist is no ancestor.
     """
     nodes = folders.filter("folder_id IS NOT NULL")
     ids = nodes.select("folder_id").distinct()
     up = nodes.join(ids.select(F.col("folder_id").alias("parent_id")), "parent_id").select(F.col("parent_id").alias("ancestor"), "folder_id")
-    pairs = ids.select(F.col("folder_id").alias("ancestor"), "folder_id").unionByName(up).distinct()
+    pairs = saved(ids.select(F.col("folder_id").alias("ancestor"), "folder_id").unionByName(up).distinct(), "closure")
     count, depth = pairs.count(), 1
     while depth < max_depth:
         further = pairs.alias("a").join(pairs.alias("b"), F.col("a.folder_id") == F.col("b.ancestor")).select(F.col("a.ancestor").alias("ancestor"), F.col("b.folder_id").alias("folder_id")).distinct()
+        further = saved(further, "closure")
         more = further.count()
         if more == count:
             break

@@ -41,10 +41,10 @@ def state_upsert(a: Archive) -> DataFrame:
     return tables.upsert(a.entry_state, new, ["entry_id"])
 
 
-@query("SELECT entry_id, FALSE AS is_read, FALSE AS starred FROM entries WHERE entry_id % 3 = 1")
+@query("SELECT entry_id, FALSE AS is_read, FALSE AS starred FROM entries WHERE entry_id NOT IN (SELECT entry_id FROM entry_state)")
 def insert_defaults(a: Archive) -> DataFrame:
-    """The state that new entries start with."""
-    return tables.fan_out(a.entries.filter("entry_id % 3 = 1"))["entry_state"]
+    """The state that entries start with that have none yet."""
+    return tables.fan_out(a.entries.join(a.entry_state.select("entry_id"), "entry_id", "left_anti"))["entry_state"]
 
 
 @query(f"SELECT 5000 + row_number() OVER (ORDER BY entry_id) AS seq, 'd1' AS device_id, 70 + row_number() OVER (ORDER BY entry_id) AS lamport, entry_id AS entity_id, 'read' AS field, 'true' AS val, {NOW_MS} AS ts_ms FROM ({PAGE}) p")
