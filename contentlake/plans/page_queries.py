@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from contentlake.operators import delivery
 from contentlake.operators.selection import Selection, select_entries
 from contentlake.plans.archive_queries import picked
 from contentlake.plans.sync_queries import winners
+from contentlake.shared import shared
 from contentlake.sinks import exports
 from contentlake.sources import feeds, pages
 from contentlake.streaming import jobs
@@ -118,23 +118,22 @@ def selector_guess(a: Archive) -> DataFrame:
     return pages.guess_selectors(pages.elements(a.table("pages")))
 
 
-NUMBERED = "SELECT entry_id, feed_id, title, body_text, published_at_ms, row_number() OVER (PARTITION BY feed_id ORDER BY published_at_ms DESC, entry_id) AS n FROM entries"
+NUMBERED = "SELECT entry_id, feed_id, title, body_text, published_at_ms, row_number() OVER (PARTITION BY feed_id ORDER BY published_at_ms DESC, entry_id) - 1 AS n FROM entries"
 
 
-@query(f"SELECT feed_id, CAST(n - 1 AS INTEGER) AS pos, 'https://' || feed_id || '.example.org/' || CAST(entry_id AS VARCHAR) AS url, published_at_ms AS published_ms, sha256(feed_id || chr(0) || CAST(entry_id AS VARCHAR)) AS guid_hash FROM ({NUMBERED}) x WHERE n <= 40")
+@query(f"SELECT feed_id, n // 40 AS page, CAST(n % 40 AS INTEGER) AS pos, 'https://' || feed_id || '.example.org/' || CAST(entry_id AS VARCHAR) AS url, published_at_ms AS published_ms, sha256(feed_id || chr(0) || CAST(entry_id AS VARCHAR)) AS guid_hash FROM ({NUMBERED}) x")
 def feed_parse(a: Archive) -> DataFrame:
-    """RSS documents written from the archive, and read back."""
+    """RSS documents of 40 entries each, written from the whole archive, and read back."""
     parsed = feeds.parse_feeds(feeds.rss_documents(a.entries, 40), NOW_MS)
-    return feeds.feed_entries(parsed).select("feed_id", "pos", "url", F.col("published_ms"), "guid_hash")
+    return feeds.feed_entries(parsed).select("feed_id", "page", "pos", "url", F.col("published_ms"), "guid_hash")
 
 
 @query("SELECT f.feed_id, f.url, d.name AS folder FROM feeds f JOIN folders d ON f.folder_id = d.folder_id")
 def opml_roundtrip(a: Archive) -> DataFrame:
-    """The list of feeds as OPML, and read again: a list for one reader, which is small."""
-    folders = [r.asDict() for r in a.folders.collect()]
-    text = feeds.write_opml(folders, [r.asDict() for r in a.feeds.select("url", F.col("feed_id").alias("title"), "folder_id").collect()])
-    found = feeds.read_opml(text).feeds
-    return a.spark.createDataFrame([(f["title"], f["url"], f["folder"]) for f in found], "feed_id string, url string, folder string")
+    """Each folder's feeds as OPML outlines, and read again."""
+    rows = a.feeds.join(a.folders.select("folder_id", F.col("name").alias("folder")), "folder_id")
+    found = feeds.read_outlines(feeds.opml_documents(rows.select("folder", "url", F.col("feed_id").alias("title"))))
+    return found.select(F.col("title").alias("feed_id"), "url", "folder")
 
 
 @query()
@@ -161,16 +160,6 @@ def mail_deliveries(a: Archive) -> DataFrame:
 # streams
 
 
-def scratch(name: str) -> str:
-    return tempfile.mkdtemp(prefix=f"contentlake-{name}-")
-
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A folder for a checkpoint or a stream's files that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{name}-{uuid.uuid4().hex}" if base else f"file://{scratch(name)}"
-
-
 @query(winners("ops").replace(", seq FROM", " FROM"))
 def stream_lww(a: Archive) -> DataFrame:
     """Last writer per key, kept up to date by a stream over the log's files."""
@@ -195,7 +184,7 @@ def stream_watch(a: Archive) -> DataFrame:
     """Changes against the last visit, with state kept between batches; equal to the batch window."""
     at = shared(a.spark, "watch")
     visits = a.table("events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("visit"), F.col("event_type").alias("seen"))
-    visits.coalesce(1).write.parquet(f"{at}/visits")
+    visits.repartition("entity_id").write.parquet(f"{at}/visits")  # a key's visits lie in one file, so no batch breaks their order
     stream = jobs.stream_changes(jobs.read_log(a.spark, f"{at}/visits", visits.schema), "entity_id", "visit", "seen")
     return jobs.run_once(stream, f"watch_{uuid.uuid4().hex}", "append", f"{at}/state")
 

@@ -11,7 +11,7 @@ from email.utils import parsedate_to_datetime
 from html import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -20,7 +20,7 @@ from contentlake.functions.html import absolute, parse, plain_text, sanitise
 
 #: Types that announce a feed, and where feeds often lie.
 FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/feed+json", "application/json", "application/xml", "text/xml")
-COMMON_PATHS = ("/feed", "/rss", "/rss.xml", "/atom.xml", "/feed.xml", "/index.xml", "/feeds/posts/default", "/blog/feed", "/?feed=rss2", "/feed/", "/rss/")
+COMMON_PATHS = ("/feed", "/feed/", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/index.xml", "/feed.json", "/?feed=rss2", "/blog/feed", "/news/rss")
 AHEAD_MS = 86_400_000
 ITEM = "struct<pos:int,guid:string,url:string,title:string,author:string,summary:string,body:string,published_ms:bigint,updated_ms:bigint,enclosure_url:string,enclosure_type:string>"
 FEED = f"struct<title:string,site_url:string,is_feed:boolean,bozo:boolean,items:array<{ITEM}>>"
@@ -132,41 +132,47 @@ def read_feed(data: bytes | str | None, base: str = "", fetched_ms: int = 0) ->
 
 
 def parse_feeds(documents: DataFrame, fetched_ms: int) -> DataFrame:
-    """(feed_id, feed) from (feed_id, url, content)."""
+    """Documents (url, content, and what tells them apart) with ``feed`` in place of address and content."""
 
     @F.pandas_udf(FEED)
     def feed(content: pd.Series, url: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_feed(c, u or "", fetched_ms) for c, u in zip(content, url, strict=True)], columns=["title", "site_url", "is_feed", "bozo", "items"])
 
-    return documents.select("feed_id", feed(F.col("content"), F.col("url")).alias("feed"))
+    keys = [c for c in documents.columns if c not in ("url", "content")]
+    return documents.select(*keys, feed(F.col("content"), F.col("url")).alias("feed"))
 
 
 def feed_entries(parsed: DataFrame) -> DataFrame:
     """A row per entry with its hashes; of entries with one guid in a document the first stays."""
-    items = parsed.select("feed_id", F.explode("feed.items").alias("i")).select("feed_id", "i.*")
+    keys = [c for c in parsed.columns if c != "feed"]
+    items = parsed.select(*keys, F.explode("feed.items").alias("i")).select(*keys, "i.*")
     guid = F.when(F.col("guid") == "", content_hash(F.col("title"), F.substring("body", 1, 200))).otherwise(F.col("guid"))
     hashed = items.withColumn("guid_hash", guid_hash(F.col("feed_id"), guid)).withColumn("content_hash", content_hash(F.col("title"), F.col("body")))
-    first = hashed.groupBy("feed_id", "guid_hash").agg(F.min("pos").alias("pos"))
-    return hashed.join(first, ["feed_id", "guid_hash", "pos"], "left_semi")
+    first = hashed.groupBy(*keys, "guid_hash").agg(F.min("pos").alias("pos"))
+    return hashed.join(first, [*keys, "guid_hash", "pos"], "left_semi")
 
 
-def rss_documents(entries: DataFrame, per_feed: int) -> DataFrame:
-    """(feed_id, url, content): an RSS document of each feed's newest entries, written by Spark."""
-    rank = F.row_number().over(_newest())
+def rss_documents(entries: DataFrame, per_document: int) -> DataFrame:
+    """(feed_id, page, url, content): RSS documents of all entries, newest first, so many in each, written by Spark.
+
+    An entry's place in its feed is the number of entries of later days plus its place within its day, so that no task
+    sorts a whole feed.
+    """
+    day = F.floor(F.col("published_at_ms") / AHEAD_MS)
+    rows = entries.withColumn("_day", day)
+    ahead = Window.partitionBy("feed_id").orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("feed_id", "_day").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy("feed_id", "_day").orderBy(F.desc("published_at_ms"), "entry_id"))
     item = F.concat(
         F.lit("<item><title>"), _escaped("title"), F.lit('</title><guid isPermaLink="false">'), F.col("entry_id").cast("string"), F.lit("</guid><link>/"), F.col("entry_id").cast("string"), F.lit("</link><pubDate>"),
         F.date_format(F.timestamp_millis("published_at_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</pubDate><description>"), _escaped("body_text"), F.lit("</description></item>"),
     )
-    top = entries.withColumn("n", rank).filter(F.col("n") <= per_feed).select("feed_id", "n", item.alias("item"))
-    grouped = top.groupBy("feed_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), "").alias("items"))
+    placed = rows.select("feed_id", "_day", within.alias("_within"), item.alias("item")).join(starts, ["feed_id", "_day"])
+    n = F.col("_start") + F.col("_within") - 1
+    placed = placed.select("feed_id", F.floor(n / per_document).alias("page"), n.alias("n"), "item")
+    grouped = placed.groupBy("feed_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), "").alias("items"))
     url = F.concat(F.lit("https://"), "feed_id", F.lit(".example.org/feed"))
-    return grouped.select("feed_id", url.alias("url"), F.concat(F.lit('<rss version="2.0"><channel><title>'), "feed_id", F.lit("</title>"), "items", F.lit("</channel></rss>")).alias("content"))
-
-
-def _newest():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("feed_id").orderBy(F.desc("published_at_ms"), "entry_id")
+    return grouped.select("feed_id", "page", url.alias("url"), F.concat(F.lit('<rss version="2.0"><channel><title>'), "feed_id", F.lit("</title>"), "items", F.lit("</channel></rss>")).alias("content"))
 
 
 def _escaped(name: str) -> Column:
@@ -246,6 +252,27 @@ def write_opml(folders: list[dict], feeds: list[dict], title: str = "Subscriptio
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<opml version="2.0">\n  <head><title>{escape(title)}</title></head>\n  <body>\n{write(None, 2)}  </body>\n</opml>\n'
 
 
+def opml_documents(feeds: DataFrame, parts: int = 64) -> DataFrame:
+    """(content): outlines of feeds (folder, url, title) by folder, written by Spark; a large folder takes several."""
+    quoted = lambda c: F.replace(_escaped(c), F.lit('"'), F.lit("&quot;"))
+    line = F.concat(F.lit('<outline type="rss" text="'), quoted("title"), F.lit('" title="'), quoted("title"), F.lit('" xmlUrl="'), quoted("url"), F.lit('"/>'))
+    rows = feeds.select("folder", F.pmod(F.xxhash64("url"), F.lit(parts)).alias("part"), "title", line.alias("line"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("title", "line"))), lambda x: x["line"]), "")
+    name = quoted("folder")
+    whole = F.concat(F.lit('<opml version="2.0"><body><outline text="'), name, F.lit('" title="'), name, F.lit('">'), "body", F.lit("</outline></body></opml>"))
+    return rows.groupBy("folder", "part").agg(body.alias("body")).select(whole.alias("content"))
+
+
+def read_outlines(documents: DataFrame) -> DataFrame:
+    """(folder, url, title) of the feeds of all documents (content)."""
+
+    @F.pandas_udf("array<struct<folder:string,url:string,title:string>>")
+    def outlines(content: pd.Series) -> pd.Series:
+        return pd.Series([[{k: f[k] for k in ("folder", "url", "title")} for f in read_opml(c).feeds] for c in content], dtype=object)
+
+    return documents.select(F.explode(outlines("content")).alias("f")).select("f.*")
+
+
 def new_feeds(found: DataFrame, known: DataFrame) -> DataFrame:
     """Imported feeds whose address isn't subscribed yet; of repeats the first."""
     return found.dropDuplicates(["url"]).join(known.select("url"), "url", "left_anti")

@@ -28,7 +28,10 @@ def stream_first(rows: DataFrame, keys: list[str], time: str, delay: str) -> Dat
 
 
 def stream_changes(visits: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Visits that saw another value than the one before of their key; the state is one value per key."""
+    """Visits that saw another value than the one before of their key; the state is one value per key.
+
+    Batches are to follow each other in ``order``; a batch's visits of one key are sorted together.
+    """
     schema = f"{key} long, {order} long, {value} string"
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,10 +54,24 @@ def windowed_counts(rows: DataFrame, time: str, delay: str, width: str, by: str)
 
 
 def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that is there now, through the stream, as a table in memory: for tests and small results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Everything that is there now, through the stream into files beside the checkpoint, and read from those.
+
+    Only new rows are written in append mode; in complete mode every batch writes the whole result to a folder of its
+    own, so that a repeated batch replaces itself, and the last one counts.
+    """
+    spark, out = df.sparkSession, f"{checkpoint.rstrip('/')}-{name}"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(out)
+    done = []
+
+    def whole(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        done.append(number)
+
+    writer.foreachBatch(whole).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{out}/{max(done)}") if done else spark.createDataFrame([], df.schema)
 
 
 def apply_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str):
