@@ -34,47 +34,62 @@ from contentlake.llm.common import Scratch, small_batches
 CAPACITY, CLOSING, SHARD, ISLANDS, EPOCHS, LOOSE = 4096, 1, 8192, 2, 2, 0.985
 
 
-LAST_SIGN = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+#: Words of these signs alone fall into runs of letters, single digits and runs of other signs, and no normalisation but
+#: that of case concerns them.
+PLAIN, PIECE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: What the tokenizer takes for one token wherever it stands in a text, even within a word.
+WHOLE = (b"<|startoftext|>", b"<|endoftext|>")
+#: The model's sign of each byte: the byte's own if it can be seen, else one beyond 255, in order.
+SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SIGNS = dict(zip([*SEEN, *(b for b in range(256) if b not in SEEN)], [*SEEN, *range(256, 512 - len(SEEN))], strict=True))
 
 
-class WordCoder:
+class WordCoder(dict):
     """Token ids of a text by a tokenizer that drops white space: words between ASCII white space are looked up.
 
-    No token and no normalisation of this tokenizer crosses ASCII white space, so a text's ids are those of its
-    words in turn; nor does it tell A from a, or join a letter and a full stop or comma, which so become words of
-    their own. Words seen first stay in memory up to a bound; others are kept for a while.
+    But for the names of its added tokens, no token and no normalisation of this tokenizer crosses ASCII white space,
+    so a text's ids are those of its words in turn; nor does it tell A from a. Texts with such a name are encoded as they
+    stand. A plain word is encoded by its pieces, for which the model is enough, another one by the whole tokenizer.
+    Words seen first stay in memory (here) up to a bound; others are kept for a while.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 800_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
-        self.lasting: dict[bytes, bytes] = {}
         self.recent: dict[bytes, bytes] = {}
         self.bound = bound
 
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.coder.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.recent.get(word)
+        if ids is None:
+            text = word.decode().lower()
+            if not PLAIN.fullmatch(text):
+                ids = self.encoded(word.decode())
+            elif len(pieces := PIECE.findall(text)) > 1:
+                ids = b"".join([self[p.encode()] for p in pieces])
+            else:
+                ids = array("I", [t.id for t in self.coder.model.tokenize(text.encode().decode("latin-1").translate(SIGNS))]).tobytes()
+            if len(self) < self.bound:
+                self[word] = ids
+            else:
+                if len(self.recent) >= self.bound:
+                    self.recent.clear()
+                self.recent[word] = ids
+        return ids
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; words not seen before are encoded in one call."""
-        split = [LAST_SIGN.sub(rb" \1", t.encode().lower()).split() for t in texts]
-        lasting = self.lasting
-        seen: set[bytes] = set()
-        for text in split:
-            seen.update(text)
-        new = seen.difference(lasting, self.recent)
-        if len(self.recent) + len(new) > self.bound:
-            self.recent = {}
-            new = seen.difference(lasting)
-        words = list(new)
-        encoded = self.coder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, encoded, strict=True):
-            (lasting if len(lasting) < self.bound else self.recent)[w] = array("I", e.ids).tobytes()
-        recent = self.recent
-        for text in split:
-            if recent:
-                yield b"".join([lasting[w] if w in lasting else recent[w] for w in text])
+        """Little-endian unsigned 32-bit ids of each text."""
+        for t in texts:
+            data = t.encode().lower()
+            if WHOLE[0] in data or WHOLE[1] in data:
+                yield self.encoded(t)
             else:
-                yield b"".join(map(lasting.__getitem__, text))
+                yield b"".join(map(self.__getitem__, data.split()))
 
 
 @lru_cache(maxsize=2)
@@ -153,11 +168,11 @@ def fitness(sizes: np.ndarray, genome: np.ndarray, capacity: int) -> tuple[int,
 def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, r: np.random.Generator) -> np.ndarray:
     """Whole well-filled bins of b enter a; bins of a that share a document with them go; the rest is best-fitted."""
     fills = fills_of(sizes, b)
-    chosen = (r.random(len(fills)) < 0.3) & (fills >= np.quantile(fills, 0.25))
+    chosen = (r.random(len(fills)) < r.random() * 0.3) & (fills >= np.quantile(fills, 0.25))
     entering = chosen[b]
     gone = np.zeros(a.max() + 1, bool)
     gone[a[entering]] = True
-    gone[fills_of(sizes, a).argmin()] = True  # a mutation: the emptiest bin is dissolved
+    gone[np.argsort(fills_of(sizes, a), kind="stable")[: r.integers(1, 13)]] = True  # a mutation: the emptiest bins are dissolved
     staying = ~gone[a] & ~entering
     child = np.full(len(a), -1, np.int64)
     _, child[staying] = np.unique(a[staying], return_inverse=True)
@@ -242,7 +257,7 @@ def pack_shards(items: DataFrame, scratch: Scratch, shards: int, capacity: int,
     return best.select("shard", "best.*").mapInPandas(finish, "uid long, length long, bin long, fill long, offset long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard: int = SHARD, generations: int = 6, members: int = 4) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard: int = SHARD, generations: int = 60, members: int = 8) -> DataFrame:
     """Every piece of every document with the sequence that holds it and its place there."""
     scratch = Scratch(docs.sparkSession)
     cut = scratch.save(pieces(docs, path, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
