@@ -98,6 +98,22 @@ def halve(count: int, size_of, limit: int, depth: int = 8) -> list[tuple[int, in
     return split(0, count, depth) if count else []
 
 
+def halved(rows: DataFrame, limit: int, by: str = "feed_id", order: str = "pos", weight: str = "weight", depth: int = 8) -> DataFrame:
+    """Rows with ``part``: a group over the limit is cut in the middle, and so are its halves, ``depth`` times at most; a
+    single row goes anyhow.
+
+    Each round tells by sums which parts to cut, so nothing but sums of a part meets in one task. A part's name is its
+    path of halves. Rows need their place in the group (from 0) as ``order``.
+    """
+    rows = rows.withColumns({"part": F.lit(""), "_at": F.col(order).cast("long")})
+    for _ in range(depth):
+        large = rows.groupBy(by, "part").agg(F.sum(weight).alias("_w"), F.min("_at").alias("_a"), F.count("*").alias("_n")).filter((F.col("_w") > limit) & (F.col("_n") > 1))
+        cut = large.select(by, "part", (F.col("_a") + F.floor(F.col("_n") / 2)).alias("_middle"))
+        half = F.when(F.col("_middle").isNull(), F.lit("")).when(F.col("_at") < F.col("_middle"), F.lit("a")).otherwise(F.lit("b"))
+        rows = rows.join(cut, [by, "part"], "left").withColumn("part", F.concat("part", half)).drop("_middle")
+    return rows.drop("_at")
+
+
 def sections(picked: DataFrame, title: Column) -> DataFrame:
     """Section order (by lower-cased name) and place in it (newest first) of picked entries; nameless ones last name Others."""
     name = F.coalesce(F.nullif(title, F.lit("")), F.lit("Others"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contentlake.bindings import NOW_MS, Archive, sql
@@ -10,7 +10,7 @@ from contentlake.functions import hashing as H
 from contentlake.functions import html
 from contentlake.functions import text as T
 from contentlake.functions.sql import register
-from contentlake.operators import tables
+from contentlake.operators import delivery, tables
 from contentlake.operators.selection import Selection, select_entries
 
 Q, SQL = {}, {}
@@ -116,3 +116,24 @@ def page_images(a: Archive) -> DataFrame:
     clean = html.html_article(F.concat(F.col("html"), F.lit('<img data-src="/a.png"><img src="/b.png"><img src="/b.png"><img src="/track/pixel.gif">')), F.col("url"))
     rows = a.table("pages").select("page_id", "url", clean.alias("clean"))
     return rows.select("page_id", F.explode(html.html_images(F.col("clean"), F.col("url"))).alias("image"))
+
+
+@query("SELECT entry_id, is_read, starred FROM entry_state WHERE FALSE")
+def replica_wiped(a: Archive) -> DataFrame:
+    """A replica's table after a wipe."""
+    return tables.emptied(a.entry_state).select("entry_id", "is_read", "starred")
+
+
+LIMIT = 30_000
+WEIGHTS = "art AS (SELECT feed_id, entry_id, entry_id % 16 AS g, CAST(floor(strlen(body_text) * CAST(0.35 AS DOUBLE)) AS BIGINT) + 2048 AS weight, row_number() OVER (PARTITION BY feed_id, entry_id % 16 ORDER BY entry_id) - 1 AS pos FROM entries), p0 AS (SELECT *, '' AS part FROM art)"
+ROUND = """, p{n} AS (SELECT p.feed_id, p.entry_id, p.g, p.weight, p.pos, p.part || CASE WHEN l.m IS NULL THEN '' WHEN p.pos < l.m THEN 'a' ELSE 'b' END AS part
+  FROM p{k} p LEFT JOIN (SELECT feed_id, g, part, min(pos) + count(*) // 2 AS m FROM p{k} GROUP BY feed_id, g, part HAVING sum(weight) > {limit} AND count(*) > 1) l ON p.feed_id = l.feed_id AND p.g = l.g AND p.part = l.part)"""
+
+
+@query("SELECT feed_id, entry_id, part FROM p3", WEIGHTS + "".join(ROUND.format(n=k + 1, k=k, limit=LIMIT) for k in range(3)))
+def email_halving(a: Archive) -> DataFrame:
+    """Mails that turned out too large, cut into halves three times at most."""
+    group = F.concat("feed_id", F.lit("/"), (F.col("entry_id") % 16).cast("string"))
+    rows = a.entries.select("feed_id", "entry_id", group.alias("mail"), delivery.article_weight(F.col("body_text")).alias("weight"))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("mail").orderBy("entry_id")) - 1)
+    return delivery.halved(rows, LIMIT, "mail", depth=3).select("feed_id", "entry_id", "part")

@@ -215,6 +215,19 @@ def rule_exports(a: Archive) -> DataFrame:
     return jobs.groupBy("target").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_id"))
 
 
+@query("SELECT entry_id, rule, action, value FROM acts", RULE_SQL)
+def rules_written_and_read(a: Archive) -> DataFrame:
+    """Rules do the same after they were written as YAML and read again."""
+    again = rules.read_rules(rules.write_rules(rules.read_rules(RULES)))
+    return rules.effects(rules.evaluate(rules.candidates(a), again)).select("entry_id", "rule", "action", "value")
+
+
+@query("SELECT feed_id, CASE WHEN custom_title <> '' THEN custom_title ELSE title END AS title, url AS site FROM feeds")
+def feed_fill_blanks(a: Archive) -> DataFrame:
+    """What a channel says fills only what a feed leaves blank."""
+    return a.feeds.select("feed_id", ingest.fill_blanks(F.col("custom_title"), F.col("title")).alias("title"), ingest.fill_blanks(F.lit(""), F.col("url")).alias("site"))
+
+
 def single(name: str, text: str, oracle: str, more: str = RULE_SQL) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = rules.evaluate(rules.candidates(Archive(spark, sf_dir)), rules.read_rules(text))
