@@ -10,10 +10,13 @@ products are computed for survivors only. No pair that could be in the result is
 The stated query set meets all rows in blocks of bounded size: a task holds one block of queries and one block of
 candidates, and returns k rows a query; a window over those merges the blocks.
 
-Defined cases: rows with a null id or vector, an empty vector, or a null or non-finite component take no part;
-rows of one id count once (the smallest vector in array order); a query has no partner with its own id, nor of
-another length; ties go to the smaller id; tables without rows give none; further columns are not read.
-Components are to be below 2**19 in magnitude and vectors below 2**13 long, so that products are exact.
+How much the bounds save depends on the data: vectors in clusters leave few pairs to the exact step, those spread evenly
+over all directions leave nearly all. A level is used only where its bound costs at most half the product itself.
+
+Defined cases: rows with a null id or vector, an empty vector, or a null or non-finite component take no part; rows that
+repeat an id are all candidates, and rows of a query's id share its one result; a query has no partner with its own id,
+nor of another length; ties go to the smaller id; tables without rows give none; further columns are not read. A vector
+whose scaled components' squares add up to over 2**51 is an error, since its products might not be exact.
 """
 
 from __future__ import annotations
@@ -25,7 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = (4, 16)
+LEVELS = (4, 16, 64)
+
+
+def levels(width: int) -> tuple[int, ...]:
+    """Numbers of segments, coarse to fine, whose bounds cost at most half a product of this width."""
+    return tuple(n for n in LEVELS if 4 * n <= width) or LEVELS[:1]
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -49,21 +57,25 @@ def products(rows: np.ndarray, others: np.ndarray, alive: np.ndarray) -> np.ndar
     return out
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, at_once: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query, ids and scores of its k best rows of x; score descending, id ascending."""
-    features = [segment_features(x, n) for n in LEVELS]
+def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, at_once: int = 128, left: list[float] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query, ids and scores of its k best rows of x; score descending, id ascending. ``left`` is given the
+    shares of pairs that no bound removed."""
+    cuts = levels(x.shape[1])
+    features = [segment_features(x, n) for n in cuts]
     for at in range(0, len(q), at_once):
         rows, ids = q[at : at + at_once], q_ids[at : at + at_once]
         alive = x_ids[None, :] != ids[:, None]
-        bound = products(segment_features(rows, LEVELS[0]), features[0], alive)
+        bound = products(segment_features(rows, cuts[0]), features[0], alive)
         slack = 1e-6 * (1 + np.abs(bound[alive]).max(initial=0))
         first = min(4 * k, len(x))
         probe = np.argpartition(-bound, first - 1, axis=1)[:, :first]
         known = np.where(np.take_along_axis(alive, probe, 1), np.einsum("qd,qnd->qn", rows, x[probe]), -np.inf)
         least = np.partition(known, first - min(k, first), axis=1)[:, first - min(k, first), None]
         alive &= bound >= least - slack
-        for segments, feature in zip(LEVELS[1:], features[1:], strict=True):
+        for segments, feature in zip(cuts[1:], features[1:], strict=True):
             alive &= products(segment_features(rows, segments), feature, alive) >= least - slack
+        if left is not None:
+            left.append(alive.mean())
         score = products(rows, x, alive)
         most = min(k, len(x))
         least = np.partition(score, len(x) - most, axis=1)[:, len(x) - most, None]
@@ -83,17 +95,19 @@ def usable(vector: str = "embedding") -> Column:
 
 
 def quantised(vector: str = "embedding", scale: int = 64) -> Column:
-    """floor(scale * component), with components taken as double."""
-    return F.transform(vector, lambda c: F.floor(c.cast("double") * scale).cast("long"))
+    """floor(scale * component), with components taken as double; an error where products might not be exact."""
+    square = F.aggregate(vector, F.lit(0.0), lambda t, c: t + F.pow(c.cast("double") * scale, F.lit(2.0)))
+    small = F.transform(vector, lambda c: F.floor(c.cast("double") * scale).cast("long"))
+    return F.when(square <= 2.0**51, small).otherwise(F.raise_error(F.lit("a vector is too large for exact inner products")))
 
 
 def topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 4096, row_block: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k highest integer inner products."""
     clean = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector).alias("embedding")).filter(F.col("vec_id").isNotNull() & usable())
-    rows = clean.select("vec_id", quantised().alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    rows = clean.select("vec_id", quantised().alias("v"), F.monotonically_increasing_id().alias("place")).withColumn("dim", F.size("v"))
     counts = clean.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     query_blocks, row_blocks = -(-max(counts["q"], 1) // query_block), -(-max(counts["n"], 1) // row_block)
-    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
+    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = rows.filter(is_query).select("dim", block(query_blocks, 1).alias("qb"), each(row_blocks).alias("xb"), "vec_id", "v")
     given = rows.select("dim", each(query_blocks).alias("qb"), block(row_blocks, 2).alias("xb"), "vec_id", "v")
