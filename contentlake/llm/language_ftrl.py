@@ -13,7 +13,6 @@ columns are not read. Without any labelled row every text is ``und``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +20,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlake.llm.common import small_batches
+from contentlake.llm.common import LONGEST, small_batches
 
 BITS = 16
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
 
+def lettered(text: str | None) -> bool:
+    """Has the text a character of a letter category (L)?"""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def windows(text: str) -> np.ndarray:
     """Bucket of every window of two and three characters; spaces frame the text."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -49,7 +52,7 @@ class Languages:
         return self.weights[windows(text)].mean(0, dtype=np.float64) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.names or text is None or not LETTER.search(text):
+        if not self.names or not lettered(text):
             return UNDETERMINED, 0.0
         z = self.logits(text) / self.temperature
         e = np.exp(z - z.max())
@@ -72,7 +75,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, seed: int = 7) -> Languages:
     """FTRL-proximal with elastic net, then a temperature on every fifth row."""
-    rows = [(t, y) for t, y in rows if t and LETTER.search(t)]
+    rows = [(t, y) for t, y in rows if lettered(t)]
     names = sorted({y for _, y in rows})
     size = 1 << BITS
     if not names:
@@ -102,17 +105,19 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 2.0, beta
     return model
 
 
-def sample(docs: DataFrame, bound: int, label: str = "lang") -> list[tuple[str, str]]:
-    """At most ``bound`` rows with a text and a language, in the order of a hash of the id; sorted."""
-    useful = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(label).isNotNull())
+def sample(docs: DataFrame, bound: int, label: str = "lang", longest: int = LONGEST) -> list[tuple[str, str]]:
+    """At most ``bound`` rows with a text of at most ``longest`` characters and a language, in the order of a hash of the
+    id; sorted. Of several such rows of one id the smallest counts."""
+    useful = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") <= longest) & F.col(label).isNotNull())
     order = F.xxhash64(F.concat(F.lit("language"), F.col("doc_id").cast("string")))
     ids = useful.select(order.alias("o"), "doc_id").distinct().orderBy("o", "doc_id").limit(bound).select("doc_id")
     chosen = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    rows = useful.select("doc_id", "text", label).join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["text"], r[label]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r[label]))]
+    least = F.min(F.struct(F.col("text").alias("t"), F.col(label).alias("y"))).alias("r")
+    rows = useful.select("doc_id", "text", label).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(least).collect()
+    return [(r["r"]["t"], r["r"]["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def fit(docs: DataFrame, bound: int = 2000, label: str = "lang") -> Languages:
-    """Train on at most ``bound`` rows; everything else about the operator sees all data."""
+    """Train on at most ``bound`` rows (see ``sample``); everything else about the operator sees all data."""
     small_batches(docs.sparkSession)
     return train(sample(docs, bound, label))
