@@ -24,13 +24,14 @@ def dealt(where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(where[order[i]]), order[i:j]
 
 
-def spread_join(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def spread_join(rows: DataFrame, unique: DataFrame, key: str | list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join on a key that ``rows`` may hold very often and ``unique`` holds once: no task gets all rows of a key."""
     if unique.count() <= most:
         return rows.join(F.broadcast(unique), key, how)
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).alias("_salt")
     salted = unique.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt"))
-    return rows.select("*", salt).join(salted, [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    return rows.select("*", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def fold(doc_id: Column | str, mod: int) -> Column:
@@ -49,8 +50,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Scratch:
     """Intermediate tables in the folder that every executor can read.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a single machine) a temporary
-    folder is made. A saved table cuts the lineage, so that a lost executor costs no more than the
+    The folder is ``spark.checkpoint.dir``; only where that is unset on a single machine (tests) a temporary
+    folder is made. On a cluster an unset folder is an error: no other place is known to be shared. A saved table cuts the lineage, so that a lost executor costs no more than the
     stage that was running.
     """
 
@@ -60,6 +61,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or Scratch._local
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = Scratch._local = f"file://{tempfile.mkdtemp(prefix='contentlake-')}"
         self.base = f"{base.rstrip('/')}/contentlake-{uuid.uuid4().hex}"
         self.count = 0
@@ -80,12 +83,16 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, bound: int, salt: str) -> list[tuple[str, object]]:
-    """At most ``bound`` labelled ids in the order of a salted hash, with the texts of those ids.
+#: Characters of the longest text that a classifier's sample takes in: with the bound on rows it bounds what the driver holds.
+LONGEST = 60_000
+
+
+def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, bound: int, salt: str, longest: int = LONGEST) -> list[tuple[str, object]]:
+    """At most ``bound`` labelled ids in the order of a salted hash, each with one text of at most ``longest`` characters.
 
     Only ids pass through the top-k; the texts are then fetched with a broadcast of those ids, whose number is
-    bounded. Rows with a null id, label or text are left out; of several labels of one id the largest counts.
-    Rows are sorted, so that the same data give the same model.
+    bounded. Rows with a null id, label or text are left out; of several labels of one id the largest counts, of
+    several texts the smallest. Rows are sorted, so that the same data give the same model.
     """
     ids = (
         labelled.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -95,8 +102,9 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, label: str, bound: int
         .limit(bound)
     )
     chosen = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
