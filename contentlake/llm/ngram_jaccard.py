@@ -16,9 +16,9 @@ A text's set is that of its distinct five-word shingles. Two texts link when 100
 4. A bucket's leader is the class with the smallest share of shingles of its own: of a group of near copies that
    is one close to what they were copied from. Every class of a bucket is compared with its leader, unless a bound
    rules a link out; a leader's cluster is all of those classes. Pairs that share a signature are in one cluster, at least.
-5. Links between leaders and members make first components. A further link joins two of them; its end x in the
-   component with fewer classes asks. What x shares with the nearest leader L that it doesn't link to is known, so a
-   partner too large to link by that alone has a shingle of x outside L; of the m such shingles that several components
+5. Links between leaders and members make first components. A further link joins two of them; its end x in the component
+   with fewer classes asks. What x shares with the nearest leader L that it doesn't link to is known (or measured now, if L is likely to be near), so a
+   partner too large to link by that alone has a shingle of x outside L; of the m such shingles that other classes
    have, it has at least t, hence one of the m - t + 1 rarest. Smaller partners are sought by the rarest shingles of x
    as a whole. Both are joins on shingles, within the sizes that can link, across components only; what they find is
    bounded and compared. So each pair that shares a signature has been compared, ruled out, or is connected anyhow: no
@@ -53,7 +53,7 @@ SHARE = 0.4
 #: Parts of a group and how many may differ; shingles of a bucket, and of a task before it hands them on.
 PARTS, DIFFER, BUCKET, FLUSH = 3, 1, 3_000_000, 1_000_000
 #: Bins of the last bound.
-BINS = 64
+BINS = 256
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -225,10 +225,36 @@ def alone_in(shares: DataFrame, deals: int) -> DataFrame:
     return found.groupBy("deal").applyInPandas(total, "cls long, alone long")
 
 
+def rarity(shares: DataFrame, deals: int) -> DataFrame:
+    """(cls, h): the shingles of a packed set that other classes have too, the rarest first."""
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        key = np.frombuffer(b"".join(group["keys"]), np.uint64)
+        owner = np.repeat(np.frombuffer(b"".join(group["who"]), np.int64), np.frombuffer(b"".join(group["runs"]), np.int32))
+        _, place, often = np.unique(key, return_inverse=True, return_counts=True)
+        often = often[place].astype(np.int32)
+        key, owner, often = key[often > 1], owner[often > 1], often[often > 1]
+        rows = [(to, owner[at].tobytes(), key[at].tobytes(), often[at].tobytes()) for to, at in dealt((mixed(owner.view(np.uint64)) % np.uint64(deals)).astype(np.int64))]
+        return pd.DataFrame(rows, columns=["deal", "who", "keys", "counts"])
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        owner, key, often = (np.frombuffer(b"".join(group[c]), t) for c, t in (("who", np.int64), ("keys", np.int64), ("counts", np.int32)))
+        order = np.lexsort((key, often, owner))
+        names, first = np.unique(owner[order], return_index=True)
+        return pd.DataFrame({"cls": names, "h": np.split(key[order], first[1:])})
+
+    found = shares.groupBy("bucket").applyInPandas(count, "deal int, who binary, keys binary, counts binary")
+    return found.groupBy("deal").applyInPandas(gather, "cls long, h array<long>")
+
+
 def linkable(classes: DataFrame, alone: DataFrame) -> DataFrame:
     """Classes (cls, n, ...) without those that have over a quarter of their shingles to themselves (alone)."""
     with_counts = classes.join(alone, "cls", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    return with_counts.filter(100 * F.col("alone") <= (100 - PERCENT) * F.col("n"))
+    return with_counts.filter(few_alone())
+
+
+def few_alone() -> Column:
+    return 100 * F.col("alone") <= (100 - PERCENT) * F.col("n")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -383,7 +409,7 @@ def leader_pairs(every: DataFrame, salts: int) -> DataFrame:
         return pairs_of(leaders["lead"].to_numpy()[np.searchsorted(leaders["sig"].to_numpy(), sig)], who) if len(sig) else pairs_of(who, who)
 
     leaders = every.groupBy("bucket").applyInPandas(local, "part int, sig long, own int, cls long").groupBy("part", "sig").agg(F.min(F.struct("own", "cls"))["cls"].alias("lead"))
-    leaders = leaders.select((F.col("part") * salts + F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("bucket"), "sig", "lead")
+    leaders = leaders.select(F.explode(F.sequence(F.col("part") * salts, F.col("part") * salts + salts - 1)).alias("bucket"), "sig", "lead")
     return every.groupBy("bucket").cogroup(leaders.groupBy("bucket")).applyInPandas(joined, "lead long, cls long").distinct()
 
 
@@ -415,12 +441,16 @@ def bins(sets: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (lead, cls) with ``open``: whether sizes, shared shingles and bins allow a link."""
-    side = lambda name, mark: facts.select(F.col("cls").alias(name), *(F.col(c).alias(f"{mark}_{c}") for c in ("n", "held", "bins")))
-    rows = pairs.join(side("lead", "x"), "lead").join(side("cls", "y"), "cls")
+    """The pairs (lead, cls) with ``sizes``, ``open`` (whether sizes, shared shingles and bins allow a link), and the bound
+    by bins (null if it isn't needed to rule out a link)."""
+    side = lambda name, mark, *of: facts.select(F.col("cls").alias(name), *(F.col(c).alias(f"{mark}_{c}") for c in of))
+    rows = pairs.join(side("lead", "x", "n", "held"), "lead").join(side("cls", "y", "n", "held"), "cls")
     sizes = F.col("x_n") + F.col("y_n")
-    fits = 100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n")
-    return rows.select("lead", "cls", sizes.alias("sizes"), (fits & enough(F.least("x_held", "y_held"), sizes) & enough(binned("x_bins", "y_bins"), sizes)).alias("open"))
+    fits = (100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n")) & enough(F.least("x_held", "y_held"), sizes)
+    rows = rows.select("lead", "cls", sizes.alias("sizes"), fits.alias("open"))
+    closer = rows.filter("open").join(side("lead", "x", "bins"), "lead").join(side("cls", "y", "bins"), "cls").select("lead", "cls", "sizes", binned("x_bins", "y_bins").alias("bound"))
+    closed = rows.filter("NOT open").select("lead", "cls", "sizes", F.lit(None).cast("int").alias("bound"), "open")
+    return closed.unionByName(closer.withColumn("open", enough(F.col("bound"), F.col("sizes"))))
 
 
 def binned(a: str, b: str) -> Column:
@@ -431,7 +461,8 @@ def binned(a: str, b: str) -> Column:
 def late_pairs(cluster: DataFrame, facts: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (lead, cls) of classes of different labels, for links that no leader shows (step 5).
 
-    cluster: lead, cls, i (null if it wasn't measured), linked (to the lead). facts: cls, n, held, label, mass.
+    cluster: lead, cls, i (null if it wasn't measured), bound, linked (to the lead). facts: cls, n, held, label, mass.
+    sets: cls and its shingles that other classes have too, the rarest first.
     """
     itself = cluster.select("lead").distinct().select("lead", F.col("lead").alias("cls"))
     rows = scratch.save(cluster.select("lead", "cls").unionByName(itself).join(facts.select("cls", "n", "held", "label", "mass"), "cls"), "rows")
@@ -441,25 +472,31 @@ def late_pairs(cluster: DataFrame, facts: DataFrame, sets: DataFrame, scratch: S
     heaviest = rows.groupBy("lead").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.max(F.struct("mass", "label"))["label"].alias("top"))
     several = scratch.save(heaviest.filter("l <> m").select("lead", "top"), "several")
     askers = spread_join(rows, several, "lead").filter("label <> top").groupBy("cls").agg(F.min("lo").alias("lo"))
+    askers = scratch.save(askers, "askers")
     near = cluster.filter("NOT linked AND i IS NOT NULL").groupBy("cls").agg(F.max(F.struct("i", "lead")).alias("near"))
+    likely = cluster.join(askers.join(near, "cls", "left_anti").join(facts.select("cls", "n"), "cls"), "cls").filter("i IS NULL AND 2 * bound >= n")
+    likely = measured(likely.groupBy("cls").agg(F.max(F.struct("bound", "lead"))["lead"].alias("lead")), sets)
+    near = near.unionByName(likely.select("cls", F.struct(F.col("i"), "lead").alias("near")))
     asks = askers.join(near, "cls", "left").join(facts.select("cls", "n", "held", "label", "mass"), "cls")
     asks = asks.select("cls", "n", "label", "mass", "lo", F.coalesce("near.i", F.lit(0)).cast("long").alias("i"), "near.lead", F.expr(f"{100 + PERCENT} * held div {PERCENT} - n").alias("most"))
     asks = scratch.save(asks.withColumn("inside", F.expr(f"{100 + PERCENT} * i div {PERCENT} - n")), "asks")
     beyond = asks.withColumn("lo", F.greatest("lo", F.col("inside") + 1))
     within = asks.filter("inside >= lo").select("cls", "n", "label", "mass", "lo", F.lit(0).cast("long").alias("i"), F.lit(None).cast("long").alias("lead"), F.least("most", "inside").alias("most"))
     asks = beyond.drop("inside").unionByName(within).filter("lo <= most")
-    own, theirs = sets.select("cls", "s"), sets.select(F.col("cls").alias("lead"), F.col("s").alias("ls"))
-    left = F.explode(F.array_except("s", F.coalesce("ls", F.array().cast("array<long>")))).alias("e")
+    asks = scratch.save(asks, "asks")
+    leads = scratch.save(asks.filter("lead IS NOT NULL").select("lead").distinct(), "leads")
+    theirs = spread_join(sets.select(F.col("cls").alias("lead"), F.col("s").alias("ls")), leads, "lead")
     fewest = F.ceil((F.col("n") + F.col("lo")) * PERCENT / (100 + PERCENT)) - F.col("i")
-    asked = scratch.save(asks.join(own, "cls").join(theirs, "lead", "left").select("cls", "label", "mass", "lo", "most", fewest.alias("fewest"), left), "asked")
+    mine = asks.select("cls", "lo", "most", "label", "mass", "lead", fewest.cast("int").alias("fewest"))
+    asked = spread_join(sets.select("cls", "s"), mine, "cls").join(theirs, "lead", "left")
+    asked = asked.withColumn("s", F.array_except("s", F.coalesce("ls", F.array().cast("array<long>")))).filter("size(s) >= fewest")
+    rarest = F.explode(F.slice("s", F.lit(1), F.size("s") - F.col("fewest") + 1)).alias("e")
+    asked = scratch.save(asked.select("cls", "lo", "most", "label", "mass", rarest), "asked")
     wanted = scratch.save(asked.select("e").distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    holders = facts.select(F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("mass").alias("y_mass")).join(sets.select(F.col("cls").alias("y"), F.explode("s").alias("e")), "y")
-    index = scratch.save(holders.join(wanted, "e", "left_semi"), "index")
-    common = index.groupBy("e").agg(F.count("*").alias("c"), F.min("y_label").alias("l"), F.max("y_label").alias("m")).filter("l <> m").select("e", "c")
-    one = Window.partitionBy("cls", "lo", "most")
-    ranked = asked.join(common, "e").withColumns({"rn": F.row_number().over(one.orderBy("c", "e")), "all": F.count("*").over(one)})
-    found = ranked.filter("rn <= all - fewest + 1").join(index, "e").filter("(y_mass > mass OR y_mass = mass AND y_label > label) AND y_n BETWEEN lo AND most")
+    there = sets.select(F.col("cls").alias("y"), F.explode("s").alias("e")).join(wanted, "e")
+    there = spread_join(there, facts.select(F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("mass").alias("y_mass")), "y")
+    found = asked.join(there, "e").filter("(y_mass > mass OR y_mass = mass AND y_label > label) AND y_n BETWEEN lo AND most")
     return found.select(F.least("cls", "y").alias("lead"), F.greatest("cls", "y").alias("cls")).distinct()
 
 
@@ -482,23 +519,24 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET, most: int = BROADCAST_ROW
     left = scratch.save(linkable(classes, alone_in(cuts.filter("bucket IS NOT NULL").select("bucket", "keys", "who", "runs"), deals)), "left")
     sets = scratch.save(sets_of(docs, left).dropDuplicates(["cls"]).withColumn("n", F.size("s")), "sets")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = scratch.save(linkable(sets, alone_in(pack_sets(sets, parts(total)), deals)).select("cls", "alone", "s"), "kept")
+    kept = sets.join(rarity(pack_sets(sets, parts(total)), parts(total)), "cls").withColumn("alone", F.col("n") - F.size("h"))
+    kept = scratch.save(kept.filter(few_alone()).select("cls", "alone", "s", "h"), "kept")
     scratch.drop(sets)
-    sets, salts = kept, max(1, -(-kept.count() // most))
+    sets, held, salts = kept, kept.select("cls", F.col("h").alias("s")), max(1, -(-kept.count() // most))
     every = members(sets, parts(2 * total), salts)
     every = scratch.save(every, "members") if salts > 1 else every
     pairs = scratch.save(leader_pairs(every, salts), "pairs")
     facts = scratch.save(bins(sets), "facts")
     pairs = scratch.save(possible(pairs, facts), "possible")
-    found = measured(pairs.filter("open").select("lead", "cls"), sets).join(pairs, ["lead", "cls"])
-    closed = pairs.filter("NOT open").select("lead", "cls", F.lit(None).cast("int").alias("i"), F.lit(False).alias("linked"))
-    cluster = scratch.save(found.select("lead", "cls", "i", enough(F.col("i"), F.col("sizes")).alias("linked")).unionByName(closed), "cluster")
+    found = measured(pairs.filter("open").select("lead", "cls"), held).join(pairs, ["lead", "cls"])
+    closed = pairs.filter("NOT open").select("lead", "cls", F.lit(None).cast("int").alias("i"), "bound", F.lit(False).alias("linked"))
+    cluster = scratch.save(found.select("lead", "cls", "i", "bound", enough(F.col("i"), F.col("sizes")).alias("linked")).unionByName(closed), "cluster")
     labels = scratch.save(components(cluster.filter("linked").select(F.col("lead").alias("a"), F.col("cls").alias("b")), scratch), "labels")
     facts = labelled(facts, labels)
     mass = scratch.save(facts.groupBy("label").agg(F.count("*").alias("mass")), "mass")
     facts = scratch.save(spread_join(facts, mass, "label"), "labelled")
-    late = scratch.save(possible(scratch.save(late_pairs(cluster, facts, sets, scratch), "late"), facts), "late")
-    late = measured(late.filter("open").select("lead", "cls"), sets).join(late, ["lead", "cls"]).filter(enough(F.col("i"), F.col("sizes")))
+    late = scratch.save(possible(scratch.save(late_pairs(cluster, facts, held, scratch), "late"), facts), "late")
+    late = measured(late.filter("open").select("lead", "cls"), held).join(late, ["lead", "cls"]).filter(enough(F.col("i"), F.col("sizes")))
     side = lambda name, to: facts.select(F.col("cls").alias(name), F.col("label").alias(to))
     links = late.join(side("lead", "a"), "lead").join(side("cls", "b"), "cls").select("a", "b")
     more = scratch.save(components(links, scratch), "more")
