@@ -19,6 +19,8 @@ from contentlake.functions.text import fold, fold_text
 
 COLUMNS = ("title", "body")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Parts of a stored index.
+SHELVES = 64
 PIECE = re.compile(r'\s*(?:"((?:[^"]|"")*)"(\*?)|([(){}:^,+-])|([^\s"(){}:^,+*-]+)(\*?))')
 
 
@@ -41,6 +43,24 @@ def postings(archive) -> DataFrame:
     return columns.select("entry_id", "c.col", F.posexplode(tokens(F.col("c.text"))).alias("pos", "term"))
 
 
+def shelf(term: Column) -> Column:
+    """The part of a stored index where a term lies: by its first two characters, so that prefixes are pruned too."""
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(SHELVES)).cast("int")
+
+
+def write_index(found: DataFrame, path: str) -> DataFrame:
+    """Postings (see ``postings``), stored by shelf and sorted by term, and read back."""
+    found.withColumn("shelf", shelf(F.col("term"))).repartition("shelf", F.pmod(F.xxhash64("term", "entry_id"), F.lit(4))).sortWithinPartitions("term").write.partitionBy("shelf").parquet(path)
+    return found.sparkSession.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in found.schema)}, shelf int").parquet(path)
+
+
+def updated_index(index: DataFrame, batch, gone: DataFrame | None = None) -> DataFrame:
+    """Postings after a batch of new or changed entries (an archive of those) and of removed ones (entry_id): what
+    ``postings`` of the whole archive gives."""
+    touched = batch.entries.select("entry_id") if gone is None else batch.entries.select("entry_id").unionByName(gone.select("entry_id"))
+    return index.select("entry_id", "col", "pos", "term").join(touched, "entry_id", "left_anti").unionByName(postings(batch))
+
+
 class _Reader:
     def __init__(self, query: str):
         self.items, at = [], 0
@@ -200,17 +220,24 @@ def _ids(tree: tuple, index: DataFrame, columns: list[str]) -> DataFrame:
     return left.join(right, "entry_id", "left_semi" if kind == "and" else "left_anti")
 
 
-def match(archive, query: str) -> DataFrame:
-    """entry_id of the entries that match."""
+def match(archive, query: str, index: DataFrame | None = None) -> DataFrame:
+    """entry_id of the entries that match; with a stored index only its shelves of the query's terms are read."""
     tree = read_query(query)
     words, prefixes = vocabulary(tree)
     wanted = F.col("term").isin(sorted(words))
     for p in sorted(prefixes):
         wanted = wanted | F.startswith("term", F.lit(p))
-    return _ids(tree, postings(archive).filter(wanted), list(COLUMNS))
+    if index is None:
+        return _ids(tree, postings(archive).filter(wanted), list(COLUMNS))
+    if all(len(p) > 1 for p in prefixes):  # else the terms may lie anywhere
+        spark = index.sparkSession
+        starts = sorted(words | prefixes)
+        places = spark.range(1).select(F.explode(F.array(*(shelf(F.lit(x)) for x in starts))).alias("s")).distinct().collect()  # a number per word of the query
+        index = index.filter(F.col("shelf").isin([r["s"] for r in places]))
+    return _ids(tree, index.filter(wanted), list(COLUMNS))
 
 
-def bm25(archive, words: list[str], index: DataFrame | None = None) -> DataFrame:
+def bm25(archive, words: list[str]) -> DataFrame:
     """(entry_id, rank) of entries that hold any of the words; the lower the rank, the better.
 
     One pass over the texts gives lengths and term counts of each entry; only matching terms are exploded.

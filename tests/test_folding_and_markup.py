@@ -93,3 +93,21 @@ def test_outlines_by_folder(spark):
     df = spark.createDataFrame(rows, "folder string, url string, title string")
     got = feeds.read_outlines(feeds.opml_documents(df, 4)).collect()
     assert sorted((r["folder"], r["url"], r["title"]) for r in got) == sorted(rows)
+
+
+def test_an_updated_index_equals_a_new_one(spark, tmp_path):
+    class Archive:
+        def __init__(self, rows):
+            self.entries = spark.createDataFrame(rows, "entry_id long, title string, body_text string")
+
+    old = Archive([(1, "Žlutý kůň", "of the sea"), (2, "of the", "x of that"), (3, None, "of a")])
+    new = Archive([(2, "other", "words"), (4, "of the", None)])
+    whole = Archive([(1, "Žlutý kůň", "of the sea"), (2, "other", "words"), (4, "of the", None)])
+    index = search.write_index(search.postings(old), str(tmp_path / "a"))
+    gone = spark.createDataFrame([(3,)], "entry_id long")
+    index = search.write_index(search.updated_index(index, new, gone), str(tmp_path / "b"))
+    assert sorted(map(tuple, index.drop("shelf").collect())) == sorted(map(tuple, search.postings(whole).collect()))
+    for query in ('"of the"', "zlut*", "of NOT sea", "o*", "title: other OR kun"):
+        assert sorted(search.match(whole, query, index).collect()) == sorted(search.match(whole, query).collect())
+    plan = search.match(whole, "zluty", index)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "shelf" in plan.split("PartitionFilters: [")[1].split("]")[0]
