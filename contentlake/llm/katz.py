@@ -1,28 +1,25 @@
 """LM scoring by Katz back-off over word pairs.
 
 Model. Tokens are a text's words and one end. All words of the training rows are told apart, however many; one
-unseen word more stands for all others. (Only a caller that asks for it, by ``frequent``, gets a class: then at most
-so many words are told apart, and the others share one class, within which a word is drawn by its count plus one,
-with one unseen word more.) Pair counts are discounted by Good and Turing up to count ``DISCOUNTED``; a context keeps
-one count in reserve. What the seen successors of a context leave over goes to all others in proportion to their
-unigram probability, with a weight that makes each context's probabilities add up to exactly 1. (A context that
-every word and the class have followed has nothing to back off to; its reserve stays unused.)
+unseen word more stands for all others. Pair counts are discounted by Good and Turing up to count ``DISCOUNTED``; a
+context keeps one count in reserve. What the seen successors of a context leave over goes to all others in proportion
+to their unigram probability, with a weight that makes each context's probabilities add up to exactly 1. (A context
+that every word has followed has nothing to back off to; its reserve stays unused.)
 
 Work. One pass counts words. A second cuts texts into pairs of word numbers and deals them, packed, into buckets
 of bounded size by their context (and, for contexts larger than a share of a bucket, by their successor); a
 bucket counts its pairs, and returns its part of the context table, its documents' sums over seen pairs and the
 contexts of unseen ones. Once discounts and back-off weights are known, a pass over those parts adds up scores.
-Pairs of two words that both make up 1/128 of all tokens or more are dealt by document; they are at most
-2**14, and their counts are added up before use.
+Pairs that alone would fill a good share of a bucket are dealt by document, and their counts are added up before use.
+They are told by a sample of the rows, which decides on the dealing only: counts and scores are the same however it falls.
 
 Only the ``NUMBERED`` most frequent words have numbers. A pair with another word travels as two 64-bit hashes: dealt by
 its second word if that has no number (whose count is then the bucket's own sum), else by its first. What follows a
-word without a number is gathered by that word once more, for its context's count and weight. (With a class, its
-words are looked up in buckets of their own.)
+word without a number is gathered by that word once more, for its context's count and weight.
 Scores depend on the text alone, so they are kept by its hash, and copies add no rows to the result's sums.
 
-Driver and broadcasts hold counts and weights of the numbered words only. All counts are exact (of 64-bit hashes
-of words).
+Driver and broadcasts hold counts and weights of the numbered words only. All counts are exact (of 64-bit hashes of
+words).
 
 Defined cases: null and empty texts are the end alone; texts of any length are read whole; repeated rows count
 as often as they occur and are each scored; without training rows every score is 0; tables without rows give
@@ -32,6 +29,7 @@ none; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,9 +38,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlake.llm.common import Scratch, small_batches
+from contentlake.llm.common import Scratch, dealt, small_batches, spread_join
 
-NUMBERED, DISCOUNTED, BUCKET, FLUSH, HOT = 1 << 18, 5, 3_000_000, 1_000_000, 128
+NUMBERED, DISCOUNTED, BUCKET, FLUSH, SAMPLED, WIDTH, PER_DEAL = 1 << 18, 5, 2_000_000, 500_000, 128, 5, 8_000
 END = b"\n"  # no word holds one
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -92,41 +90,30 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Words:
-    """The frequent words: their hashes in order, their counts, and the class of all others.
+    """The frequent words: their hashes in order, and their counts. Numbers: a frequent word's place; ``rare`` for any
+    other; ``start`` as the context of a first token. ``split``: pairs of numbers that are dealt by document."""
 
-    Numbers: a frequent word's place; ``rare`` for any other; ``start`` as the context of a first token. With
-    ``apart``, the others are no class of the model: they only have no number.
-    """
-
-    def __init__(self, table: DataFrame, bound: int, apart: bool = False):
-        self.apart = apart
+    def __init__(self, table: DataFrame, bound: int):
         level = F.least("c", F.lit(65_536)).alias("level")
         steps = table.groupBy(level).agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).orderBy(F.desc("level")).collect()
         self.tokens, self.types = sum(s["tokens"] for s in steps), sum(s["words"] for s in steps)
-        self.least, held = 65_537, 0
+        least, held = 65_537, 0
         for s in steps:
             if held + s["words"] > bound:
                 break
-            held, self.least = held + s["words"], s["level"]
-        if held == self.types:
-            self.least = 1
-        frequent = table.filter(F.col("c") >= self.least).toArrow()
+            held, least = held + s["words"], s["level"]
+        frequent = table.filter(F.col("c") >= least).toArrow()  # at most ``bound`` words
         h, c = frequent["h"].to_numpy(), frequent["c"].to_numpy()
         order = np.argsort(h)
         self.hashes, self.counts = h[order], c[order]
         self.rare, self.start = len(h), len(h) + 1
-        self.rare_tokens, self.rare_types = self.tokens - int(c.sum()), self.types - len(h)
+        self.rare_tokens = self.tokens - int(c.sum())
+        self.split = np.zeros(0, np.int64)
 
     def finish(self, texts: int) -> None:
-        """Context counts and log unigram probabilities by number."""
-        rest = 0 if self.apart else self.rare_tokens
-        self.context = np.concatenate([self.counts, [rest, texts]]).astype(np.float64)
-        self.low = np.concatenate([self.counts, [rest + 1]]) / (self.tokens + 1)
-
-    def number(self, word: bytes) -> int:
-        h = signed(xxhash.xxh3_64_intdigest(word))
-        k = int(np.searchsorted(self.hashes, h))
-        return k if k < self.rare and self.hashes[k] == h else self.rare
+        """Context counts and unigram probabilities by number."""
+        self.context = np.concatenate([self.counts, [0, texts]]).astype(np.float64)
+        self.low = np.concatenate([self.counts, [1]]) / (self.tokens + 1)
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Numbers of hashes."""
@@ -134,28 +121,63 @@ class Words:
         k = np.searchsorted(self.hashes, h)
         return np.where(h == START, self.start, np.where((k < self.rare) & (hashes[k] == h), k, self.rare))
 
+    def is_split(self, key: np.ndarray) -> np.ndarray:
+        split = np.append(self.split, np.int64(-1))
+        return split[np.searchsorted(self.split, key)] == key
 
-class Numbers(dict):
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
 
+class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        got = self[word] = self.words.number(word)
+        got = self[word] = signed(xxhash.xxh3_64_intdigest(word))
         return got
 
 
-def deal(words: Words, buckets: int, rare_buckets: int, size: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def hashed(texts: list[str | None], known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, text by text, and how many each text has."""
+    tokens = [tokens_of(t) for t in texts]
+    run = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.int64, int(run.sum())), run
+
+
+def before(x: np.ndarray, run: np.ndarray, first: int) -> np.ndarray:
+    """What stands before each token; ``first`` at a text's beginning."""
+    out = np.concatenate([[first], x[:-1]])
+    out[np.cumsum(run) - run] = first
+    return out
+
+
+def frequent_pairs(docs: DataFrame, words: Words, least: float, sampled: int) -> np.ndarray:
+    """Keys of pairs that occur about ``least`` times or more, by every ``sampled``-th row or so; at most twice as many as
+    would fit into all tokens."""
+    if np.sum(words.context >= least) < 2:
+        return np.zeros(0, np.int64)
+    base = words.rare + 2
+    some = docs.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(sampled)) == 0).select("text")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = Hashes(), words.context >= least
+        for batch in batches:
+            h, run = hashed(batch.column(0).to_pylist(), known)
+            b = words.places(h)
+            a = before(b, run, words.start)
+            both = often[a] & often[b]
+            key, count = np.unique(a[both] * base + b[both], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(count, pa.int64())], ["key", "c"])
+
+    found = some.mapInArrow(tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") * sampled >= least / 2).collect()
+    return np.sort(np.array([r["key"] for r in found], np.int64))
+
+
+def deal(words: Words, buckets: int, size: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """The bucket of each pair (context, word) of a text."""
     pieces = np.maximum(1, np.ceil(words.context / (size / 4))).astype(np.uint64)
-    hot = words.context >= max(words.tokens / HOT, size / 8)
 
-    def bucket(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        both = hot[a] & hot[b]
+    def bucket(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> np.ndarray:
+        both = words.is_split(a * (words.rare + 2) + b)
         salt = np.where(both, mixed(text.view(np.uint64)), mixed(b)) % np.where(both, np.uint64(buckets), pieces[a])
-        return (mixed(a.astype(np.uint64) * np.uint64(1 << 20) + salt) % np.uint64(buckets)).astype(np.int64), both
+        return (mixed(a.astype(np.uint64) * np.uint64(1 << 20) + salt) % np.uint64(buckets)).astype(np.int64)
 
     return bucket
 
@@ -164,96 +186,67 @@ SHARES = "bucket int, keys binary, texts binary, runs binary"
 PARTS = "kind int, a binary, b binary, deal int"
 
 
+#: What the result says of a row, but for its score.
+OWN = np.dtype([("doc", "<i8"), ("null", "?"), ("learn", "?"), ("th", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8")])
+
+
 def pack_pairs(docs: DataFrame, shared, buckets: int, rare_buckets: int, size: int) -> DataFrame:
     """Rows of (bucket, keys, hashes of texts, run lengths): pairs of numbers, pairs with a word that has none (two
-    hashes, or a hash and a number), or hashes of words of the shared class.
+    hashes, or a hash and a number); and packed rows of what the result says of the texts, in buckets after those.
 
-    ``docs`` has text and learn. The run of a text that isn't learned from has a negative length.
+    ``docs`` has doc_id, text and learn. The run of a text that isn't learned from has a negative length.
     """
+    after = buckets + 2 * rare_buckets
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        numbers, bucket, base = Numbers(words), deal(words, buckets, rare_buckets, size), words.rare + 2
-        known = np.append(words.hashes, np.int64(0))
-        ids, lengths, texts, learn, rare, rare_at, held = [], [], [], [], [], [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            run, text = np.array(lengths), np.array(texts, np.int64)
-            b = np.concatenate(ids)
+        words, known = shared.value, Hashes()
+        bucket, base, logs = deal(words, buckets, size), words.rare + 2, np.append(np.log10(words.counts + 1.0), [0.0, 0.0])
+
+        def out(docs: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
+            h, run = hashed(texts, known)
             first = np.cumsum(run) - run
-            a = np.concatenate([[words.start], b[:-1]])
-            a[first] = words.start
+            b = words.places(h)
+            a = before(b, run, words.start)
             at = np.repeat(np.arange(len(run)), run)
-            where, _ = bucket(a, b, text[at])
-            key = a * base + b
-            rows = []
+            own = np.zeros(len(run), OWN)
+            own["doc"], own["null"] = [d or 0 for d in docs], [d is None for d in docs]
+            own["th"], own["learn"], own["n"] = [text_hash(t) for t in texts], learn, run
+            own["known"], own["base"] = np.add.reduceat(b < words.rare, first, dtype=np.int64), np.add.reduceat(logs[b], first)
+            rows = [(after + int(own["th"][0] % buckets), own.tobytes(), None, None)]
 
             def cut(key: np.ndarray, where: np.ndarray, at: np.ndarray, width: int) -> None:
-                order = np.argsort(where, kind="stable")
-                key, where, at = key[order], where[order], at[order]
-                edge = np.flatnonzero(np.diff(where, prepend=-1, append=-1))
-                for i, j in zip(edge[:-1], edge[1:], strict=True):
-                    new = np.flatnonzero(np.diff(at[i:j], prepend=-1))
-                    runs = np.diff(np.append(new, j - i)).astype(np.int32)
-                    who = at[i:j][new]
-                    runs[~np.array(learn)[who]] *= -1
-                    raw = np.ascontiguousarray(key[i:j]).view(np.uint8).reshape(j - i, -1)
-                    rows.append((int(where[i]), raw[:, :width].tobytes(), text[who].tobytes(), runs.tobytes()))
-
-            if words.apart:
-                odd = (a == words.rare) | (b == words.rare)
-                some = np.flatnonzero(odd)
-                is_rare = b == words.rare
-                hashed = np.cumsum(is_rare) - 1  # place in ``rare``
-                h = np.array([*rare, 0], np.int64)
-                second = is_rare[some]
-                left = np.where(a[some] == words.rare, h[hashed[some - 1]], np.where(a[some] == words.start, START, known[np.minimum(a[some], words.rare)]))
-                right = np.where(second, h[hashed[some]], b[some])
-                by = mixed(np.where(second, right, left).view(np.uint64)) % np.uint64(rare_buckets)
-                cut(np.stack([left, right], 1), buckets + np.where(second, 0, rare_buckets) + by.astype(np.int64), at[some], 16)
-                key, where, at = key[~odd], where[~odd], at[~odd]
-            elif rare:
-                h = np.array(rare, np.int64)
-                cut(h, buckets + (mixed(h.view(np.uint64)) % np.uint64(rare_buckets)).astype(np.int64), np.array(rare_at, np.int64), 8)
-            cut(key, where, at, 6)
+                raw = np.ascontiguousarray(key).view(np.uint8).reshape(len(key), max(8, width))[:, :width]
+                for to, place in dealt(where):
+                    new = np.flatnonzero(np.diff(at[place], prepend=-1))
+                    runs = np.diff(np.append(new, len(place))).astype(np.int32)
+                    who = at[place][new]
+                    runs[~own["learn"][who]] *= -1
+                    rows.append((to, raw[place].tobytes(), own["th"][who].tobytes(), runs.tobytes()))
+
+            odd = (a == words.rare) | (b == words.rare)
+            some = np.flatnonzero(odd)
+            second = b[some] == words.rare
+            left, right = before(h, run, START)[some], np.where(second, h[some], b[some])
+            by = mixed(np.where(second, right, left).view(np.uint64)) % np.uint64(rare_buckets)
+            cut(np.stack([left, right], 1), buckets + np.where(second, 0, rare_buckets) + by.astype(np.int64), at[some], 16)
+            a, b, at = a[~odd], b[~odd], at[~odd]
+            cut(a * base + b, bucket(a, b, own["th"][at]), at, WIDTH)
             for k in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "texts", "runs"])
 
+        held, size_held = ([], [], []), 0
         for batch in batches:
-            for text, learned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = tokens_of(text)
-                n = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-                for k in np.flatnonzero(n == words.rare):
-                    rare.append(signed(xxhash.xxh3_64_intdigest(tokens[k])))
-                    rare_at.append(len(texts))
-                ids.append(n)
-                lengths.append(len(n))
-                texts.append(text_hash(text))
-                learn.append(bool(learned))
-                held += len(n)
-                if held >= FLUSH:
-                    yield from out()
-                    ids, lengths, texts, learn, rare, rare_at, held = [], [], [], [], [], [], 0
-        if ids:
-            yield from out()
-
-    return docs.select("text", "learn").mapInArrow(pack, SHARES)
-
-
-def rare_words(table: DataFrame, shared, buckets: int, rare_buckets: int) -> DataFrame:
-    """The counts of words of the shared class, dealt like their occurrences; counts stand where texts do."""
-
-    def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c = (batch.column(k).to_numpy() for k in (0, 1))
-            where = buckets + (mixed(h.view(np.uint64)) % np.uint64(rare_buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            edge = np.flatnonzero(np.diff(where[order], prepend=-1, append=-1))
-            parts = [order[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([where[p[0]] for p in parts], pa.int32()), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([c[p].tobytes() for p in parts], pa.binary()), pa.array([None] * len(parts), pa.binary())], ["bucket", "keys", "texts", "runs"])
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for to, value in zip(held, row, strict=True):
+                    to.append(value)
+                size_held += 1 + len(row[1] or "") // 6
+                if size_held >= FLUSH:
+                    yield from out(*held)
+                    held, size_held = ([], [], []), 0
+        if held[0]:
+            yield from out(*held)
 
-    return table.filter(F.col("c") < shared.value.least).select("h", "c").mapInArrow(deal_out, SHARES)
+    return docs.select(F.col("doc_id").cast("long"), "text", "learn").mapInArrow(pack, SHARES)
 
 
 def sums_by(text: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
@@ -262,30 +255,11 @@ def sums_by(text: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [each, *(np.bincount(place, c, len(each)) for c in columns)]
 
 
-def resolve_rare(group: pd.DataFrame, words: Words) -> list[tuple]:
-    """Per text: log10 within the class, the base's log10(c + 1), and how many words are known (kind 6)."""
-    table = group[group["runs"].isna()]
-    asked = group[group["runs"].notna()]
-    if not len(asked):
-        return []
-    h = np.frombuffer(b"".join(table["keys"]), np.int64)
-    c = np.frombuffer(b"".join(table["texts"]), np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    key = np.frombuffer(b"".join(asked["keys"]), np.int64)
-    text = np.repeat(np.frombuffer(b"".join(asked["texts"]), np.int64), np.abs(np.frombuffer(b"".join(asked["runs"]), np.int32)))
-    place = np.minimum(np.searchsorted(h, key), max(len(h) - 1, 0))
-    count = np.where(h[place] == key, c[place], 0) if len(h) else np.zeros(len(key))
-    within = np.log10((count + 1) / (words.rare_tokens + words.rare_types + 1))
-    each, *sums = sums_by(text, within, np.log10(count + 1), count > 0)
-    return [(6, each.tobytes(), np.stack(sums, 1).tobytes(), 0)]
-
-
-def count_bucket(group: pd.DataFrame, words: Words, both_hot: Callable) -> list[tuple]:
-    """A bucket's parts: counts of counts (0), contexts (1), seen sums (2), unseen contexts (3), hot pairs (4, 5)."""
-    raw = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, 6)
+def count_bucket(group: pd.DataFrame, words: Words) -> list[tuple]:
+    """A bucket's parts: counts of counts (0), contexts (1), seen sums (2), unseen contexts (3), split pairs (4, 5)."""
+    raw = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, WIDTH)
     key = np.zeros((len(raw), 8), np.uint8)
-    key[:, :6] = raw
+    key[:, :WIDTH] = raw
     key = key.view(np.int64).ravel()
     run = np.frombuffer(b"".join(group["runs"]), np.int32)
     text = np.repeat(np.frombuffer(b"".join(group["texts"]), np.int64), np.abs(run))
@@ -294,7 +268,7 @@ def count_bucket(group: pd.DataFrame, words: Words, both_hot: Callable) -> list[
     count = np.bincount(place, learn, len(pair))
     base = words.rare + 2
     a, b = pair // base, pair % base
-    hot = both_hot(a, b)
+    hot = words.is_split(pair)
     out = []
     cold = ~hot & (count > 0)
     out.append((0, np.bincount(np.minimum(count[cold], DISCOUNTED + 2).astype(int), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tobytes(), b"", 0))
@@ -304,8 +278,7 @@ def count_bucket(group: pd.DataFrame, words: Words, both_hot: Callable) -> list[
     if seen.any():
         c, which = count[place[seen]], place[seen]
         value = np.log10(c) - np.log10(words.context[a[which]] + 1)
-        each, *sums = sums_by(text[seen], value, *(c == r for r in range(1, DISCOUNTED + 1)))
-        out.append((2, each.tobytes(), np.stack(sums, 1).tobytes(), 0))
+        out.append((2, *seen_part(text[seen], value, c), 0))
     unseen = ~seen & ~late
     if unseen.any():
         out.append((3, text[unseen].tobytes(), pair[place[unseen]].tobytes(), 0))
@@ -351,8 +324,7 @@ def count_unnumbered(group: pd.DataFrame, words: Words, by_word: bool, deals: in
     if seen.any():
         which = place[seen]
         c = count[which]
-        each, *sums = sums_by(text[seen], np.log10(c) - np.log10(words.context[a[which]] + 1), *(c == r for r in range(1, DISCOUNTED + 1)))
-        out.append((2, each.tobytes(), np.stack(sums, 1).tobytes(), 0))
+        out.append((2, *seen_part(text[seen], np.log10(c) - np.log10(words.context[a[which]] + 1), c), 0))
     unseen = (numbered & ~met)[place]
     if unseen.any():
         which = place[unseen]
@@ -372,6 +344,12 @@ def count_unnumbered(group: pd.DataFrame, words: Words, by_word: bool, deals: in
     return out
 
 
+def seen_part(text: np.ndarray, value: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
+    """Per text: the sum of values without discounts, and how many of its pairs have count 1 to DISCOUNTED."""
+    each, total, *levels = sums_by(text, value, *(c == r for r in range(1, DISCOUNTED + 1)))
+    return each.tobytes(), total.tobytes() + np.stack(levels, 1).astype(np.uint32).tobytes()
+
+
 def context_part(a: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
     """Per context: types of count 1 to DISCOUNTED, tokens of larger counts, unigram mass of what follows it."""
     each, columns = context_sums(a, low, count)
@@ -408,64 +386,58 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def katz_scores(docs: DataFrame, learn: Column, frequent: int | None = None, size: int = BUCKET, numbered: int = NUMBERED) -> DataFrame:
+def katz_scores(docs: DataFrame, learn: Column, size: int = BUCKET, numbered: int = NUMBERED, sampled: int = SAMPLED) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; learns from rows where ``learn``.
 
-    All words are told apart, unless ``frequent`` asks for a class of all but so many.
+    A task's bucket holds about ``size`` pairs; ``numbered`` words have numbers.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     table = scratch.save(count_words(docs.filter("learn").select("text")), "words")
-    words = Words(table, numbered, True) if frequent is None else Words(table, frequent)
+    words = Words(table, numbered)
     end = signed(xxhash.xxh3_64_intdigest(END))
     ends = table.filter(F.col("h") == end).collect()
     words.finish(ends[0]["c"] if ends else 0)
-    total = words.tokens * 7 // 6 + 1
-    buckets, rare_buckets = -(-total // size), -(-max(words.rare_tokens, words.rare_types, 1) // size)
-    if words.apart:  # keys are longer
-        rare_buckets = -(-(words.rare_tokens * 4 // 3 + 1) // max(1, size // 8))
+    length = F.octet_length(F.coalesce("text", F.lit(""))) + 6
+    sizes = docs.agg(F.sum(length).alias("all"), F.sum(F.when(F.col("learn"), length)).alias("learned")).first()
+    per_byte = words.tokens / sizes["learned"] if words.tokens else 1 / 6
+    total = int((sizes["all"] or 0) * per_byte) + 1  # tokens of all rows, about
+    rare = total * (words.rare_tokens / words.tokens if words.tokens else 1) + max(0, total - words.tokens) / 8
+    buckets, rare_buckets = -(-total // size), int(rare * 4 / 3 / max(1, size // 8)) + 1  # keys with hashes are longer
+    words.split = frequent_pairs(docs, words, size / 8, sampled)
     shared = spark.sparkContext.broadcast(words)
 
     def reduce_bucket(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        w = shared.value
-        hot = w.context >= max(w.tokens / HOT, size / 8)
         if key[0] < buckets:
-            rows = count_bucket(group, w, lambda a, b: hot[a] & hot[b])
-        elif w.apart:
-            rows = count_unnumbered(group, w, key[0] < buckets + rare_buckets, rare_buckets)
+            rows = count_bucket(group, shared.value)
+        elif key[0] < buckets + 2 * rare_buckets:
+            rows = count_unnumbered(group, shared.value, key[0] < buckets + rare_buckets, rare_buckets)
         else:
-            rows = resolve_rare(group, w)
+            rows = [(10, own, b"", 0) for own in group["keys"]]
         return pd.DataFrame(rows, columns=["kind", "a", "b", "deal"])
 
-    dealt = pack_pairs(docs, shared, buckets, rare_buckets, size)
-    if not words.apart:
-        dealt = dealt.unionByName(rare_words(table, shared, buckets, rare_buckets))
-    parts = scratch.save(dealt.groupBy("bucket").applyInPandas(reduce_bucket, PARTS), "parts")
-
-    hot = {int(r["key"]): int(r["c"]) for r in sum_hot(parts).collect()}  # at most HOT ** 2 pairs
+    parts = scratch.save(pack_pairs(docs, shared, buckets, rare_buckets, size).groupBy("bucket").applyInPandas(reduce_bucket, PARTS), "parts")
+    hot = {int(r["key"]): int(r["c"]) for r in sum_hot(parts).collect()}  # at most the split pairs
     n, alpha, d = weights(parts, words, hot)
     model = spark.sparkContext.broadcast((alpha, d, hot))
-    def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        numbers, logs = Numbers(w), np.append(np.log10(w.counts + 1.0), 0.0)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
         for batch in batches:
-            rows = []
-            for doc, text, learned in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                tokens = tokens_of(text)
-                k = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-                rows.append((doc, learned, text_hash(text), len(k), int((k < w.rare).sum()), float(logs[k].sum())))
-            if rows:
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "learn", "th", "n_tokens", "known", "base"])
-
-    own = scratch.save(docs.mapInArrow(of_text, "doc_id long, learn boolean, th long, n_tokens long, known long, base double"), "texts")
+            for packed in batch.column(0).to_pylist():
+                own = np.frombuffer(packed, OWN)
+                columns = [pa.array(own["doc"], pa.int64(), mask=own["null"]), *(pa.array(own[c], t) for c, t in zip(("learn", "th", "n", "known", "base"), kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "learn", "th", "n_tokens", "known", "base"])
+
+    own = parts.filter("kind = 10").select("a").mapInArrow(unpack, "doc_id long, learn boolean, th long, n_tokens long, known long, base double")
+    own = scratch.save(own, "texts")
     sums = add_up(parts, shared, model, own.count())
     copies = own.groupBy("th").agg(F.count("*").alias("copies"))
     each = sums.join(copies, "th").select("th", *((F.col(c) / F.col("copies")).alias(c) for c in ("score", "rare_base", "rare_known")))
     whole = float(np.log10(words.tokens + words.types + 1))
-    joined = own.join(each, "th", "left")
+    joined = spread_join(own, scratch.save(each, "sums"), "th", "left")
     return joined.select(
         "doc_id",
         (~F.col("learn")).alias("held_out"),
@@ -521,7 +493,7 @@ def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
 
     What a part adds to its texts travels packed, dealt by text, so that rows don't multiply with the buckets.
     """
-    deals = max(1, -(-texts // 100_000))
+    deals = max(1, -(-texts // PER_DEAL))
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, (alpha, d, hot) = shared.value, model.value
@@ -532,8 +504,8 @@ def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
                 if kind == 6:
                     each, sums = text, np.frombuffer(b).reshape(-1, 3)
                 elif kind == 2:
-                    held = np.frombuffer(b).reshape(len(text), -1)
-                    each, sums = text, (held[:, 0] + held[:, 1:] @ logs)[:, None]
+                    levels = np.frombuffer(b, np.uint32, len(text) * DISCOUNTED, 8 * len(text)).reshape(len(text), -1)
+                    each, sums = text, (np.frombuffer(b, np.float64, len(text)) + levels @ logs)[:, None]
                 elif kind == 8:
                     left, right = np.frombuffer(b).reshape(-1, 2).T
                     each, value = sums_by(text, alpha[left.astype(np.int64)] + right)
@@ -580,13 +552,13 @@ def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
         return by_text(texts, value[:, None])
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
-        text, sums = [], []
-        for t, x in zip(group["th"], group["sums"], strict=True):
-            text.append(np.frombuffer(t, np.int64))
-            held = np.frombuffer(x).reshape(len(text[-1]), -1)
-            sums.append(held if held.shape[1] == 3 else np.pad(held, ((0, 0), (0, 2))))
-        each, *columns = sums_by(np.concatenate(text), *np.concatenate(sums).T)
-        return pd.DataFrame(dict(zip(("th", "score", "rare_base", "rare_known"), (each, *columns), strict=True)))
+        """Sums of scores, and of what base scores need where parts have that."""
+        three = np.array([len(x) == 3 * len(t) for t, x in zip(group["th"], group["sums"], strict=True)])
+        join = lambda column, which, kind: np.frombuffer(b"".join(group[column][which]), kind)
+        each, score = sums_by(join("th", ~three, np.int64), join("sums", ~three, np.float64))
+        some, *base = sums_by(join("th", three, np.int64), *join("sums", three, np.float64).reshape(-1, 3).T[1:])
+        out = pd.DataFrame({"th": each, "score": score}).merge(pd.DataFrame({"th": some, "rare_base": base[0], "rare_known": base[1]}), "outer", "th")
+        return out.fillna(0.0)[["th", "score", "rare_base", "rare_known"]]
 
     packed = parts.filter("kind in (2, 3, 4, 6, 8)").select("kind", "a", "b").mapInPandas(resolve, "deal long, th binary, sums binary")
     packed = packed.unionByName(parts.filter("kind = 9").select("deal", "a", "b").groupBy("deal").applyInPandas(after_unnumbered, packed.schema))
