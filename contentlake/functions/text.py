@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -15,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: What outer white space is, after folding.
-SPACE = r"[\t-\r\x1c-\x20\x85\u1680\u2028\u2029]+"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u1680\u2028\u2029"
 HANGUL = range(0xAC00, 0xD7A4)
+#: Common signs that fold to themselves.
+OFTEN = "‘’“”„«»–—•¿¡°€"
 
 
 def fold_text(text: str | None) -> str:
@@ -52,29 +52,50 @@ def fold_table() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), several
 
 
-def _sign(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-
-
 def _jamo(c: Column) -> Column:
     """The letters that a Hangul syllable is made of."""
-    s = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int") - HANGUL.start
-    last = F.when(s % 28 > 0, _sign(F.lit(0x11A7) + s % 28)).otherwise(F.lit(""))
-    return F.concat(_sign(F.lit(0x1100) + F.floor(s / 588).cast("int")), _sign(F.lit(0x1161) + F.floor(s % 588 / 28).cast("int")), last)
+    s = F.ascii(c) - HANGUL.start
+    first, vowel, last = (F.split(F.lit("".join(map(chr, range(start, start + n)))), "") for start, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28)))
+    return F.concat(first[F.floor(s / 588).cast("int")], vowel[F.floor(s % 588 / 28).cast("int")], F.when(s % 28 > 0, last[s % 28]).otherwise(F.lit("")))
+
+
+def bound_once(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _taken_apart(text: Column) -> Column:
+    """Characters that fold to several, replaced: each distinct one by one replacement, syllables sign by sign."""
+    several = fold_table()[2]
+    signs, becomes = "".join(several), F.split(F.lit("\n".join(several.values())), "\n")
+    is_hangul = lambda c: (c >= chr(HANGUL.start)) & (c <= chr(HANGUL.stop - 1))
+    each = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(is_hangul(c), _jamo(c)).otherwise(c)), "")
+    known = F.translate(F.regexp_replace(text, r"[\x00-\x7F]+", ""), OFTEN, "")
+
+    def replaced(found: Column) -> Column:
+        whole = F.aggregate(F.filter(found, lambda c: F.translate(c, signs, "") == ""), text, lambda t, c: F.replace(t, c, F.get(becomes, F.instr(F.lit(signs), c) - 1)))
+        return F.when(F.exists(found, is_hangul), each(whole)).otherwise(whole)
+
+    return bound_once(known, lambda k: F.when(k == "", text).otherwise(bound_once(F.array_distinct(F.split(k, "")), replaced)))
+
+
+def fold_signs(text: Column) -> Column:
+    """``fold`` without its last step: outer white space stays."""
+    signs, plain, _ = fold_table()
+    ascii_only = lambda t: F.octet_length(t) == F.length(t)
+    other = lambda t: bound_once(F.translate(t, signs, plain), lambda x: F.when(ascii_only(x), x).otherwise(_taken_apart(x)))
+    return bound_once(F.coalesce(text, F.lit("")), lambda t: F.when(ascii_only(t), F.lower(t)).otherwise(other(t)))
+
+
+def stripped(text: Column) -> Column:
+    """Without outer white space."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def fold(text: Column) -> Column:
-    """``fold_text`` in the JVM: one translation of all characters that become one or none. Only a text that holds one
-    that becomes several is taken apart."""
-    signs, plain, several = fold_table()
-    text = F.coalesce(text, F.lit(""))
-    rare = "".join(c for c in several if c not in "…ß½")
-    common = F.replace(F.replace(F.replace(text, F.lit("…"), F.lit("...")), F.lit("ß"), F.lit("ss")), F.lit("½"), F.lit("1⁄2"))
-    table = F.from_json(F.lit(json.dumps({c: several[c] for c in rare}, ensure_ascii=False)), "map<string,string>")
-    is_rare, is_hangul = "[" + re.escape(rare) + "]", f"[{chr(HANGUL.start)}-{chr(HANGUL.stop - 1)}]"
-    each = F.transform(F.split(common, ""), lambda c: F.when(c.rlike(is_hangul), _jamo(c)).when(c.rlike(is_rare), F.try_element_at(table, c)).otherwise(c))
-    apart = F.when(common.rlike(f"{is_rare}|{is_hangul}"), F.array_join(each, "")).otherwise(common)
-    return F.regexp_replace(F.translate(apart, signs, plain), f"^{SPACE}|{SPACE}$", "")
+    """``fold_text`` in the JVM. ASCII is lower-cased; of other texts all characters that become one or none are
+    translated at once, and only what then still isn't ASCII is looked at for characters that become several."""
+    return stripped(fold_signs(text))
 
 
 def collapse(text: Column) -> Column:

@@ -15,7 +15,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlake.functions.text import display_title, fold, fold_text, number_or_length
+from contentlake.functions.text import display_title, fold, fold_signs, fold_text, number_or_length, stripped
 
 FIELDS = ("title", "content", "author", "url", "feed", "lang", "any")
 OPS = ("contains", "not_contains", "equals", "starts_with", "ends_with", "regex", "not_regex", "gt", "lt")
@@ -42,6 +42,10 @@ class Condition:
             except re.error as e:
                 raise RuleError(f"bad pattern {self.value!r}: {e}") from e
 
+    def folds(self) -> set[str]:
+        """The field, if its folded text is looked at."""
+        return set() if self.case_sensitive or self.op in ("regex", "not_regex", "gt", "lt") else {self.field}
+
     def column(self, row: dict[str, Column], folded: dict[str, Column]) -> Column:
         raw = row[self.field]
         if self.op.endswith("regex"):
@@ -74,6 +78,10 @@ class Group:
     any: Sequence[Condition | Group] = ()
     none: Sequence[Condition | Group] = ()
 
+    def folds(self) -> set[str]:
+        """Fields whose folded text some condition looks at."""
+        return set().union(*(c.folds() for part in (self.all, self.any, self.none) for c in part))
+
     def column(self, row: dict[str, Column], folded: dict[str, Column]) -> Column:
         parts = [c.column(row, folded) for c in self.all]
         if self.any:
@@ -82,10 +90,6 @@ class Group:
         return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def _folds_to(want: str):
-    return lambda text: fold(text) == want
-
-
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -117,14 +121,15 @@ class Rule:
         return out
 
     def scope(self) -> Column:
-        """Any of the given feeds (id, title, own title, url), folders (id, name of the direct folder) or tags."""
+        """Any of the given feeds (id, title, own title, url), folders (id, name of the direct folder) or tags; names in
+        the folded columns that ``with_folded_names`` adds."""
         tests = []
         for ref in self.feeds:
-            tests.append((F.col("feed_id") == ref) | (F.col("feed_url") == ref) | (fold(F.col("feed_title")) == fold_text(ref)) | (fold(F.col("feed_custom")) == fold_text(ref)))
+            tests.append((F.col("feed_id") == ref) | (F.col("feed_url") == ref) | (F.col("_fold_feed_title") == fold_text(ref)) | (F.col("_fold_feed_custom") == fold_text(ref)))
         for ref in self.folders:
-            tests.append((F.col("folder_id") == ref) | (fold(F.col("folder_name")) == fold_text(ref)))
+            tests.append((F.col("folder_id") == ref) | (F.col("_fold_folder_name") == fold_text(ref)))
         for ref in self.tags:
-            tests.append(F.exists(F.coalesce("tags", F.array().cast("array<string>")), _folds_to(fold_text(ref))))
+            tests.append(F.array_contains("_fold_tags", fold_text(ref)))
         return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False)) if tests else F.lit(True)
 
 
@@ -198,19 +203,39 @@ def ordered(rules: Sequence[Rule], enabled_only: bool = True) -> list[Rule]:
 
 
 def candidates(archive) -> DataFrame:
-    """Entries with all that rules look at; tags as they are before evaluation."""
+    """Entries with all that rules look at; tags as they are before evaluation. Names of feeds and folders are folded
+    here, in their own small tables."""
     feeds = archive.feeds.select("feed_id", "folder_id", F.col("title").alias("feed_title"), F.col("custom_title").alias("feed_custom"), F.col("url").alias("feed_url"))
-    folders = archive.folders.select("folder_id", F.col("name").alias("folder_name"))
+    feeds = feeds.select("*", *(fold(F.col(c)).alias(f"_fold_{c}") for c in ("feed_title", "feed_custom")))
+    folders = archive.folders.select("folder_id", F.col("name").alias("folder_name"), fold(F.col("name")).alias("_fold_folder_name"))
     tags = archive.entry_tags.filter(~F.col("deleted")).groupBy("entry_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
     rows = archive.entries.join(feeds, "feed_id", "left").join(folders, "folder_id", "left").join(tags, "entry_id", "left")
     return rows.withColumns({"author": F.lit(""), "url": F.concat(F.lit("https://example.org/"), F.col("entry_id").cast("string"))})
 
 
+def with_folded_names(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Rows with the folded names that scopes of the rules ask for, where they aren't there already."""
+    wanted = [c for asked, names in ((any(r.feeds for r in rules), ("feed_title", "feed_custom")), (any(r.folders for r in rules), ("folder_name",))) if asked for c in names]
+    rows = rows.select("*", *(fold(F.col(c)).alias(f"_fold_{c}") for c in wanted if f"_fold_{c}" not in rows.columns))
+    return rows.withColumn("_fold_tags", F.transform("tags", fold)) if any(r.tags for r in rules) else rows
+
+
+def _fold_fields(rows: DataFrame, used: set[str]) -> DataFrame:
+    """A folded column for each used field. What ``any`` is made of is folded once for all fields that hold it."""
+    parts = {"title": "title", "content": "_content", "author": "author"}
+    once = [f for f in parts if f in used or "any" in used]
+    rows = rows.select("*", *(fold_signs(F.col(parts[f])).alias(f"_signs_{f}") for f in once))
+    folded = {f: stripped(F.col(f"_signs_{f}")) for f in once if f in used} | {f: fold(F.col(f"_raw_{f}")) for f in used - {*parts, "any"}}
+    if "any" in used:
+        folded["any"] = stripped(F.concat_ws(" \n", *(F.when(F.col(parts[f]) != "", F.col(f"_signs_{f}")) for f in parts)))
+    return rows.select("*", *(c.alias(f"_fold_{f}") for f, c in folded.items()))
+
+
 def evaluate(rows: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("entry_id",)) -> DataFrame:
     """``keep`` columns, rules (names that apply, in order) and actions (array of rule, action, value).
 
-    Each text field is folded once into a column of its own; every rule is then one boolean expression, and the
-    first stopping rule cuts the list of matches. An entry's content is its body, or its summary (if rows have one)
+    Each text field that a rule looks at in folded form is folded once into a column of its own; every rule is then one
+    boolean expression, and the first stopping rule cuts the list of matches. An entry's content is its body, or its summary (if rows have one)
     where there is no body.
     """
     rules = ordered(rules)
@@ -223,7 +248,7 @@ def evaluate(rows: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("ent
     }
     folded = {f: F.col(f"_fold_{f}") for f in FIELDS}
     rows = rows.select("*", *(raw[f].alias(f"_raw_{f}") for f in FIELDS))
-    rows = rows.select("*", *(fold(F.col(f"_raw_{f}")).alias(f"_fold_{f}") for f in FIELDS))
+    rows = _fold_fields(with_folded_names(rows, rules), set().union(*(r.when.folds() for r in rules)))
     row = {f: F.col(f"_raw_{f}") for f in FIELDS}
     hits = F.array(*(r.scope() & r.when.column(row, folded) for r in rules)) if rules else F.array().cast("array<boolean>")
     rows = rows.select(*keep, hits.alias("_hits"))

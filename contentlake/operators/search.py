@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlake.functions.text import fold, fold_text
+from contentlake.functions.text import bound_once, fold, fold_text
+from contentlake.shared import saved
 
 COLUMNS = ("title", "body")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -37,10 +38,10 @@ def words_of(text: str) -> list[str]:
 
 
 def postings(archive) -> DataFrame:
-    """(entry_id, col, pos, term)."""
+    """(entry_id, col, pos, term). The outer explode keeps Spark from running the folding once more in a filter on its size."""
     texts = F.array(F.struct(F.lit("title").alias("col"), F.col("title").alias("text")), F.struct(F.lit("body").alias("col"), F.col("body_text").alias("text")))
     columns = archive.entries.select("entry_id", F.explode(texts).alias("c"))
-    return columns.select("entry_id", "c.col", F.posexplode(tokens(F.col("c.text"))).alias("pos", "term"))
+    return columns.select("entry_id", "c.col", F.posexplode_outer(tokens(F.col("c.text"))).alias("pos", "term")).filter("term IS NOT NULL")
 
 
 def shelf(term: Column) -> Column:
@@ -221,14 +222,16 @@ def _ids(tree: tuple, index: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def match(archive, query: str, index: DataFrame | None = None) -> DataFrame:
-    """entry_id of the entries that match; with a stored index only its shelves of the query's terms are read."""
+    """entry_id of the entries that match; with a stored index only its shelves of the query's terms are read. Without
+    one, texts are folded once: the postings of the query's terms are kept where several parts read them."""
     tree = read_query(query)
     words, prefixes = vocabulary(tree)
     wanted = F.col("term").isin(sorted(words))
     for p in sorted(prefixes):
         wanted = wanted | F.startswith("term", F.lit(p))
     if index is None:
-        return _ids(tree, postings(archive).filter(wanted), list(COLUMNS))
+        found = postings(archive).filter(wanted)
+        return _ids(tree, found if len(words) + len(prefixes) == 1 else saved(found, "postings"), list(COLUMNS))
     if all(len(p) > 1 for p in prefixes):  # else the terms may lie anywhere
         spark = index.sparkSession
         starts = sorted(words | prefixes)
@@ -240,12 +243,15 @@ def match(archive, query: str, index: DataFrame | None = None) -> DataFrame:
 def bm25(archive, words: list[str]) -> DataFrame:
     """(entry_id, rank) of entries that hold any of the words; the lower the rank, the better.
 
-    One pass over the texts gives lengths and term counts of each entry; only matching terms are exploded.
+    One pass over the texts gives lengths and matching terms of each entry, which are kept; ``ranking`` answers from a
+    stored index instead.
     """
     words = sorted({w for x in words for w in words_of(x)})
-    lists = archive.entries.select("entry_id", F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("body_text", F.lit("")))).alias("t"))
-    sizes = lists.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    hits = lists.select("entry_id", F.size("t").alias("length"), F.explode(F.filter("t", lambda w: w.isin(words))).alias("term"))
+    both = F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("body_text", F.lit(""))))
+    lists = archive.entries.select("entry_id", bound_once(both, lambda t: F.struct(F.size(t).alias("length"), F.filter(t, lambda w: w.isin(words)).alias("t"))).alias("x"))
+    lists = saved(lists.select("entry_id", "x.length", "x.t"), "words")
+    sizes = lists.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    hits = lists.select("entry_id", "length", F.explode("t").alias("term"))
     counts = hits.groupBy("entry_id", "length", "term").agg(F.count("*").alias("tf"))
     held = counts.groupBy("term").agg(F.count("*").alias("df"))
     scored = counts.join(F.broadcast(held), "term").crossJoin(F.broadcast(sizes))  # one row per query word, and one

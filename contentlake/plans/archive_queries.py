@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentlake.bindings import DAY_MS, NOW_MS, Archive, sql
 from contentlake.functions import text as T
-from contentlake.operators import delivery, ingest, search
+from contentlake.operators import delivery, ingest, ranking, search
 from contentlake.operators.selection import SavedSearch, Selection, next_page, select_entries
 from contentlake.operators.tree import closure, rollup
 from contentlake.shared import shared
@@ -160,7 +160,9 @@ fts("fts_near", "NEAR(with that, 3)", "SELECT DISTINCT a.entry_id FROM post a JO
     TOKENS,
 )
 def bm25_topk(a: Archive) -> DataFrame:
-    return search.search(a, ["ereron", "una", "then", "nicht"], 50).select("entry_id", F.round("rank", 6).alias("rank"))
+    """The best entries from a stored index, of whose blocks only those are read that can hold one."""
+    index = ranking.write_ranked(a, shared(a.spark, "ranked"))
+    return ranking.search(index, ["ereron", "una", "then", "nicht"], 50).select("entry_id", F.round("rank", 6).alias("rank"))
 
 
 CLOSURE = """tree AS (
