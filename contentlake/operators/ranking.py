@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentlake.operators.search import B, K1, LEAST_IDF, SHELVES, shelf, tokens, words_of
@@ -47,31 +47,31 @@ def tokenised(archive) -> DataFrame:
     return saved(archive.entries.select("entry_id", both.alias("t")), "tokens")
 
 
-def _blocked(lists: DataFrame, per_block: int) -> DataFrame:
-    """(entry_id, length, block): entries of a band of lengths are dealt to as many blocks as the band needs."""
-    band = F.floor(2 * F.log2(F.col("length") + 1)).cast("long")
-    rows = lists.select("entry_id", F.size("t").alias("length")).withColumn("band", band)
-    parts = rows.groupBy("band").agg(F.ceil(F.count("*") / per_block).alias("parts"))  # as many rows as lengths have bits, twice
-    return rows.join(F.broadcast(parts), "band").select("entry_id", "length", (F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("entry_id"), "parts")).alias("block"))
+def _band(length: Column) -> Column:
+    return F.floor(2 * F.log2(length + 1)).cast("long")
 
 
 def write_ranked(archive, path: str, per_block: int = PER_BLOCK) -> RankedIndex:
     """The index of an archive's entries, written below ``path``."""
     lists = tokenised(archive)
-    lists_id = lists.schema["entry_id"].dataType.simpleString()
-    _blocked(lists, per_block).write.parquet(f"{path}/lengths")
-    lengths = _read(lists.sparkSession, path, "lengths", lists_id)
-    mean = lengths.agg(F.greatest(F.avg("length"), F.lit(1e-9)).alias("mean"))
+    spark, id_type = lists.sparkSession, lists.schema["entry_id"].dataType.simpleString()
+    sizes = lists.select("entry_id", F.size("t").alias("length"))
+    # entries of a band of lengths are dealt to as many blocks as the band needs; a row for each band, two for each bit of lengths
+    bands = sizes.groupBy(_band(F.col("length")).alias("band")).agg(F.ceil(F.count("*") / per_block).alias("parts"), F.count("*").alias("n"), F.sum("length").alias("sum"))
+    bands = saved(bands.coalesce(1), "bands")
+    block = (F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("entry_id"), "parts")).alias("block")
+    sizes.withColumn("band", _band(F.col("length"))).join(F.broadcast(bands), "band").select("entry_id", "length", block).write.parquet(f"{path}/lengths")
+    mean = bands.agg(F.greatest(F.sum("sum") / F.sum("n"), F.lit(1e-9)).alias("mean"))
     counts = lists.select("entry_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("entry_id", "length", "term").agg(F.count("*").alias("tf"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    rows = counts.crossJoin(F.broadcast(mean)).join(lengths.select("entry_id", "block"), "entry_id").select("term", "block", "entry_id", part.alias("part"))  # mean is one row
-    rows = rows.withColumn("shelf", shelf(F.col("term")))
+    rows = counts.withColumn("band", _band(F.col("length"))).join(F.broadcast(bands.crossJoin(mean)), "band")  # mean is one row
+    rows = rows.select("term", block, "entry_id", part.alias("part"), shelf(F.col("term")).alias("shelf"))
     rows.repartition("shelf", F.pmod(F.xxhash64("term", "block"), F.lit(4))).sortWithinPartitions("shelf", "term", "block").write.partitionBy("shelf").parquet(f"{path}/postings")
-    blocks = _read(lists.sparkSession, path, "postings", lists_id).groupBy("shelf", "term", "block").agg(F.max("part").alias("most"), F.count("*").alias("held"))
-    blocks.select("term", "block", "most", "held", "shelf").repartition(SHELVES, "shelf").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{path}/blocks")
-    terms = _read(lists.sparkSession, path, "blocks", lists_id).groupBy("shelf", "term").agg(F.sum("held").alias("df"))
-    terms.select("term", "df", "shelf").repartition(SHELVES, "shelf").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{path}/terms")
-    return read_ranked(lists.sparkSession, path, lists_id)
+    blocks = _read(spark, path, "postings", id_type).groupBy("shelf", "term", "block").agg(F.max("part").alias("most"), F.count("*").alias("held"))
+    blocks.select("term", "block", "most", "held", "shelf").repartition("shelf").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{path}/blocks")
+    terms = _read(spark, path, "blocks", id_type).groupBy("shelf", "term").agg(F.sum("held").alias("df"))
+    terms.select("term", "df", "shelf").repartition("shelf").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{path}/terms")
+    return read_ranked(spark, path, id_type)
 
 
 def _read(spark: SparkSession, path: str, name: str, id_type: str) -> DataFrame:
