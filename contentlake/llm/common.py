@@ -82,6 +82,15 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self, *kept: DataFrame) -> None:
+        """Delete all that lies in the folder but the given tables, which a result still reads."""
+        jvm, stays = self.spark.sparkContext._jvm, {t._scratch_path.rsplit("/", 1)[1] for t in kept}
+        base = jvm.org.apache.hadoop.fs.Path(self.base)
+        files = base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.listStatus(base):
+            if found.getPath().getName() not in stays:
+                files.delete(found.getPath(), True)
+
 
 #: Characters of the longest text that a classifier's sample takes in: with the bound on rows it bounds what the driver holds.
 LONGEST = 60_000

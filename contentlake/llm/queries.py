@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentlake.llm import bpe_tree, compression_bands, katz, language_ftrl, ngram_jaccard, packing_gga, quality_cnn, token_spans, topk_segments, toxicity_fm
+from contentlake.llm import bpe_tree, compression_bands, katz, language_ftrl, ngram_jaccard, packing_gga, quality_cnn, suffix_dedup, token_spans, topk_segments, toxicity_fm
 from contentlake.llm.common import documents, fold, labels, small_batches
 
 MULTI, BYTES, WORDS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -63,6 +63,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_segments.topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir))
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -104,7 +108,7 @@ FROM sets s JOIN (SELECT doc_id, min(root) AS c FROM reach GROUP BY doc_id) r ON
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op9_katz, op10_topk)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op9_katz, op10_topk, op11_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
