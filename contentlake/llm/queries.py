@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentlake.llm import bpe_tree, compression_bands, katz, language_ftrl, ngram_jaccard, packing_gga, quality_cnn, reversed_search, suffix_dedup, token_spans, topk_segments, toxicity_fm
+from contentlake.llm import bpe_tree, compression_bands, conversation_repair, katz, language_ftrl, ngram_jaccard, packing_gga, quality_cnn, reversed_search, suffix_dedup, token_spans, topk_segments, toxicity_fm
 from contentlake.llm.common import documents, fold, labels, small_batches
 
 MULTI, BYTES, WORDS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_reported(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reversed_search.ranked(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
 
@@ -162,7 +166,7 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op9_katz, op10_topk, op11_suffix_dedup, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_token_spans, op4_quality, op5_language, op6_bpe, op7_packing, op8_compression, op9_katz, op10_topk, op11_suffix_dedup, op12_conversation_repair, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:

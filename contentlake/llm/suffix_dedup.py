@@ -183,7 +183,7 @@ def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _records(rows(), _schema(RUNS))
 
 
-VISITED = f"{RUNS}, halved int, before binary, after binary"
+VISITED = f"{RUNS}, n long, halved int, before binary, after binary"
 
 
 def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +196,13 @@ def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in wanted.as_py():
                     pos, far, near, lo, hi = (w[c] for c in ("pos", "far", "near", "lo", "hi"))
                     if not w["halved"]:
-                        yield (name, pos, far, near, lo, hi, w["key"], w["piece"], 0, bytes(data[pos - far : pos - lo]), bytes(data[pos - hi + WINDOW : pos - near + WINDOW]))
+                        yield (name, pos, far, near, lo, hi, w["key"], w["piece"], w["n"], 0, bytes(data[pos - far : pos - lo]), bytes(data[pos - hi + WINDOW : pos - near + WINDOW]))
                         continue
                     middle = (lo + hi) // 2
                     for a, b in ((lo, middle), (middle + 1, hi)):
                         f, n = min(far, b), max(near, a)
                         if f >= n:
-                            yield (name, pos, f, n, a, b, *hashed(data, pos, f, n, a, b), 1, None, None)
+                            yield (name, pos, f, n, a, b, *hashed(data, pos, f, n, a, b), 1, 1, None, None)
 
     yield from _records(rows(), _schema(VISITED))
 
@@ -210,10 +210,10 @@ def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FOUND = "key long, piece long, from_far int, to_near int"
 
 
-def repeats(pieces: list[tuple[int, int, int, int, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """(piece, far, near): distances between which windows of a piece are in another piece of the same core too.
-    Pieces are (piece, far, lo, hi, bytes before the core, bytes after)."""
-    length = pieces[0][3] - pieces[0][2] + 1  # symbols of a window: its bytes beside the core, and the core
+def repeats(pieces: list[tuple[int, int, int, int, int, bytes, bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(piece, far, near): distances between which windows of a piece start elsewhere too. Pieces of one core are (piece,
+    number of times that it occurs, far, lo, hi, bytes before the core, bytes after)."""
+    length = pieces[0][4] - pieces[0][3] + 1  # symbols of a window: its bytes beside the core, and the core
     strings = ["".join(chr(b + 2) for b in before) + "Ȁ" + "".join(chr(b + 2) for b in after) for *_, before, after in pieces]
     whole = "\1".join(strings) + "\1\0"
     owner = np.full(len(whole), -1)
@@ -224,7 +224,7 @@ def repeats(pieces: list[tuple[int, int, int, int, bytes, bytes]]) -> Iterator[t
         place[at : at + n] = np.arange(n)
         at += len(x) + 1
     order = [i for i in suffix_array(whole) if owner[i] >= 0]
-    hit = np.zeros(len(whole), bool)
+    hit = np.isin(owner, [k for k, x in enumerate(pieces) if x[1] > 1])
     for i, j in zip(order, order[1:], strict=False):
         if whole[i : i + length] == whole[j : j + length]:
             hit[i] = hit[j] = True
@@ -234,11 +234,11 @@ def repeats(pieces: list[tuple[int, int, int, int, bytes, bytes]]) -> Iterator[t
             offsets = place[mine]
             cuts = np.flatnonzero(np.diff(offsets) > 1)
             for i, j in zip([0, *(cuts + 1)], [*cuts, len(offsets) - 1], strict=True):
-                yield pieces[k][0], int(pieces[k][1] - offsets[i]), int(pieces[k][1] - offsets[j])
+                yield pieces[k][0], int(pieces[k][2] - offsets[i]), int(pieces[k][2] - offsets[j])
 
 
 def sort_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, piece, far, lo, hi, before, after) that lie together by key, to rows of FOUND."""
+    """Rows (key, piece, n, far, lo, hi, before, after) that lie together by key, to rows of FOUND."""
 
     def rows():
         key, held = None, []
@@ -308,13 +308,13 @@ def without_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
         marks.append(twice.filter("same").select("th", (F.col("pos") - F.col("far")).alias("a"), (F.col("pos") - F.col("near")).alias("b")))
         mixed = twice.filter("NOT same").drop("same")
         run = F.struct("th", "pos", "far", "near", "lo", "hi")
-        pieces = scratch.save(mixed.groupBy("key", "piece").agg(F.min(run).alias("r")), "pieces")
+        pieces = scratch.save(mixed.groupBy("key", "piece").agg(F.min(run).alias("r"), F.count("*").alias("n")), "pieces")
         large = pieces.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
-        wanted = pieces.join(large, "key", "left_anti").select("r.*", "key", "piece", F.lit(0).alias("halved"))
-        wanted = wanted.unionByName(mixed.join(large, "key", "left_semi").withColumn("halved", F.lit(1)))
-        lists = wanted.groupBy("th").agg(F.collect_list(F.struct("pos", "far", "near", "lo", "hi", "key", "piece", "halved")).alias("wanted"))  # one text's
+        wanted = pieces.join(large, "key", "left_anti").select("r.*", "key", "piece", "n", F.lit(0).alias("halved"))
+        wanted = wanted.unionByName(mixed.join(large, "key", "left_semi").withColumns({"n": F.lit(1).cast("long"), "halved": F.lit(1)}))
+        lists = wanted.groupBy("th").agg(F.collect_list(F.struct("pos", "far", "near", "lo", "hi", "key", "piece", "n", "halved")).alias("wanted"))  # one text's
         seen = scratch.save(texts.select("th", "text").join(lists.hint("merge"), "th").mapInArrow(visit, VISITED), "seen")
-        together = seen.filter("halved = 0").select("key", "piece", "far", "lo", "hi", "before", "after").repartition("key").sortWithinPartitions("key")
+        together = seen.filter("halved = 0").select("key", "piece", "n", "far", "lo", "hi", "before", "after").repartition("key").sortWithinPartitions("key")
         found = scratch.save(together.mapInArrow(sort_cores, FOUND), "found")
         marks.append(mixed.select("th", "pos", "key", "piece").join(found, ["key", "piece"]).select("th", (F.col("pos") - F.col("from_far")).alias("a"), (F.col("pos") - F.col("to_near")).alias("b")))
         scratch.drop(pieces)
