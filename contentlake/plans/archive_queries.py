@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentlake.bindings import DAY_MS, NOW_MS, Archive, sql
 from contentlake.functions import text as T
-from contentlake.operators import delivery, ingest, ranking, search
+from contentlake.operators import delivery, ingest, partitioned, ranking, search
 from contentlake.operators.selection import SavedSearch, Selection, next_page, select_entries
 from contentlake.operators.tree import closure, rollup
 from contentlake.shared import shared
@@ -303,6 +303,28 @@ def ingest_merge(a: Archive) -> DataFrame:
     return ingest.merge(old, ingest.classify(batch, old)).select("entry_id", "feed_id", "content_hash")
 
 
+def stored(a: Archive) -> tuple[partitioned.PartitionedArchive, DataFrame]:
+    """The archive of ``batches`` in partitions, and its batch."""
+    times = a.entries.select("entry_id", "published_at_ms")
+    old, batch = (rows.join(times, "entry_id") for rows in batches(a))
+    return partitioned.create(old, shared(a.spark, "archive")), batch
+
+
+@query(f"SELECT entry_id, feed_id, {ACTION} AS action FROM entries WHERE entry_id % 2 = 1 OR entry_id % 3 = 0")
+def ingest_filtered(a: Archive) -> DataFrame:
+    """The batch classified against filters of known keys, and against the slots of keys that may be known."""
+    return partitioned.classify(*stored(a)).select("entry_id", "feed_id", "action")
+
+
+@query(f"""SELECT entry_id, feed_id, CASE WHEN entry_id % 12 = 0 THEN 'edited' ELSE content_hash END AS content_hash, published_at_ms // {DAY_MS} AS day FROM entries""")
+def merge_by_partition(a: Archive) -> DataFrame:
+    """The archive after the batch, which wrote only the partitions that it touched; applied twice, as after a failure."""
+    archive, batch = stored(a)
+    partitioned.apply(archive, batch)
+    partitioned.apply(archive, batch)
+    return archive.entries.select("entry_id", "feed_id", "content_hash", "day")
+
+
 @query("""SELECT entry_id, feed_id, pos FROM (SELECT entry_id, feed_id, entry_id // 20 AS pos, row_number() OVER (PARTITION BY feed_id, content_hash ORDER BY entry_id // 20, entry_id) AS n FROM entries) x WHERE n = 1""")
 def indoc_guid_dedup(a: Archive) -> DataFrame:
     items = a.entries.select("entry_id", "feed_id", F.col("content_hash").alias("guid_hash"), F.struct(F.floor(F.col("entry_id") / 20).alias("p"), "entry_id").alias("pos"))
