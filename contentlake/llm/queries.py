@@ -64,7 +64,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(documents(spark, sf_dir))
+    return suffix_dedup.digests(documents(spark, sf_dir))
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

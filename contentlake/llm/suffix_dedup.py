@@ -10,9 +10,9 @@ range allows; equal windows have equal cores. So:
    after one count per core, added up within tasks first. Runs whose core always comes in one and the same piece are repeats.
 3. What is left are cores that come in different pieces. A core's pieces, its bytes as one symbol, are joined to a
    string whose suffixes are sorted by ``suffix_array``; a window is a repeat if its suffix shares a window's length with a neighbour.
-4. A core with more than ``most`` different pieces is never sorted at once: its runs are halved by distance, so that their
-   cores hold more of the context, and go through 2 and 3 again; after seven halvings a run is one window, and core and
-   piece are the same. So a task's string is bounded, whatever a passage's number of copies.
+4. A core with more than ``most`` different pieces is never sorted at once: one of each of its pieces is halved by distance, so
+   that their cores hold more of the context, and the halves go through 2 and 3 again; after seven halvings a run is one
+   window, and core and piece are the same. So a task's string is bounded, whatever a passage's number of copies.
 5. Repeats are joined to spans per text, and cut.
 
 ``suffix_array`` is the linear grouping construction: suffixes are grouped by a prefix that grows to their longest Lyndon
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -183,26 +184,28 @@ def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _records(rows(), _schema(RUNS))
 
 
-VISITED = f"{RUNS}, n long, halved int, before binary, after binary"
+#: A piece as one of a core's different ones: its place in one text, how often it occurs, and the core and piece that it is part of.
+PIECES = f"{RUNS}, n long, root long, whole long"
+VISITED = f"{PIECES}, halved int, before binary, after binary"
 
 
 def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(th, text, wanted runs) to each run's bytes beside its core, or to its two halves."""
+    """(th, text, wanted pieces) to each piece's bytes beside its core, or to its two halves."""
 
     def rows():
         for batch in batches:
             for th, text, wanted in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 name, data = th.as_py(), memoryview(text.as_buffer())
                 for w in wanted.as_py():
-                    pos, far, near, lo, hi = (w[c] for c in ("pos", "far", "near", "lo", "hi"))
-                    if not w["halved"]:
-                        yield (name, pos, far, near, lo, hi, w["key"], w["piece"], w["n"], 0, bytes(data[pos - far : pos - lo]), bytes(data[pos - hi + WINDOW : pos - near + WINDOW]))
+                    pos, far, near, lo, hi, key, piece, n, root, whole, halved = w.values()
+                    if not halved:
+                        yield name, pos, far, near, lo, hi, key, piece, n, root, whole, 0, bytes(data[pos - far : pos - lo]), bytes(data[pos - hi + WINDOW : pos - near + WINDOW])
                         continue
                     middle = (lo + hi) // 2
                     for a, b in ((lo, middle), (middle + 1, hi)):
-                        f, n = min(far, b), max(near, a)
-                        if f >= n:
-                            yield (name, pos, f, n, a, b, *hashed(data, pos, f, n, a, b), 1, 1, None, None)
+                        f, t = min(far, b), max(near, a)
+                        if f >= t:
+                            yield name, pos, f, t, a, b, *hashed(data, pos, f, t, a, b), n, root, whole, 1, None, None
 
     yield from _records(rows(), _schema(VISITED))
 
@@ -255,31 +258,50 @@ def sort_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _records(rows(), _schema(FOUND))
 
 
-RESULT = "th binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, memoryview, list[list[int]]]]:
+    """(th, text, copies, starts) to each text's bytes and the spans that go."""
+    for batch in batches:
+        for th, text, copies, starts in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
+            data, spans = memoryview(text.as_buffer() or b""), []
+            if copies.as_py() > 1 and len(data) >= WINDOW:
+                spans = [[0, len(data)]]
+            else:
+                for a, b in sorted((x["a"], x["b"]) for x in starts.as_py() or ()):
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], b + WINDOW)
+                    else:
+                        spans.append([a, b + WINDOW])
+            yield th.as_py(), data, spans
+
+
+def _left(data: memoryview, spans: list[list[int]]) -> Iterator[memoryview]:
+    at = 0
+    for a, b in [*spans, [len(data), len(data)]]:
+        yield data[at:a]
+        at = b
+
+
+CUT = "th binary, spans array<struct<from:long,to:long>>, kept binary"
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(th, text, copies, starts): what is left of each text."""
+    spans_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+    schema = pa.schema([("th", pa.binary()), ("spans", spans_type), ("kept", pa.binary())])
+    yield from _records(((th, [{"from": a, "to": b} for a, b in spans], b"".join(_left(data, spans))) for th, data, spans in _cut(batches)), schema, 200)
+
+
+DIGESTED = "th binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+
+def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        for batch in batches:
-            for th, text, copies, starts in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
-                data, spans = memoryview(text.as_buffer() or b""), []
-                if copies.as_py() > 1 and len(data) >= WINDOW:
-                    spans = [[0, len(data)]]
-                else:
-                    for a, b in sorted((x["a"], x["b"]) for x in starts.as_py() or ()):
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], b + WINDOW)
-                        else:
-                            spans.append([a, b + WINDOW])
-                digest, at = hashlib.sha256(), 0
-                for a, b in [*spans, [len(data), len(data)]]:
-                    digest.update(data[at:a])
-                    at = b
-                yield th.as_py(), len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()
-
-    yield from _records(rows(), _schema(RESULT), 1000)
+        for th, data, spans in _cut(batches):
+            digest = hashlib.sha256()
+            for part in _left(data, spans):
+                digest.update(part)
+            yield th, len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()
+
+    yield from _records(rows(), _schema(DIGESTED), 1000)
 
 
 def _texts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
@@ -293,41 +315,72 @@ def _texts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
-def without_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of (doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
-    texts, name = _texts(docs, scratch)
-    todo = scratch.save(texts.select("th", "text").mapInArrow(cut_runs, RUNS), "runs")
-    marks = []
+def _columns(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _sorted_out(texts: DataFrame, pieces: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """(root, whole, from_far, to_near): which windows of the given different pieces of cores are repeats."""
+    out = []
     while True:
-        keys = todo.groupBy("key").agg(F.count("*").alias("n"), (F.min("piece") == F.max("piece")).alias("same")).filter("n > 1")
-        twice = scratch.save(todo.join(keys.select("key", "same"), "key"), "twice")
-        scratch.drop(todo)
-        marks.append(twice.filter("same").select("th", (F.col("pos") - F.col("far")).alias("a"), (F.col("pos") - F.col("near")).alias("b")))
-        mixed = twice.filter("NOT same").drop("same")
-        run = F.struct("th", "pos", "far", "near", "lo", "hi")
-        pieces = scratch.save(mixed.groupBy("key", "piece").agg(F.min(run).alias("r"), F.count("*").alias("n")), "pieces")
-        large = pieces.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
-        wanted = pieces.join(large, "key", "left_anti").select("r.*", "key", "piece", "n", F.lit(0).alias("halved"))
-        wanted = wanted.unionByName(mixed.join(large, "key", "left_semi").withColumns({"n": F.lit(1).cast("long"), "halved": F.lit(1)}))
-        lists = wanted.groupBy("th").agg(F.collect_list(F.struct("pos", "far", "near", "lo", "hi", "key", "piece", "n", "halved")).alias("wanted"))  # one text's
+        each = pieces.groupBy("key", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("th", "pos", "far", "near", "lo", "hi")).alias("r"))
+        each = scratch.save(each, "each")
+        large = each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
+        small = each.join(large, "key", "left_anti").select("r.*", "key", "piece", "n", F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("whole"), F.lit(0).alias("halved"))
+        wanted = small.unionByName(pieces.join(large, "key", "left_semi").withColumn("halved", F.lit(1)))
+        lists = wanted.groupBy("th").agg(F.collect_list(F.struct(*_columns(PIECES)[1:], "halved")).alias("wanted"))  # one text's
         seen = scratch.save(texts.select("th", "text").join(lists.hint("merge"), "th").mapInArrow(visit, VISITED), "seen")
         together = seen.filter("halved = 0").select("key", "piece", "n", "far", "lo", "hi", "before", "after").repartition("key").sortWithinPartitions("key")
         found = scratch.save(together.mapInArrow(sort_cores, FOUND), "found")
-        marks.append(mixed.select("th", "pos", "key", "piece").join(found, ["key", "piece"]).select("th", (F.col("pos") - F.col("from_far")).alias("a"), (F.col("pos") - F.col("to_near")).alias("b")))
-        scratch.drop(pieces)
-        todo = scratch.save(seen.filter("halved = 1").select(*(x.split()[0] for x in RUNS.split(", "))), "halves")
-        scratch.drop(seen)
-        if not todo.take(1):
+        out.append(pieces.select("key", "piece", "root", "whole").join(found, ["key", "piece"]).select("root", "whole", "from_far", "to_near"))
+        halves = scratch.save(seen.filter("halved = 1").select(*_columns(PIECES)), "halves")
+        scratch.drop(each, seen)
+        if not halves.take(1):
             break
-    every = marks[0]
-    for more in marks[1:]:
-        every = every.unionByName(more)
-    starts = every.groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("starts"))  # one text's
-    kept = scratch.save(texts.join(starts.hint("merge"), "th", "left").select("th", "text", "copies", "starts").mapInArrow(cut, RESULT), "kept")
-    spark.sql(f"DROP TABLE {name}")
+        keys = halves.groupBy("key").agg(F.sum("n").alias("all"), (F.min("piece") == F.max("piece")).alias("same")).filter("all > 1")
+        kept = scratch.save(halves.join(keys.select("key", "same"), "key"), "kept")
+        scratch.drop(halves)
+        out.append(kept.filter("same").select("root", "whole", F.col("far").alias("from_far"), F.col("near").alias("to_near")))
+        pieces = kept.filter("NOT same").drop("same")
+    return reduce(DataFrame.unionByName, out)
+
+
+def repeats_of(docs: DataFrame, scratch: Scratch, most: int = MOST) -> tuple[DataFrame, str]:
+    """(th, text, copies, starts) of each different text: ``starts`` are ranges (a, b) of starts of windows that start
+    elsewhere too, but for texts that occur twice, of which all windows do; and the name of the table of texts."""
+    texts, name = _texts(docs, scratch)
+    runs = scratch.save(texts.select("th", "text").mapInArrow(cut_runs, RUNS), "runs")
+    keys = runs.groupBy("key").agg(F.count("*").alias("n"), (F.min("piece") == F.max("piece")).alias("same")).filter("n > 1")
+    twice = scratch.save(runs.join(keys.select("key", "same"), "key"), "twice")
+    scratch.drop(runs)
+    mixed = twice.filter("NOT same").drop("same")
+    pieces = mixed.groupBy("key", "piece").agg(F.min(F.struct("th", "pos", "far", "near", "lo", "hi")).alias("r"), F.count("*").alias("n"))
+    pieces = scratch.save(pieces.select("r.*", "key", "piece", "n", F.col("key").alias("root"), F.col("piece").alias("whole")), "pieces")
+    found = scratch.save(_sorted_out(texts, pieces, most, scratch).distinct(), "windows")
+    partly = mixed.select("th", "pos", F.col("key").alias("root"), F.col("piece").alias("whole")).join(found, ["root", "whole"])
+    marks = twice.filter("same").select("th", (F.col("pos") - F.col("far")).alias("a"), (F.col("pos") - F.col("near")).alias("b"))
+    marks = marks.unionByName(partly.select("th", (F.col("pos") - F.col("from_far")).alias("a"), (F.col("pos") - F.col("to_near")).alias("b")))
+    starts = marks.groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("starts"))  # one text's
+    return texts.join(starts.hint("merge"), "th", "left").select("th", "text", "copies", "starts"), name
+
+
+def _rows(docs: DataFrame, finish, schema: str, most: int) -> DataFrame:
+    """``finish`` of each different text, for each row."""
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    found, name = repeats_of(docs, scratch, most)
+    kept = scratch.save(found.mapInArrow(finish, schema), "result")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     scratch.clear(kept)
     rows = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("th"))
     return rows.join(kept, "th").drop("th")
+
+
+def without_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """(doc_id, spans, kept) of each row of (doc_id, text): the removed spans (from, to) and the bytes that stay."""
+    return _rows(docs, cut, CUT, most)
+
+
+def digests(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of (doc_id, text)."""
+    return _rows(docs, digested, DIGESTED, most)

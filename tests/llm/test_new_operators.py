@@ -79,7 +79,7 @@ def repeated_texts() -> list:
 def test_repeats_equal_brute_force(spark, most):
     texts = repeated_texts()
     docs = spark.createDataFrame([(k // 2 if k % 5 else None, t, "th", 1) for k, t in enumerate(texts)], "doc_id long, text string, th string, key int")
-    found = sorted(map(tuple, suffix_dedup.without_repeats(docs, most).collect()), key=repr)
+    found = sorted(map(tuple, suffix_dedup.digests(docs, most).collect()), key=repr)
     assert found == sorted(((k // 2 if k % 5 else None, *x) for k, x in enumerate(removed(texts))), key=repr)
 
 
@@ -99,12 +99,21 @@ def test_a_hot_core_is_halved(spark):
     passage = words(r, 80)[:410]
     texts = [words(r, 25) + passage + words(r, 25) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.without_repeats(docs, 16).collect()}
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digests(docs, 16).collect()}
     assert [found[k] for k in range(300)] == removed(texts)
 
 
+def test_what_is_kept(spark):
+    r = random.Random(7)
+    passage = words(r, 80)
+    docs = spark.createDataFrame([(1, "one " + passage + " two"), (2, passage), (3, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs).collect()}
+    assert bytes(found[1]["kept"]) == b"one  two" and found[1]["spans"][0].asDict() == {"from": 4, "to": 4 + len(passage.encode())}
+    assert bytes(found[2]["kept"]) == b"" == bytes(found[3]["kept"]) and found[3]["spans"] == []
+
+
 def test_no_documents(spark):
-    assert suffix_dedup.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert suffix_dedup.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 # --- conversations
