@@ -11,6 +11,7 @@ from contentlake.operators import delivery, ingest, partitioned, ranking, search
 from contentlake.operators.selection import SavedSearch, Selection, next_page, select_entries
 from contentlake.operators.tree import closure, rollup
 from contentlake.shared import shared
+from contentlake.streaming import jobs, stateful
 
 Q, SQL = {}, {}
 
@@ -401,6 +402,17 @@ def notify_coalesce(a: Archive) -> DataFrame:
     return rows.groupBy("key", "bucket").agg(F.count("*").alias("count"), F.min("ts_ms").alias("first_ts_ms"), F.min("pos").alias("first_pos"))
 
 
+@query("SELECT key, bucket, count(*) AS count, min(ts_ms) AS first_ts_ms, min(pos) AS first_pos FROM fold GROUP BY key, bucket", BUCKETS)
+def stream_coalesce(a: Archive) -> DataFrame:
+    """The same buckets from a stream, told as event time passes their ends; a tick at the end closes the last."""
+    at, rows = shared(a.spark, "told"), alerts(a).select("key", "pos", "ts_ms")
+    rows.repartition(2, "key").write.parquet(f"{at}/rows")  # a key's rows lie in one file, so no batch breaks their order
+    rows.agg(F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("pos"), (F.max("ts_ms") + 500 * DAY_MS).alias("ts_ms")).write.mode("append").parquet(f"{at}/rows")
+    with stateful.rocksdb(a.spark):
+        stream = stateful.coalesced(jobs.read_log(a.spark, f"{at}/rows", rows.schema), "400 days")
+        return jobs.run_once(stream, "told", "append", f"{at}/state")
+
+
 @query(
     """SELECT key, bucket, CAST(max(count) AS BIGINT) AS count, 'Rule ' || key AS title, max(first_ts_ms) AS first_ts_ms, max(priority) AS priority,
   string_agg('op ' || CAST(pos AS VARCHAR), chr(10) ORDER BY pos) || CASE WHEN max(count) > 5 THEN chr(10) || '… ' || CAST(max(count) - 5 AS VARCHAR) || ' more' ELSE '' END AS body

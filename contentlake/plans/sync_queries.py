@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from contentlake.bindings import DAY_MS, EPOCH_MS, HOUR_MS, NOW_MS, Archive, sql
 from contentlake.operators import sync
 from contentlake.operators.sync import Scope
+from contentlake.shared import shared
+from contentlake.streaming import jobs, stateful
 
 Q, SQL = {}, {}
 FIELDS = ["view", "click", "signup", "purchase"]  # 'error' stands for a field that no table has
@@ -99,6 +101,19 @@ def pending_replay(a: Archive) -> DataFrame:
     return sync.replay(pending, arrived, sync.resolve(ops.join(known(a), "entity_id", "left_semi")))
 
 
+@query(winners("tied_ops", "field <> 'error' AND (entity_id % 3 <> 0 OR entity_id % 2 = 0)"))
+def stream_parking(a: Archive) -> DataFrame:
+    """The same rows from a stream in which ops wait for entities that arrive later or never."""
+    at = shared(a.spark, "parking")
+    ops = a.tied_ops.filter(F.col("field").isin(FIELDS)).select("entity_id", "field", F.col("val").cast("double").alias("val"), "lamport", "device_id", "seq")
+    arrived = ops.select("entity_id").distinct().filter("entity_id % 3 <> 0 OR entity_id % 2 = 0")
+    ops.repartitionByRange(3, "seq").write.parquet(f"{at}/ops")
+    arrived.repartition(2, "entity_id").write.parquet(f"{at}/entities")
+    with stateful.rocksdb(a.spark):
+        stream = stateful.released(*(jobs.read_log(a.spark, f"{at}/{n}", rows.schema) for n, rows in (("ops", ops), ("entities", arrived))))
+        return sync.resolve(jobs.run_once(stream, "released", "append", f"{at}/state"))
+
+
 @query(f"SELECT entity_id, coalesce(max(CASE WHEN field = 'view' THEN val END), 0) AS view, coalesce(max(CASE WHEN field = 'click' THEN val END), -1) AS click FROM ({winners('tied_ops', 'entity_id % 3 = 0')}) w GROUP BY entity_id")
 def structural_stubs(a: Archive) -> DataFrame:
     """Rows for entities that only ops name."""

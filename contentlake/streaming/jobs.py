@@ -64,13 +64,15 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(out)
-    done = []
 
     def whole(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
-        done.append(number)
 
     writer.foreachBatch(whole).start().awaitTermination()
+    # the last batch may be one of an earlier run, where a restart found nothing new
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(x.getPath().getName()) for x in files.listStatus(folder)] if files.exists(folder) else []
     return spark.read.schema(df.schema).parquet(f"{out}/{max(done)}") if done else spark.createDataFrame([], df.schema)
 
 
