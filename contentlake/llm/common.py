@@ -34,6 +34,20 @@ def spread_join(rows: DataFrame, unique: DataFrame, key: str | list[str], how: s
     return rows.select("*", salt).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
+def frequent_join(rows: DataFrame, other: DataFrame, key: str, most: int = 20_000) -> DataFrame:
+    """Join on a key that some rows may have very often: each such key's rows are dealt into parts of about ``most``, and what
+    ``other`` (wide rows, say) has for it goes to each part. Keys that more than ``most`` rows have are few: a ``most``-th of the rows."""
+    often = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).filter("_parts > 1")
+    found = often.count()
+    if not 0 < found <= BROADCAST_ROWS:
+        return rows.join(other, key)
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).cast("int")
+    dealt_rows = rows.join(F.broadcast(often), key, "left").withColumn("_part", part).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    spread = other.join(F.broadcast(often), key, "left").withColumn("_part", copies).drop("_parts")
+    return dealt_rows.join(spread, [key, "_part"]).drop("_part")
+
+
 def fold(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(mod))

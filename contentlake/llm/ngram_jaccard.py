@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentlake.llm.common import BROADCAST_ROWS, Scratch, dealt, small_batches, spread_join
+from contentlake.llm.common import BROADCAST_ROWS, Scratch, dealt, frequent_join, small_batches, spread_join
 from contentlake.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -131,12 +131,39 @@ def portions(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[st
 KEYS = "bucket int, keys binary, who binary, runs binary"
 
 
-def packed(sets: list[np.ndarray], names: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Shingles dealt by themselves into buckets: a row has a bucket's shingles, set by set; whose; how many of each."""
+#: A shingle that more sets of one pack have is known to be shared, and isn't dealt out to be counted.
+COMMON = 64
+
+
+def ends(keys: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which places hold a key with the least or the greatest of its names: two of each key at most."""
+    order = np.lexsort((names, keys))
+    new = np.diff(keys[order], prepend=~keys[order[:1]]) != 0 if len(keys) else np.zeros(0, bool)
+    out = np.zeros(len(keys), bool)
+    out[order[new | np.append(new[1:], True)]] = True
+    return out
+
+
+def packed(sets: list[np.ndarray], names: np.ndarray, buckets: int, deals: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Shingles dealt by themselves into buckets: a row has a bucket's shingles, set by set; whose; how many of each.
+
+    However many sets share a shingle, few of a pack are dealt to its bucket. Without ``deals`` only the least and the greatest
+    set of each shingle count. With it, a shingle that over COMMON sets of the pack have goes straight back to them: rows of
+    a negative bucket (-1 less the class's deal) have shingles, whose, and counts that say that all others are rarer."""
     keys = np.concatenate([*sets, np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    where = (mixed(keys + _M2) % np.uint64(buckets)).astype(np.int64)
     rows = []
+    if deals is None:
+        kept = ends(keys, names[owner])
+    else:
+        _, place, often = np.unique(keys, return_inverse=True, return_counts=True)
+        often = often[place]
+        kept = often <= COMMON
+        who, key, n = names[owner[~kept]], keys[~kept], (often[~kept] + (1 << 30)).astype(np.int32)
+        for to, at in dealt((mixed(who.view(np.uint64)) % np.uint64(deals)).astype(np.int64)):
+            rows.append((-1 - to, key[at].tobytes(), who[at].tobytes(), n[at].tobytes()))
+    keys, owner = keys[kept], owner[kept]
+    where = (mixed(keys + _M2) % np.uint64(buckets)).astype(np.int64)
     for bucket, at in dealt(where):
         new = np.flatnonzero(np.diff(owner[at], prepend=-1))
         rows.append((bucket, keys[at].tobytes(), names[owner[at][new]].tobytes(), np.diff(np.append(new, len(at))).astype(np.int32).tobytes()))
@@ -243,7 +270,8 @@ def rarity(shares: DataFrame, deals: int) -> DataFrame:
         names, first = np.unique(owner[order], return_index=True)
         return pd.DataFrame({"cls": names, "h": np.split(key[order], first[1:])})
 
-    found = shares.groupBy("bucket").applyInPandas(count, "deal int, who binary, keys binary, counts binary")
+    found = shares.filter("bucket >= 0").groupBy("bucket").applyInPandas(count, "deal int, who binary, keys binary, counts binary")
+    found = found.unionByName(shares.filter("bucket < 0").select((-1 - F.col("bucket")).alias("deal"), "who", "keys", F.col("runs").alias("counts")))
     return found.groupBy("deal").applyInPandas(gather, "cls long, h array<long>")
 
 
@@ -285,8 +313,8 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def pack_sets(sets: DataFrame, buckets: int, flush: int = FLUSH) -> DataFrame:
-    """All shingles of kept sets (cls, s), packed."""
+def pack_sets(sets: DataFrame, buckets: int, deals: int, flush: int = FLUSH) -> DataFrame:
+    """All shingles of kept sets (cls, s), packed; classes are dealt into ``deals``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, owners, size = [], [], 0
@@ -296,10 +324,10 @@ def pack_sets(sets: DataFrame, buckets: int, flush: int = FLUSH) -> DataFrame:
                 owners.append(name)
                 size += len(s)
                 if size >= flush:
-                    yield from packed(held, np.array(owners, np.int64), buckets)
+                    yield from packed(held, np.array(owners, np.int64), buckets, deals)
                     held, owners, size = [], [], 0
         if held:
-            yield from packed(held, np.array(owners, np.int64), buckets)
+            yield from packed(held, np.array(owners, np.int64), buckets, deals)
 
     return sets.select("cls", "s").mapInArrow(work, KEYS)
 
@@ -415,8 +443,8 @@ def leader_pairs(every: DataFrame, salts: int) -> DataFrame:
 
 def measured(pairs: DataFrame, sets: DataFrame, a: str = "lead", b: str = "cls") -> DataFrame:
     """The pairs with i, the size of their intersection. Each pair carries one set to where the other is."""
-    given = pairs.join(sets.select(F.col("cls").alias(b), F.col("s").alias("_b")), b)
-    both = given.join(sets.select(F.col("cls").alias(a), F.col("s").alias("_a")), a)
+    both = frequent_join(pairs, sets.select(F.col("cls").alias(a), F.col("s").alias("_a")), a)
+    both = both.join(sets.select(F.col("cls").alias(b), F.col("s").alias("_b")), b)
     return both.select(a, b, F.size(F.array_intersect("_a", "_b")).alias("i"))
 
 
@@ -444,11 +472,11 @@ def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """The pairs (lead, cls) with ``sizes``, ``open`` (whether sizes, shared shingles and bins allow a link), and the bound
     by bins (null if it isn't needed to rule out a link)."""
     side = lambda name, mark, *of: facts.select(F.col("cls").alias(name), *(F.col(c).alias(f"{mark}_{c}") for c in of))
-    rows = pairs.join(side("lead", "x", "n", "held"), "lead").join(side("cls", "y", "n", "held"), "cls")
+    rows = frequent_join(pairs, side("lead", "x", "n", "held"), "lead").join(side("cls", "y", "n", "held"), "cls")
     sizes = F.col("x_n") + F.col("y_n")
     fits = (100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n")) & enough(F.least("x_held", "y_held"), sizes)
     rows = rows.select("lead", "cls", sizes.alias("sizes"), fits.alias("open"))
-    closer = rows.filter("open").join(side("lead", "x", "bins"), "lead").join(side("cls", "y", "bins"), "cls").select("lead", "cls", "sizes", binned("x_bins", "y_bins").alias("bound"))
+    closer = frequent_join(rows.filter("open"), side("lead", "x", "bins"), "lead").join(side("cls", "y", "bins"), "cls").select("lead", "cls", "sizes", binned("x_bins", "y_bins").alias("bound"))
     closed = rows.filter("NOT open").select("lead", "cls", "sizes", F.lit(None).cast("int").alias("bound"), "open")
     return closed.unionByName(closer.withColumn("open", enough(F.col("bound"), F.col("sizes"))))
 
@@ -496,7 +524,11 @@ def late_pairs(cluster: DataFrame, facts: DataFrame, sets: DataFrame, scratch: S
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     there = sets.select(F.col("cls").alias("y"), F.explode("s").alias("e")).join(wanted, "e")
     there = spread_join(there, facts.select(F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), F.col("mass").alias("y_mass")), "y")
-    found = asked.join(there, "e").filter("(y_mass > mass OR y_mass = mass AND y_label > label) AND y_n BETWEEN lo AND most")
+    # a shingle that one component alone has, on both sides, links nothing
+    there = scratch.save(there, "there")
+    holders = there.groupBy("e").agg(F.min("y_label").alias("from_label"), F.max("y_label").alias("to_label"))
+    asked = asked.join(holders, "e").filter("label <> from_label OR label <> to_label").drop("from_label", "to_label")
+    found = frequent_join(scratch.save(asked, "open"), there, "e", 2_000).filter("(y_mass > mass OR y_mass = mass AND y_label > label) AND y_n BETWEEN lo AND most")
     return found.select(F.least("cls", "y").alias("lead"), F.greatest("cls", "y").alias("cls")).distinct()
 
 
@@ -519,7 +551,7 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET, most: int = BROADCAST_ROW
     left = scratch.save(linkable(classes, alone_in(cuts.filter("bucket IS NOT NULL").select("bucket", "keys", "who", "runs"), deals)), "left")
     sets = scratch.save(sets_of(docs, left).dropDuplicates(["cls"]).withColumn("n", F.size("s")), "sets")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = sets.join(rarity(pack_sets(sets, parts(total)), parts(total)), "cls").withColumn("alone", F.col("n") - F.size("h"))
+    kept = sets.join(rarity(scratch.save(pack_sets(sets, parts(total), parts(total)), "shares"), parts(total)), "cls").withColumn("alone", F.col("n") - F.size("h"))
     kept = scratch.save(kept.filter(few_alone()).select("cls", "alone", "s", "h"), "kept")
     scratch.drop(sets)
     sets, held, salts = kept, kept.select("cls", F.col("h").alias("s")), max(1, -(-kept.count() // most))

@@ -57,9 +57,9 @@ def products(rows: np.ndarray, others: np.ndarray, alive: np.ndarray) -> np.ndar
     return out
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, at_once: int = 128, left: list[float] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, at_once: int = 128, left: list[float] | None = None, exact: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query, ids and scores of its k best rows of x; score descending, id ascending. ``left`` is given the
-    shares of pairs that no bound removed."""
+    shares of pairs that no bound removed. ``exact`` has q and x in integers, where doubles may be too short for their products."""
     cuts = levels(x.shape[1])
     features = [segment_features(x, n) for n in cuts]
     for at in range(0, len(q), at_once):
@@ -76,7 +76,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k
             alive &= products(segment_features(rows, segments), feature, alive) >= least - slack
         if left is not None:
             left.append(alive.mean())
-        score = products(rows, x, alive)
+        score = products(rows, x, alive) if exact is None else exact_products(*exact, at, at + at_once, alive)
         most = min(k, len(x))
         least = np.partition(score, len(x) - most, axis=1)[:, len(x) - most, None]
         some, other = np.nonzero(alive & (score >= least))
@@ -89,16 +89,33 @@ def search(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k
             yield int(ids[i]), x_ids[other[part]], value[part]
 
 
+def exact_products(q: np.ndarray, x: np.ndarray, begin: int, end: int, alive: np.ndarray) -> np.ndarray:
+    """Products of large integers, for pairs that are alive; the least long for others."""
+    out = np.full(alive.shape, np.iinfo(np.int64).min)
+    far = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] >= 2.0**62
+    for i, row in enumerate(q[begin:end]):
+        some = np.flatnonzero(alive[i])
+        if not far:
+            out[i, some] = x[some] @ row
+            continue
+        for j in some.tolist():
+            value = sum(a * b for a, b in zip(x[j].tolist(), row.tolist(), strict=True))
+            if not -(1 << 63) < value < 1 << 63:
+                raise OverflowError("an inner product is larger than a long")
+            out[i, j] = value
+    return out
+
+
 def usable(vector: str = "embedding") -> Column:
     v = F.col(vector)
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
 
 
 def quantised(vector: str = "embedding", scale: int = 64) -> Column:
-    """floor(scale * component), with components taken as double; an error where products might not be exact."""
-    square = F.aggregate(vector, F.lit(0.0), lambda t, c: t + F.pow(c.cast("double") * scale, F.lit(2.0)))
-    small = F.transform(vector, lambda c: F.floor(c.cast("double") * scale).cast("long"))
-    return F.when(square <= 2.0**51, small).otherwise(F.raise_error(F.lit("a vector is too large for exact inner products")))
+    """floor(scale * component), with components taken as double; an error where that is no long."""
+    whole = lambda c: F.floor(c.cast("double") * scale).cast("long")
+    fits = F.forall(vector, lambda c: F.abs(c.cast("double") * scale) < 2.0**63)
+    return F.when(fits, F.transform(vector, whole)).otherwise(F.raise_error(F.lit("a component is too large for a long")))
 
 
 def topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", query_block: int = 4096, row_block: int = 8192) -> DataFrame:
@@ -115,8 +132,10 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     def block_pair(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(candidates):
-            q, x = (np.stack(f["v"].to_numpy()).astype(np.float64) for f in (queries, candidates))
-            for query, ids, score in search(queries["vec_id"].to_numpy(), q, candidates["vec_id"].to_numpy(), x, k):
+            whole = tuple(np.stack(f["v"].to_numpy()) for f in (queries, candidates))
+            q, x = (v.astype(np.float64) for v in whole)
+            short = np.square(q).sum(1).max() * np.square(x).sum(1).max() <= 2.0**102  # then doubles hold every product
+            for query, ids, score in search(queries["vec_id"].to_numpy(), q, candidates["vec_id"].to_numpy(), x, k, exact=None if short else whole):
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids, "score": score.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 

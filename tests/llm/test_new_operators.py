@@ -216,6 +216,58 @@ def test_products_keep_the_least_audit():
         assert repair.cheapest(each) == repair.cheapest([repair.product(each[:cut]), repair.product(each[cut:])])
 
 
+# --- changes to earlier operators
+
+
+@pytest.mark.parametrize("scale", [1e6, 1.2e7])
+def test_topk_of_large_vectors_is_exact(spark, scale):
+    import pandas as pd
+
+    r = random.Random(11)
+    vectors = [(k, [r.uniform(-1, 1) * (scale if k % 3 == 0 else 1) for _ in range(8)]) for k in range(60)] + [(20, [scale] * 8), (61, [scale / 2] * 8)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    from contentlake.llm import topk_segments
+    from pyspark.sql import functions as F
+
+    con = connection(SMALL)
+    table = pd.DataFrame(vectors, columns=["vec_id", "embedding"])
+    con.register("large", table)
+    want = con.execute(queries.OP10_SQL.replace("FROM embeddings", "FROM large")).fetchdf()
+    found = topk_segments.topk(frame, F.col("vec_id") % 20 == 0).toPandas()
+    pick = lambda t: sorted(zip(t["query_id"], t["rank"], t["score"], strict=True))
+    assert [x[2] for x in pick(found)] == [x[2] for x in pick(want)]
+
+
+def test_a_shingle_of_all_documents_and_a_large_leader(spark, monkeypatch):
+    import numpy as np
+
+    from contentlake.llm import common, ngram_jaccard
+
+    sets = [np.sort(np.array([7, 100 + k, 200 + k % 3], np.uint64)) for k in range(500)]
+    names = np.arange(500, dtype=np.int64)
+    of_seven = lambda deals: sum((np.frombuffer(key, np.uint64) == 7).sum() for b in ngram_jaccard.packed(sets, names, 4, deals) for n, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if n >= 0)
+    assert of_seven(None) == 2 and of_seven(3) == 0
+    rows_ = spark.range(20_000).selectExpr("0L as lead", "id as cls").union(spark.createDataFrame([(1, 5)], "lead long, cls long"))
+    other = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "lead long, s string")
+    joined = common.frequent_join(rows_, other, "lead", 100)
+    assert joined.count() == 20_001 and joined.columns == ["lead", "cls", "s"] and joined.filter("s = 'y'").count() == 1
+    plan = joined._jdf.queryExecution().toString()
+    assert "hashpartitioning(lead" in plan and "_part" in plan
+    r = random.Random(12)
+    licence = "one line that every text ends with here"
+    texts = [f"{words(r, 12)} {licence}" for _ in range(150)]
+    base = words(r, 40)
+    texts += [base + " " + licence, base + " x " + licence, base]
+    monkeypatch.setattr(ngram_jaccard, "COMMON", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_jaccard.near_copies(docs).collect())
+    con = connection(SMALL)
+    import pandas as pd
+
+    con.register("few", pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"]))
+    assert found == sorted(con.execute("SELECT doc_id, n_shingles, component_id FROM (" + queries.OP2_SQL.replace("FROM documents", "FROM few") + ") x").fetchall())
+
+
 # --- search
 
 
