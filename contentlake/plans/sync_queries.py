@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentlake.bindings import DAY_MS, EPOCH_MS, HOUR_MS, NOW_MS, Archive, sql
-from contentlake.operators import sync
+from contentlake.operators import counters, sync, variants
 from contentlake.operators.sync import Scope
-from contentlake.shared import shared
+from contentlake.shared import saved, shared
 from contentlake.streaming import jobs, stateful
 
 Q, SQL = {}, {}
@@ -76,6 +76,36 @@ def op_outcomes(a: Archive) -> DataFrame:
     return sync.outcomes(a.tied_ops, known(a), FIELDS).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query("SELECT outcome, count(*) AS n FROM oc GROUP BY outcome", OUTCOME)
+def op_outcomes_observed(a: Archive) -> DataFrame:
+    """The counts of a batch of ops, taken while its outcomes are written."""
+    rows, watch = counters.observed(sync.outcomes(a.tied_ops, known(a), FIELDS), "outcomes")
+    rows.select("seq", "outcome").write.parquet(shared(a.spark, "outcomes"))
+    counts = [(k, n) for k, n in watch.get.items() if n]
+    return a.spark.createDataFrame(counts, "outcome string, n long")  # as many rows as there are outcomes
+
+
+JSON = """CASE seq % 4 WHEN 0 THEN CASE WHEN seq % 8 = 0 THEN 'true' ELSE 'false' END WHEN 1 THEN '"text ' || CAST(seq AS VARCHAR{n}) || '"' WHEN 2 THEN CAST(seq AS VARCHAR{n}) ELSE 'null' END"""
+JSON_SQL = JSON.format(n="")
+
+
+@query(f"""SELECT entity_id, field, CASE json_type(j) WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, CAST(j AS JSON) ->> '$' AS val, seq FROM (
+  SELECT *, CAST({JSON_SQL} AS JSON) AS j, row_number() OVER (PARTITION BY entity_id, field ORDER BY lamport DESC, device_id DESC, seq) AS n FROM tied_ops) x WHERE n = 1""")
+def variant_values(a: Archive) -> DataFrame:
+    """Last writer of values of four kinds, stored as VARIANT in between."""
+    ops = a.tied_ops.drop("val").withColumn("json", F.expr(JSON.format(n="(20)")))
+    state = saved(variants.resolve(variants.typed(ops)), "variants")
+    return state.select("entity_id", "field", variants.kind(F.col("val")).alias("kind"), variants.as_text(F.col("val")).alias("val"), "seq")
+
+
+@query("""SELECT device_id, CASE WHEN last_seq % 3 <> 0 THEN CAST(last_seq % 90 AS INTEGER) END AS days, last_seq % 2 = 0 AS starred, unnest(['R' || CAST(last_seq % 5 AS VARCHAR), 'N' || CAST(last_seq % 25 AS VARCHAR)]) AS folder_id FROM sync_clients""")
+def variant_scopes(a: Archive) -> DataFrame:
+    """Scopes of clients, given as JSON documents."""
+    days = F.when(F.col("last_seq") % 3 != 0, F.concat(F.lit('"days": '), (F.col("last_seq") % 90).cast("string"), F.lit(", "))).otherwise(F.lit(""))
+    spec = F.concat(F.lit("{"), days, F.lit('"starred": '), (F.col("last_seq") % 2 == 0).cast("string"), F.lit(', "folders": ["R'), (F.col("last_seq") % 5).cast("string"), F.lit('", "N'), (F.col("last_seq") % 25).cast("string"), F.lit('"]}'))
+    return variants.scope_folders(a.sync_clients.select("device_id", F.parse_json(spec).alias("spec")))
+
+
 @query("SELECT seq, outcome FROM oc", OUTCOME)
 def op_outcome_rows(a: Archive) -> DataFrame:
     return sync.outcomes(a.tied_ops, known(a), FIELDS).select("seq", "outcome")
