@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from contentlake.bindings import DAY_MS, NOW_MS, Archive, sql
 from contentlake.functions import html as H
+from contentlake.functions import tables
 from contentlake.functions import text as T
-from contentlake.operators import delivery
+from contentlake.operators import delivery, sync
 from contentlake.operators.selection import Selection, select_entries
-from contentlake.plans.archive_queries import picked
+from contentlake.plans.archive_queries import BUCKETS, alerts, picked
 from contentlake.plans.sync_queries import winners
 from contentlake.shared import shared
 from contentlake.sinks import exports
-from contentlake.sources import feeds, pages
+from contentlake.sources import datasource, feeds, pages
 from contentlake.streaming import jobs
 
 Q, SQL = {}, {}
@@ -72,6 +73,44 @@ def page_feed_links(a: Archive) -> DataFrame:
     return feeds.candidates(a.table("pages").select("url", F.concat(links, "html").alias("html"))).select("url", "candidate", "rank")
 
 
+@query(f"""SELECT url, candidate, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT url, unnest(['https://feeds.example.org/' || CAST(page_id AS VARCHAR) || '.xml', {HOST} || '/all']) AS candidate, unnest([0, 1]) AS rank FROM pages) x""")
+def lateral_feed_links(a: Archive) -> DataFrame:
+    """Announced feeds of pages by a table function in SQL."""
+    tables.register(a.spark)
+    links = F.concat(F.lit('<link rel="alternate" type="application/rss+xml" href="/all"><link rel="alternate" type="application/atom+xml" href="https://feeds.example.org/'), F.col("page_id").cast("string"), F.lit('.xml">'))
+    return a.spark.sql("SELECT p.url, f.candidate, f.rank FROM {pages} p, LATERAL page_feeds(p.html, p.url) f", pages=a.table("pages").select("url", F.concat(links, "html").alias("html")))
+
+
+@query("SELECT key, bucket, count(*) AS count, min(ts_ms) AS first_ts_ms, min(pos) AS first_pos FROM fold GROUP BY key, bucket", BUCKETS)
+def notify_table_function(a: Archive) -> DataFrame:
+    """Buckets of notifications by a table function over each key in order."""
+    tables.register(a.spark)
+    text = """SELECT key, bucket, count(*) AS count, min(ts_ms) AS first_ts_ms, min(pos) AS first_pos
+    FROM notification_buckets(TABLE({alerts}) PARTITION BY key ORDER BY pos) GROUP BY key, bucket"""
+    return a.spark.sql(text, alerts=alerts(a).select("key", "pos", "ts_ms"))
+
+
+@query("""SELECT url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, 'ok' AS status, CAST(strlen(html) AS BIGINT) AS size FROM pages""")
+def pages_by_host(a: Archive) -> DataFrame:
+    """All pages through the data source, hosts dealt to its connections; bodies from the table."""
+    datasource.register(a.spark)
+    rows = a.spark.read.format("pages").options(path=f"{a.sf_dir}/pages.parquet", opener="table", connections=8).load()
+    return rows.select("url", "host", "status", F.octet_length("content").cast("long").alias("size"))
+
+
+@query(winners("ops"))
+def stream_change_log(a: Archive) -> DataFrame:
+    """Last writer per key from a stream whose offset is the log's seq; read in two runs, as after a restart."""
+    datasource.register(a.spark)
+    at, edge = shared(a.spark, "changes"), a.ops.agg(F.max("seq")).first()[0] or 0
+    for k, part in enumerate((F.col("seq") <= edge // 2, F.col("seq") > edge // 2)):
+        a.ops.filter(part).write.parquet(f"{at}/log/part={k}")
+        log = a.spark.readStream.format("change_log").schema(a.ops.schema).options(path=f"{at}/log", limit=5000).load()
+        rows = jobs.run_once(log, "pulled", "append", f"{at}/state")
+    return sync.resolve(rows)
+
+
 @query("SELECT page_id, NOT contains(html, '<script') AS had_none, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs, FALSE AS active FROM pages")
 def page_sanitize(a: Archive) -> DataFrame:
     """Nothing active is left, and every paragraph is."""
