@@ -80,3 +80,8 @@ def ready(parked: DataFrame, arrived: DataFrame) -> DataFrame:
 def emptied(rows: DataFrame) -> DataFrame:
     """A replica's table after a wipe: its columns, no rows."""
     return rows.limit(0)
+
+
+def wiped(replica: dict[str, DataFrame], device: str = "device", cursor: str = "last_seq") -> dict[str, DataFrame]:
+    """A replica's tables after a wipe: all without rows but its own device's, whose pull cursor starts anew."""
+    return {name: rows.withColumn(cursor, F.lit(0).cast(rows.schema[cursor].dataType)) if name == device else emptied(rows) for name, rows in replica.items()}

@@ -51,11 +51,11 @@ ROUGH = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|
 
 
 @query(f"""SELECT page_id, regexp_matches(html, '(?is)<div[^>]+id=["''](root|app|__next)["''][^>]*>\\s*</div>') OR (length({ROUGH}) < 600 AND len(regexp_extract_all(html, '(?i)<script')) >= 3) AS scripted, CAST(length({ROUGH}) AS INTEGER) AS text_length
-FROM (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN '<div id="app"> </div>' || html WHEN page_id % 6 = 1 THEN substr(html, 1, 600) || '<script></script><SCRIPT></SCRIPT>' ELSE html END AS html FROM pages) p""")
+FROM (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN '<div id="app"> </div>' || html WHEN page_id % 6 = 1 THEN html || '<script></script><SCRIPT></SCRIPT>' ELSE html END AS html FROM pages) p""")
 def page_js_detect(a: Archive) -> DataFrame:
     """Some pages are turned into script shells; those are to be found."""
     part, html = F.col("page_id") % 6, F.col("html")
-    made = F.when(part == 0, F.concat(F.lit('<div id="app"> </div>'), html)).when(part == 1, F.concat(F.substring(html, 1, 600), F.lit("<script></script><SCRIPT></SCRIPT>"))).otherwise(html)
+    made = F.when(part == 0, F.concat(F.lit('<div id="app"> </div>'), html)).when(part == 1, F.concat(html, F.lit("<script></script><SCRIPT></SCRIPT>"))).otherwise(html)
     rows = a.table("pages").select("page_id", made.alias("html")).withColumn("n", F.length(H.rough_text(F.col("html"))))
     return rows.select("page_id", H.looks_scripted(F.col("html"), F.col("n")).alias("scripted"), F.col("n").alias("text_length"))
 

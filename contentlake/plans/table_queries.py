@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,16 @@ def replica_wiped(a: Archive) -> DataFrame:
     return tables.emptied(a.entry_state).select("entry_id", "is_read", "starred")
 
 
+@query("""SELECT c.device_id, CAST(0 AS BIGINT) AS last_seq, c.last_seen_ms, CAST(n.n AS BIGINT) AS rows_before, CAST(0 AS BIGINT) AS rows_after
+FROM sync_clients c CROSS JOIN (SELECT (SELECT count(*) FROM entries) + (SELECT count(*) FROM entry_state) + (SELECT count(*) FROM entry_tags) + (SELECT count(*) FROM ops) AS n) n""")
+def replica_reset(a: Archive) -> DataFrame:
+    """A wiped replica: rows of its tables before and after, beside its devices, which stay with new cursors."""
+    replica = {"entries": a.entries, "entry_state": a.entry_state, "entry_tags": a.entry_tags, "ops": a.ops, "device": a.sync_clients}
+    after = tables.wiped(replica)
+    total = lambda ts, name: reduce(DataFrame.unionByName, (t.agg(F.count("*").alias("n")) for k, t in ts.items() if k != "device")).agg(F.sum("n").alias(name))
+    return after["device"].crossJoin(F.broadcast(total(replica, "rows_before"))).crossJoin(F.broadcast(total(after, "rows_after")))  # one row each
+
+
 LIMIT = 30_000
 WEIGHTS = "art AS (SELECT feed_id, entry_id, entry_id % 16 AS g, CAST(floor(strlen(body_text) * CAST(0.35 AS DOUBLE)) AS BIGINT) + 2048 AS weight, row_number() OVER (PARTITION BY feed_id, entry_id % 16 ORDER BY entry_id) - 1 AS pos FROM entries), p0 AS (SELECT *, '' AS part FROM art)"
 ROUND = """, p{n} AS (SELECT p.feed_id, p.entry_id, p.g, p.weight, p.pos, p.part || CASE WHEN l.m IS NULL THEN '' WHEN p.pos < l.m THEN 'a' ELSE 'b' END AS part
