@@ -38,7 +38,9 @@ class Band:
 #: and random base64, printable or CJK text cut into words (at least 0.80, 0.76, 0.74, 0.73 and 0.72; 0.73). Random
 #: hexadecimal digits, and letters below 2048 bytes, compress like clean text, so no ratio tells them.
 BANDS = (Band(0, 0.40, 0.86), Band(256, 0.40, 0.76), Band(512, 0.30, 0.72), Band(1024, 0.26, 0.66), Band(2048, 0.24, 0.58), Band(8192, 0.20, 0.54))
-CHUNK, CHUNK_LOW, CHUNK_HIGH, BAD_SHARE = 2048, 0.22, 0.59, 0.34
+CHUNK, BAD_SHARE = 2048, 0.34
+#: Limits of chunks by their length: a last chunk takes in the rest of its text, and the longer it is, the better it compresses.
+CHUNKS = (Band(0, 0.22, 0.59), Band(3072, 0.20, 0.57))
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks double, kept boolean"
 
 
@@ -63,20 +65,25 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def ratios(data: bytes, coder: zstandard.ZstdCompressor) -> tuple[float, np.ndarray]:
-    """Of the whole and of full chunks (a rest joins the last one); 1 and none for no data."""
+def ratios(data: bytes, coder: zstandard.ZstdCompressor) -> tuple[float, list[tuple[int, float]]]:
+    """Of the whole, and of each full chunk (a rest joins the last one) with its length; 1 and none for no data."""
     if not data:
-        return 1.0, np.zeros(0)
+        return 1.0, []
     whole = len(coder.compress(data)) / len(data)
     count = len(data) // CHUNK
     cuts = [k * CHUNK for k in range(count)] + [len(data)]
-    return whole, np.array([len(coder.compress(data[a:b])) / (b - a) for a, b in zip(cuts, cuts[1:], strict=False)]) if count else np.zeros(0)
+    return whole, [(b - a, len(coder.compress(data[a:b])) / (b - a)) for a, b in zip(cuts, cuts[1:], strict=False)] if count else []
 
 
-def in_band(data: bytes, whole: float, chunks: np.ndarray, bands: tuple[Band, ...] = BANDS) -> tuple[bool, float]:
-    """The method's verdict, and the share of chunks out of their limits."""
-    band = max((b for b in bands if len(data) >= b.least), key=lambda b: b.least)
-    bad = float(((chunks < CHUNK_LOW) | (chunks > CHUNK_HIGH)).mean()) if len(chunks) else 0.0
+def band_of(length: int, bands: tuple[Band, ...]) -> Band:
+    return max((b for b in bands if length >= b.least), key=lambda b: b.least)
+
+
+def in_band(data: bytes, whole: float, chunks: list[tuple[int, float]], bands: tuple[Band, ...] = BANDS) -> tuple[bool, float]:
+    """The method's verdict, and the share of chunks out of the limits of their length."""
+    band = band_of(len(data), bands)
+    limits = [(band_of(n, CHUNKS), ratio) for n, ratio in chunks]
+    bad = sum(not b.low <= ratio <= b.high for b, ratio in limits) / len(limits) if limits else 0.0
     return bool(band.low <= whole <= band.high and bad <= BAD_SHARE), bad
 
 

@@ -539,7 +539,10 @@ def labelled(facts: DataFrame, labels: DataFrame, node: str = "cls") -> DataFram
 
 
 def near_copies(docs: DataFrame, bucket: int = BUCKET, most: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row. A task holds about ``bucket`` shingles and ``most`` classes."""
+    """doc_id, n_shingles and component_id of every row. A task holds about ``bucket`` shingles and ``most`` classes.
+
+    A component is named by its smallest id that isn't null; documents that all lack an id have a null one, linked or not.
+    """
     small_batches(docs.sparkSession, 1000)
     scratch = Scratch(docs.sparkSession)
     parts = lambda n: max(1, -(-int(n) // bucket))

@@ -262,12 +262,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard: int = SHAR
     scratch = Scratch(docs.sparkSession)
     cut = scratch.save(pieces(docs, path, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = cut.filter(F.col("length") == capacity).select("uid", F.lit(0).cast("long").alias("offset"), F.col("uid").alias("sequence_id"))
-    items, done, level = cut.filter(F.col("length") < capacity).select("uid", "length"), [full], 0
+    items, done, kept, level = cut.filter(F.col("length") < capacity).select("uid", "length"), [full], [cut], 0
     while True:
         count = items.count()
         shards = max(1, -(-count // shard))
         level += 1
         packed = scratch.save(pack_shards(items, scratch, shards, capacity, generations, members, level), f"packed-{level}")
+        kept.append(packed)
         loose = F.col("fill") < F.lit(LOOSE) * capacity
         left = packed.filter(loose).count() if shards > 1 else 0
         again = 0 < 2 * left <= count  # else these sizes fill no better, however they are dealt
@@ -275,6 +276,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, shard: int = SHAR
         if not again:
             break
         items = packed.filter(loose).select("uid", "length")
+    scratch.clear(*kept)
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)

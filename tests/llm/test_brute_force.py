@@ -89,7 +89,7 @@ def test_bands_by_hand():
             whole = z(data) if data else 1.0
             full = len(data) // 2048
             parts = [data[2048 * k : 2048 * (k + 1) if k < full - 1 else len(data)] for k in range(full)]
-            bad = sum(not compression_bands.CHUNK_LOW <= z(p) <= compression_bands.CHUNK_HIGH for p in parts) / len(parts) if parts else 0.0
+            bad = sum(not (0.20 if len(p) >= 3072 else 0.22) <= z(p) <= (0.57 if len(p) >= 3072 else 0.59) for p in parts) / len(parts) if parts else 0.0
             band = [b for b in compression_bands.BANDS if b.least <= len(data)][-1]
             fine = band.low <= whole <= band.high and bad <= compression_bands.BAD_SHARE
             got = compression_bands.judge(text, zstandard.ZstdCompressor(level=3, write_content_size=False))
