@@ -13,7 +13,7 @@ from contentlake.functions import tables
 from contentlake.functions import text as T
 from contentlake.operators import delivery, sync
 from contentlake.operators.selection import Selection, select_entries
-from contentlake.plans.archive_queries import BUCKETS, alerts, picked
+from contentlake.plans.archive_queries import BUCKETS, BUDGET, MAILS, alerts, picked
 from contentlake.plans.sync_queries import winners
 from contentlake.shared import shared
 from contentlake.sinks import exports
@@ -189,11 +189,17 @@ def note_markdown(a: Archive) -> DataFrame:
     return exports.notes(rows, exports.note_body(F.col("body_text")), F.array("lang", F.lit("# to read")), NOW_MS)
 
 
-@query()
+@query(
+    """SELECT batch, 'Feed ' || feed_id || CASE WHEN max(batch) OVER (PARTITION BY feed_id) > 1 THEN ' (' || CAST(batch AS VARCHAR) || '/' || CAST(max(batch) OVER (PARTITION BY feed_id) AS VARCHAR) || ')' ELSE '' END AS subject,
+  'feed-' || feed_id || CASE WHEN max(batch) OVER (PARTITION BY feed_id) > 1 THEN '-' || CAST(batch AS VARCHAR) ELSE '' END AS stem, entry_ids
+FROM (SELECT feed_id, batch, string_agg(CAST(entry_id AS VARCHAR), ',' ORDER BY entry_id) AS entry_ids FROM pk GROUP BY feed_id, batch) x""",
+    MAILS.replace(str(BUDGET), str(delivery.mail_budget(140_000))),
+)
 def mail_deliveries(a: Archive) -> DataFrame:
     """Each feed's articles as numbered mails."""
     rows = a.entries.select("feed_id", F.col("entry_id").alias("pos"), "entry_id", delivery.article_weight(F.col("body_text")).alias("weight"))
-    return exports.deliveries(delivery.greedy_batches(rows, delivery.mail_budget(140_000)), F.concat(F.lit("Feed "), "feed_id"))
+    mails = exports.deliveries(delivery.greedy_batches(rows, delivery.mail_budget(140_000)), F.concat(F.lit("Feed "), "feed_id"))
+    return mails.withColumn("entry_ids", F.array_join(F.col("entry_ids").cast("array<string>"), ","))
 
 
 # streams

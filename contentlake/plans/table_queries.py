@@ -112,7 +112,7 @@ def sql_functions(a: Archive) -> DataFrame:
     return a.spark.sql("SELECT entry_id, fold(title) AS folded FROM {rows}", rows=a.entries)
 
 
-@query()
+@query("SELECT page_id, unnest([regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a.png', regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/b.png']) AS image FROM pages")
 def page_images(a: Archive) -> DataFrame:
     """Addresses of images in cleaned pages, each once."""
     clean = html.html_article(F.concat(F.col("html"), F.lit('<img data-src="/a.png"><img src="/b.png"><img src="/b.png"><img src="/track/pixel.gif">')), F.col("url"))
