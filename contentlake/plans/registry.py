@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contentlake.plans import archive_queries, page_queries, sync_queries, table_queries, text_queries
+from contentlake.plans import archive_queries, ingest_queries, page_queries, sync_queries, table_queries, text_queries
 
-MODULES = [archive_queries, sync_queries, text_queries, page_queries, table_queries]
+MODULES = [archive_queries, sync_queries, text_queries, page_queries, table_queries, ingest_queries]
 
 
 def queries() -> dict:
