@@ -205,3 +205,10 @@ def number_or_length(text: Column) -> Column:
     """The left side of a greater/less comparison: the number that the whole text is, else its length."""
     bare = F.trim(text)
     return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double")).otherwise(F.length(text).cast("double"))
+
+
+def error_text(kind: Column, message: Column, own: tuple[str, ...] = ("ValueError",)) -> Column:
+    """What is kept and shown of a failure: the message alone if its kind is one that words messages for users, else the kind before
+    it; the kind alone without a message."""
+    said = F.trim(F.coalesce(message, F.lit("")))
+    return F.when(said == "", kind).when(kind.isin(*own), said).otherwise(F.concat(kind, F.lit(": "), said))

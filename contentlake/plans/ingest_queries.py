@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contentlake.bindings import Archive, sql
 from contentlake.functions import packed
+from contentlake.functions import text as T
 from contentlake.operators import ingest
 from contentlake.plans.archive_queries import batches
 from contentlake.shared import shared
@@ -97,3 +98,12 @@ def channels_told(a: Archive) -> DataFrame:
     log = jobs.read_log(a.spark, f"{at}/ops", rows.schema, files=2)
     jobs.apply_batches(log, exports.fan_out([channel("mail"), broken, channel("push")]), f"{at}/state").awaitTermination()
     return a.spark.read.schema("channel string, seq long").parquet(f"{at}/told")
+
+
+@query("""SELECT seq, CASE WHEN seq % 5 = 0 THEN kind WHEN kind = 'ValueError' THEN said ELSE kind || ': ' || said END AS error FROM (
+  SELECT seq, CASE WHEN field = 'error' THEN 'ValueError' ELSE 'TimeoutError' END AS kind, 'op ' || CAST(seq AS VARCHAR) || ' failed' AS said FROM ops) x""")
+def error_texts(a: Archive) -> DataFrame:
+    """What is shown of failures: with or without a message, of kinds that word it for users and others."""
+    kind = F.when(F.col("field") == "error", "ValueError").otherwise("TimeoutError")
+    said = F.when(F.col("seq") % 5 == 0, " ").otherwise(F.concat(F.lit(" op "), F.col("seq").cast("string"), F.lit(" failed ")))
+    return a.ops.select("seq", T.error_text(kind, said).alias("error"))

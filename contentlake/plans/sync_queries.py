@@ -237,6 +237,25 @@ def compaction_keep(a: Archive) -> DataFrame:
     return sync.compacted(a.ops, 6000, EPOCH_MS + 600 * HOUR_MS).select("seq")
 
 
+@query(f"""SELECT seq, entity_id, field FROM ops WHERE seq > (SELECT {KEEP}) OR seq IN (SELECT max(seq) FROM ops WHERE seq <= (SELECT {KEEP}) GROUP BY entity_id, field)""")
+def log_compacted(a: Archive) -> DataFrame:
+    """The stored log after the nightly job: what lies below the slowest client's cursor is one write for each key."""
+    path = f"{shared(a.spark, 'log')}/ops"
+    a.ops.write.parquet(path)
+    jobs.compact_log(a.spark, path, a.sync_clients, a.ops.schema, NOW_MS)
+    return a.spark.read.schema(a.ops.schema).parquet(path).select("seq", "entity_id", "field")
+
+
+@query(f"""SELECT device_id AS task, due_ms FROM (
+  SELECT device_id, CASE WHEN last_seq % 2 = 0 THEN last_seen_ms + 86400000 ELSE CASE WHEN {NOW_MS - NOW_MS % DAY_MS} + 11820000 <= {NOW_MS} THEN {NOW_MS - NOW_MS % DAY_MS} + 11820000 ELSE {NOW_MS - NOW_MS % DAY_MS} + 11820000 - 86400000 END END AS due_ms, last_seen_ms, last_seq FROM sync_clients) x
+WHERE due_ms <= {NOW_MS} AND (last_seq % 2 = 0 OR due_ms > last_seen_ms) AND last_seq % 7 <> 0""")
+def due_tasks(a: Archive) -> DataFrame:
+    """Tasks of devices, every day or daily at 3:17, that are due; those that run aren't."""
+    even = F.col("last_seq") % 2 == 0
+    tasks = a.sync_clients.select(F.col("device_id").alias("task"), F.when(even, F.lit(86_400_000)).alias("every_ms"), F.lit(11_820_000).alias("at_ms"), F.col("last_seen_ms").alias("last_ms"), (F.col("last_seq") % 7 == 0).alias("running"))
+    return jobs.due_runs(tasks, NOW_MS)
+
+
 @query(f"SELECT count(*) AS deleted FROM ops WHERE {OLD} AND seq NOT IN ({LAST})")
 def compaction_deleted(a: Archive) -> DataFrame:
     kept = sync.compacted(a.ops, 6000, EPOCH_MS + 600 * HOUR_MS).select("seq")

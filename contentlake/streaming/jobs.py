@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from contentlake.operators.sync import KEY, clock
+from contentlake.operators.sync import KEY, clock, compacted, slowest_cursor
+from contentlake.sinks.exports import swap_in
+
+DAY_MS = 86_400_000
 
 
 def read_log(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -79,3 +82,22 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
 def apply_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str):
     """Run a function on every micro-batch; a batch's number lets it tell a repetition after a failure."""
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def due_runs(tasks: DataFrame, now_ms: int) -> DataFrame:
+    """(task, due_ms) of the tasks (task, every_ms, at_ms, last_ms, running) that are to run now, once however often they were missed.
+
+    A task runs ``every_ms``, or, where that is null, daily at ``at_ms`` after midnight (UTC); never while it is running.
+    """
+    last = F.coalesce("last_ms", F.lit(0))
+    today = F.lit(now_ms - now_ms % DAY_MS) + F.col("at_ms")
+    daily = F.when(today <= now_ms, today).otherwise(today - DAY_MS)
+    due = F.when(F.col("every_ms").isNotNull(), last + F.col("every_ms")).otherwise(F.when(daily > last, daily))
+    return tasks.withColumn("due_ms", due).filter((F.col("due_ms") <= now_ms) & ~F.coalesce("running", F.lit(False))).select("task", "due_ms")
+
+
+def compact_log(spark: SparkSession, path: str, clients: DataFrame, schema, now_ms: int, before_ms: int | None = None) -> None:
+    """The stored log without what no client needs any more; readers see the old log or the new one."""
+    log = spark.read.schema(schema).parquet(path)
+    keep = slowest_cursor(clients, log, now_ms).first()[0]
+    swap_in(compacted(log, keep or 0, before_ms), path)
