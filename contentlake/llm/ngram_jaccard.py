@@ -51,7 +51,7 @@ WORDS, PERCENT = 5, 75
 #: Share of the shingle domain on which own shingles are counted first.
 SHARE = 0.4
 #: Parts of a group and how many may differ; shingles of a bucket, and of a task before it hands them on.
-PARTS, DIFFER, BUCKET, FLUSH = 3, 1, 3_000_000, 1_000_000
+PARTS, DIFFER, BUCKET, FLUSH = 3, 1, 3_000_000, 400_000
 #: Bins of the last bound.
 BINS = 256
 
