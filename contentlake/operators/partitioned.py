@@ -1,6 +1,7 @@
 """An archive laid out in partitions, of which a batch touches only those that it changes.
 
-Three tables lie below one folder. ``entries`` has the rows, by day of publication and bucket of feed. ``keys`` has one
+Three tables lie below one folder. ``entries`` has the rows, by span of days of publication and bucket of feed; a span has as many days
+as give its partitions some thousand rows each, so that files grow in number with the rows and not with the days. ``keys`` has one
 small row for each entry (feed_id, guid_hash, entry_id, content_hash, day, bucket), by slot, a hash of feed and guid.
 ``filters`` has a Bloom filter of each slot's keys, in segments of 32,768 bits that Spark's bitmap aggregate builds.
 
@@ -26,6 +27,8 @@ from contentlake.shared import saved
 DAY_MS = 86_400_000
 #: Buckets of feeds, slots of keys, bits that a key sets in its filter, bits of a segment, keys of a segment.
 BUCKETS, SLOTS, BITS, SEGMENT, PER_SEGMENT = 8, 16, 4, 32_768, 3_000
+#: Rows of a partition on average, at least; a span has a power of two of days, up to this one.
+PER_PARTITION, LONGEST = 10_000, 15
 KEY = ("feed_id", "guid_hash")
 
 
@@ -35,13 +38,22 @@ class PartitionedArchive:
     path: str
     entries_schema: str
     segments: int
+    span_days: int
 
     def _table(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    @property
+    def stored(self) -> DataFrame:
+        """The entries with the span that they lie in."""
+        return self._table("entries", f"{self.entries_schema}, day long, span long, bucket int")
+
     @property
     def entries(self) -> DataFrame:
-        return self._table("entries", f"{self.entries_schema}, day long, bucket int")
+        return self.stored.drop("span")
+
+    def span(self, day: str) -> Column:
+        return F.floor(F.col(day) / self.span_days).cast("long")
 
     @property
     def keys(self) -> DataFrame:
@@ -77,12 +89,21 @@ def _replace(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def create(rows: DataFrame, path: str) -> PartitionedArchive:
+def _span_days(held: DataFrame, most: int) -> int:
+    """The shortest span that gives no more than ``most`` partitions, of days and buckets that hold rows; else the longest."""
+    spans = held.select("bucket", F.posexplode(F.array(*(F.floor(F.col("day") / (1 << k)) for k in range(LONGEST + 1)))).alias("k", "span"))
+    parts = {r["k"]: r["n"] for r in spans.distinct().groupBy("k").agg(F.count("*").alias("n")).collect()}  # a number per length
+    return 1 << next((k for k in sorted(parts) if parts[k] <= most), LONGEST)
+
+
+def create(rows: DataFrame, path: str, per_partition: int = PER_PARTITION) -> PartitionedArchive:
     """A new archive of entries with at least entry_id, feed_id, guid_hash, content_hash and published_at_ms."""
-    segments = max(1, -(-rows.count() // (SLOTS * PER_SEGMENT)))
-    archive = PartitionedArchive(rows.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), segments)
-    placed = _placed(rows)
-    placed.drop("slot").repartition("day", "bucket").write.partitionBy("day", "bucket").parquet(f"{path}/entries")
+    placed = saved(_placed(rows), "placed")
+    held = saved(placed.groupBy("day", "bucket").agg(F.count("*").alias("n")), "days")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    segments = max(1, -(-total // (SLOTS * PER_SEGMENT)))
+    archive = PartitionedArchive(rows.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), segments, _span_days(held, total // per_partition))
+    placed.drop("slot").withColumn("span", archive.span("day")).repartition("span", "bucket").write.partitionBy("span", "bucket").parquet(f"{path}/entries")
     placed.select(*KEY, "entry_id", "content_hash", "day", "bucket", "slot").repartition("slot").write.partitionBy("slot").parquet(f"{path}/keys")
     _filter_rows(archive.keys, segments).repartition("slot").write.partitionBy("slot").parquet(f"{path}/filters")
     return archive
@@ -124,23 +145,23 @@ def apply(archive: PartitionedArchive, batch: DataFrame) -> DataFrame:
     """Merge a batch into the archive; returns it classified. Only partitions with new, changed or moved entries are written."""
     done = saved(classify(archive, batch), "classified")
     changes = done.filter("action <> 'skip'").withColumn("entry_id", F.coalesce("existing_id", "entry_id"))
-    touched = changes.select("day", "bucket").union(changes.filter("existing_id IS NOT NULL").select("old_day", "old_bucket")).distinct()
-    places = [(r[0], r[1]) for r in touched.collect()]  # at most the archive's partitions and the batch's days
+    touched = changes.select(archive.span("day"), "bucket").union(changes.filter("existing_id IS NOT NULL").select(archive.span("old_day"), "old_bucket")).distinct()
+    places = [(r[0], r[1]) for r in touched.collect()]  # at most the archive's partitions and the batch's spans
     if not places:
         return done
-    columns = archive.entries.columns
-    by_bucket = [(F.col("bucket") == b) & F.col("day").isin([d for d, x in places if x == b]) for b in sorted({x for _, x in places})]
+    columns = archive.stored.columns
+    by_bucket = [(F.col("bucket") == b) & F.col("span").isin([d for d, x in places if x == b]) for b in sorted({x for _, x in places})]
     here = by_bucket[0]
     for more in by_bucket[1:]:
         here = here | more
-    kept = archive.entries.filter(here).join(changes.select("entry_id"), "entry_id", "left_anti").select(*columns)
+    kept = archive.stored.filter(here).join(changes.select("entry_id"), "entry_id", "left_anti").select(*columns)
     # a partition that a change has emptied leaves nothing to replace it by: its old rows go as they come back elsewhere
-    after = saved(kept.unionByName(changes.select(*columns)), "after")
-    left = {(r[0], r[1]) for r in after.select("day", "bucket").distinct().collect()}
-    _replace(after, f"{archive.path}/entries", ["day", "bucket"])
-    for day, bucket in set(places) - left:
+    after = saved(kept.unionByName(changes.withColumn("span", archive.span("day")).select(*columns)), "after")
+    left = {(r[0], r[1]) for r in after.select("span", "bucket").distinct().collect()}
+    _replace(after, f"{archive.path}/entries", ["span", "bucket"])
+    for span, bucket in set(places) - left:
         jvm = archive.spark.sparkContext._jvm
-        gone = jvm.org.apache.hadoop.fs.Path(f"{archive.path}/entries/day={day}/bucket={bucket}")
+        gone = jvm.org.apache.hadoop.fs.Path(f"{archive.path}/entries/span={span}/bucket={bucket}")
         gone.getFileSystem(archive.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     slots = [r["slot"] for r in changes.select("slot").distinct().collect()]
     keys = changes.select(*KEY, "entry_id", "content_hash", "day", "bucket", "slot")

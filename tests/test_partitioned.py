@@ -98,3 +98,20 @@ def test_equal_to_the_merge_of_whole_tables_with_odd_rows(spark, archive):
 def test_empty_batch(spark, archive):
     before = files(archive)
     assert partitioned.apply(archive, spark.createDataFrame([], SCHEMA)).collect() == [] and files(archive) == before
+
+
+def test_partitions_grow_with_the_rows_and_not_with_the_days(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("id AS entry_id", "concat('f', id % 5) AS feed_id", "cast(id AS string) AS guid_hash", "'a' AS content_hash", f"id DIV 5 * {partitioned.DAY_MS} AS published_at_ms", "'t' AS title")
+    held = partitioned.create(rows, str(tmp_path / "many"), per_partition=100)
+    assert held.span_days == 128 and len(files(held)) <= 60 and held.entries.count() == 6000  # 1,200 days of 5 rows
+    assert held.entries.filter(f"day <> published_at_ms DIV {partitioned.DAY_MS}").count() == 0
+    partitioned.apply(held, spark.createDataFrame([row(7, "f2", 900, "edited", guid="7"), row(9000, "f2", 900)], SCHEMA))
+    assert len(files(held)) <= 60 and held.entries.count() == 6001
+    assert held.entries.filter("entry_id = 7").select("day", "content_hash").collect() == [(900, "edited")]
+
+
+def test_spans_of_one_day_empty_and_fill(spark, tmp_path):
+    held = partitioned.create(spark.createDataFrame([row(k, "f1", k // 3) for k in range(9)], SCHEMA), str(tmp_path / "days"), per_partition=3)
+    assert held.span_days == 1 and len(files(held)) == 3
+    partitioned.apply(held, spark.createDataFrame([row(k, "f1", 40, "moved") for k in range(3)], SCHEMA))
+    assert len(files(held)) == 3 and sorted(r[0] for r in held.entries.select("day").distinct().collect()) == [1, 2, 40]
