@@ -115,3 +115,12 @@ def test_spans_of_one_day_empty_and_fill(spark, tmp_path):
     assert held.span_days == 1 and len(files(held)) == 3
     partitioned.apply(held, spark.createDataFrame([row(k, "f1", 40, "moved") for k in range(3)], SCHEMA))
     assert len(files(held)) == 3 and sorted(r[0] for r in held.entries.select("day").distinct().collect()) == [1, 2, 40]
+
+
+def test_a_small_archive_of_many_days_has_few_files(spark):
+    from contentlake.bindings import Archive
+    from contentlake.plans.archive_queries import stored
+
+    held, batch = stored(Archive(spark, "/root/testdata/sf0.01"))
+    assert held.entries.select("day").distinct().count() > 40 and len(held.entries.inputFiles()) <= partitioned.BUCKETS
+    assert partitioned.classify(held, batch).filter("action = 'insert'").count() == 500
