@@ -162,8 +162,10 @@ NUMBERED = "SELECT entry_id, feed_id, title, body_text, published_at_ms, row_num
 
 @query(f"SELECT feed_id, n // 40 AS page, CAST(n % 40 AS INTEGER) AS pos, 'https://' || feed_id || '.example.org/' || CAST(entry_id AS VARCHAR) AS url, published_at_ms AS published_ms, sha256(feed_id || chr(0) || CAST(entry_id AS VARCHAR)) AS guid_hash FROM ({NUMBERED}) x")
 def feed_parse(a: Archive) -> DataFrame:
-    """RSS documents of 40 entries each, written from the whole archive, and read back."""
-    parsed = feeds.parse_feeds(feeds.rss_documents(a.entries, 40), NOW_MS)
+    """RSS documents of 40 entries each, written from the whole archive, and read back once the newest entry is out: one that
+    lay more than a day ahead of its reading would get the time of that."""
+    newest = a.entries.agg(F.max("published_at_ms")).first()[0]
+    parsed = feeds.parse_feeds(feeds.rss_documents(a.entries, 40), max(NOW_MS, newest or 0))
     return feeds.feed_entries(parsed).select("feed_id", "page", "pos", "url", F.col("published_ms"), "guid_hash")
 
 

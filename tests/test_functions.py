@@ -192,3 +192,12 @@ def test_mails_carry_the_entries_of_all_feeds(spark):
     assert sent == sorted(r["doc_id"] for r in entries.select("doc_id").collect())
     stems = [m["stem"] for m in mails]
     assert len(stems) == len(set(stems)) and len({s.split("-")[1] for s in stems}) == entries.select("source").distinct().count()
+
+
+def test_parsed_feeds_keep_the_times_of_late_entries(spark, tmp_path):
+    from contentlake.bindings import EPOCH_MS, HOUR_MS
+    from contentlake.plans.page_queries import Q
+
+    rows = [(k, f"text {k}", "en", "src1", 6) for k in (0, 900, 1100, 50_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["published_ms"] for r in Q["feed_parse"](spark, str(tmp_path)).collect()) == [EPOCH_MS + r[0] * HOUR_MS for r in rows]
