@@ -201,3 +201,11 @@ def test_parsed_feeds_keep_the_times_of_late_entries(spark, tmp_path):
     rows = [(k, f"text {k}", "en", "src1", 6) for k in (0, 900, 1100, 50_000)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["published_ms"] for r in Q["feed_parse"](spark, str(tmp_path)).collect()) == [EPOCH_MS + r[0] * HOUR_MS for r in rows]
+
+
+@pytest.mark.parametrize("name", ["page_images"])
+def test_pages_reach_python_in_small_batches(spark, name):
+    from contentlake.plans.registry import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
