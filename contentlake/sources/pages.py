@@ -148,10 +148,8 @@ def scrape(html: str | None, config: Scrape, base: str = "", fetched_ms: int = 0
 def scraped(pages: DataFrame, config: Scrape, fetched_ms: int) -> DataFrame:
     """(page_id, pos, title, url, summary, author, published_ms) of every item; a page with an error has none."""
 
-    @F.pandas_udf(f"struct<items:array<{ITEM}>,error:string>")
-    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scrape(h, config, u or "", fetched_ms) for h, u in zip(html, url, strict=True)], columns=["items", "error"])
-
+    # a hundred rows at a time: see functions.html
+    run = F.udf(lambda html, url: scrape(html, config, url or "", fetched_ms), f"struct<items:array<{ITEM}>,error:string>", useArrow=False)
     rows = pages.select("page_id", run("html", "url").alias("r"))
     return rows.select("page_id", F.posexplode("r.items").alias("pos", "i")).select("page_id", "pos", "i.*")
 
