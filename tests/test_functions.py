@@ -203,7 +203,7 @@ def test_parsed_feeds_keep_the_times_of_late_entries(spark, tmp_path):
     assert sorted(r["published_ms"] for r in Q["feed_parse"](spark, str(tmp_path)).collect()) == [EPOCH_MS + r[0] * HOUR_MS for r in rows]
 
 
-@pytest.mark.parametrize("name", ["page_images", "page_text", "page_scrape"])
+@pytest.mark.parametrize("name", ["page_images", "page_text", "page_scrape", "page_articles"])
 def test_pages_reach_python_in_small_batches(spark, name):
     from contentlake.plans.registry import queries
 
