@@ -22,11 +22,15 @@ from urllib.request import Request, urlopen
 
 import pyarrow as pa
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 FETCHED = "url string, host string, status string, http int, content binary, etag string, modified string, error string"
+ROW = pa.schema([(n, {"int": pa.int32(), "binary": pa.binary()}.get(kind, pa.string())) for n, kind in (c.split() for c in FETCHED.split(", "))])
+#: Rows and bytes of bodies of a batch that leaves the reader of pages.
+ROWS, BYTES = 256, 8 << 20
 OP = "seq long, device_id string, lamport long, entity_id long, field string, val double, ts_ms long"
 
 
@@ -39,6 +43,10 @@ class Part(InputPartition):
         self.first, self.last = first, last
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
+
+
 class PagesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.opener = local(options["path"]), options.get("opener", "http")
@@ -47,15 +55,28 @@ class PagesReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         return [Part(k, self.connections) for k in range(self.connections)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        """Batches end with a row that takes them over some bytes, and files are read a few rows at a time, whatever a row group holds."""
+        found, size = [], 0
+        for row in self._rows():
+            url = row["url"]
+            host = (urlsplit(url).hostname or "") if url else ""
+            if zlib.crc32(host.encode()) % partition.last == partition.first:
+                found.append((url, host, *self._fetched(row)))
+                size += len(found[-1][4] or b"")
+                if len(found) == ROWS or size > BYTES:
+                    yield _batch(found)
+                    found, size = [], 0
+        if found:
+            yield _batch(found)
+
+    def _rows(self) -> Iterator[dict]:
         files = ds.dataset(self.path)
         columns = [c for c in ("url", "etag", "modified", "html") if c in files.schema.names and (c != "html" or self.opener == "table")]
-        for batch in files.to_batches(columns=columns, batch_size=256):
-            for row in batch.to_pylist():
-                url = row["url"]
-                host = (urlsplit(url).hostname or "") if url else ""
-                if zlib.crc32(host.encode()) % partition.last == partition.first:
-                    yield (url, host, *self._fetched(row))
+        for piece in files.get_fragments():
+            with files.filesystem.open_input_file(piece.path) as held:
+                for batch in pq.ParquetFile(held, pre_buffer=False, buffer_size=1 << 20).iter_batches(batch_size=ROWS // 4, columns=columns):
+                    yield from batch.to_pylist()
 
     def _fetched(self, row: dict) -> tuple:
         if not row["url"]:

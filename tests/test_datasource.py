@@ -117,3 +117,16 @@ def test_table_functions(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, delivery.coalesce_notifications(rows).collect()))
     with pytest.raises(Exception, match="key, pos and ts_ms"):
         spark.sql("SELECT * FROM notification_buckets(TABLE({r}))", r=rows.select(F.col("key"))).collect()
+
+
+def test_pages_leave_the_reader_in_batches_of_bounded_size(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [{"url": f"https://h{k % 3}.org/{k}" if k else None, "html": f"{k} " + "x" * 60_000} for k in range(400)]
+    pq.write_table(pa.Table.from_pylist(rows), f"{tmp_path}/pages.parquet")
+    reader = datasource.PagesReader({"path": f"{tmp_path}/pages.parquet", "opener": "table", "connections": "2"})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) > 3 and all(b.num_rows <= datasource.ROWS and b.nbytes < datasource.BYTES + 100_000 for b in batches)
+    got = {r["url"]: r["content"] for b in batches for r in b.to_pylist()}
+    assert got == {r["url"]: r["html"].encode() if r["url"] else None for r in rows}
