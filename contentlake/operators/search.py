@@ -62,6 +62,13 @@ def updated_index(index: DataFrame, batch, gone: DataFrame | None = None) -> Dat
     return index.select("entry_id", "col", "pos", "term").join(touched, "entry_id", "left_anti").unionByName(postings(batch))
 
 
+def appended_index(index: DataFrame, batch, path: str, gone: DataFrame | None = None) -> DataFrame:
+    """What ``updated_index`` gives, without writing the old postings anew: those of the batch are stored beside them, and old ones of
+    changed and removed entries are left out where a query reads its terms."""
+    touched = batch.entries.select("entry_id") if gone is None else batch.entries.select("entry_id").unionByName(gone.select("entry_id"))
+    return index.join(touched, "entry_id", "left_anti").unionByName(write_index(postings(batch), path))
+
+
 class _Reader:
     def __init__(self, query: str):
         self.items, at = [], 0

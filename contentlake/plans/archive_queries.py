@@ -140,7 +140,7 @@ def fts_stored(a: Archive) -> DataFrame:
 
     old, late = Part(a.entries.filter("entry_id % 3 <> 0")), Part(a.entries.filter("entry_id % 3 = 0"))
     first = search.write_index(search.postings(old), shared(a.spark, "index"))
-    index = search.write_index(search.updated_index(first, late), shared(a.spark, "index"))
+    index = search.appended_index(first, late, shared(a.spark, "index"))
     return search.match(a, '"of th"*', index)
 
 

@@ -209,3 +209,18 @@ def test_pages_reach_python_in_small_batches(spark, name):
 
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_an_appended_index_holds_what_an_updated_one_does(spark, tmp_path):
+    from contentlake.operators import search
+
+    class Part:
+        def __init__(self, rows):
+            self.entries = spark.createDataFrame(rows, "entry_id long, title string, body_text string")
+
+    first = search.write_index(search.postings(Part([(1, "of the", "old of that"), (2, "x", "of this"), (3, None, "of them")])), f"{tmp_path}/a")
+    late, gone = Part([(1, "new", "words"), (4, "y", "of those")]), spark.createDataFrame([(3,)], "entry_id long")
+    got = search.appended_index(first, late, f"{tmp_path}/b", gone)
+    rows = lambda df: sorted(tuple(r) for r in df.select("entry_id", "col", "pos", "term").collect())
+    assert rows(got) == rows(search.updated_index(first, late, gone))
+    assert sorted(r[0] for r in search.match(None, '"of th"*', got).collect()) == [2, 4]
