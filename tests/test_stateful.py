@@ -103,3 +103,11 @@ def test_a_restart_without_news_gives_the_last_result(spark, tmp_path):
     run = lambda: jobs.run_once(jobs.stream_winners(jobs.read_log(spark, f"{at}/ops", OPS)), "winners", "complete", f"{at}/checkpoint")
     first = sorted(map(tuple, run().collect()))
     assert first and sorted(map(tuple, run().collect())) == first
+
+
+def test_parked_ops_pass_as_rows_without_a_frame_for_each_entity(spark, tmp_path):
+    ops = "entity_id long, field string, val double, lamport long, device_id string, seq long"
+    (tmp_path / "ops").mkdir()
+    (tmp_path / "entities").mkdir()
+    plan = stateful.released(jobs.read_log(spark, f"{tmp_path}/ops", ops), jobs.read_log(spark, f"{tmp_path}/entities", "entity_id long"))._jdf.queryExecution().toString()
+    assert "TransformWithStateInPySpark" in plan and "TransformWithStateInPandas" not in plan
