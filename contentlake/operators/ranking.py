@@ -1,11 +1,15 @@
 """Ranked search on a stored index: postings in blocks of entries, with the largest weight of each term in each block.
 
-An index is four tables below one folder. ``lengths`` (entry_id, length, block) has a row for each entry, ``postings``
-(shelf, term, block, entry_id, part) one for each term of each entry with what BM25 makes of its count before the term's
-weight, ``blocks`` (shelf, term, block, most, held) the largest part and the number of entries of each term in each block, and
-``terms`` (shelf, term, df). Entries of like length share blocks, so that the largest part is close to the others.
+An index is two tables below one folder. ``lengths`` (entry_id, length, block) has a row for each entry, ``postings``
+(shelf, term, block, entries, most, held) one for each term of each block: its entries, each with what BM25 makes of the term's
+count before the term's weight, the largest such part, and their number. ``blocks`` is ``postings`` without the entries, which aren't
+read for it, and ``terms`` (shelf, term, df) the sums of those numbers. Entries of like length share blocks, so that the largest
+part is close to the others.
 
-A query first reads ``terms`` and ``blocks``: a block's bound is the sum of its terms' largest parts, weighted. The k blocks
+Building moves the entries' tokens once, block by block, and counts a block's tokens as numbers in Arrow batches. All that its
+rows say is made where it lies, so no word, however frequent, gathers in one task, and no single token is a row of a shuffle.
+
+A query first reads ``blocks``: a block's bound is the sum of its terms' largest parts, weighted. The k blocks
 of the highest bounds give a k-th score, and only blocks whose bound reaches that score are read.
 No text is read, and no block's number passes through the driver: only the k-th score does.
 
@@ -15,21 +19,27 @@ gives an index that finds nothing. Equal scores are ordered by entry_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentlake.functions.text import bound_once
 from contentlake.operators.search import B, K1, LEAST_IDF, SHELVES, shelf, tokens, words_of
 from contentlake.shared import saved
 
-#: Entries of a block, about.
-PER_BLOCK = 512
+#: Entries of a block, and its tokens at most, about.
+PER_BLOCK, PER_BLOCK_TOKENS = 512, 1_000_000
+#: Tokens of a task that builds postings, about; the most such tasks, as each writes a file for each shelf.
+PER_TASK, TASKS = 2_000_000, 128
 TABLES = {
     "lengths": "entry_id {id}, length int, block long",
-    "postings": "term string, block long, entry_id {id}, part double, shelf int",
-    "blocks": "term string, block long, most double, held long, shelf int",
-    "terms": "term string, df long, shelf int",
+    "postings": "term string, block long, entries array<struct<entry_id:{id},part:double>>, most double, held long, shelf int",
 }
 
 
@@ -37,40 +47,98 @@ TABLES = {
 class RankedIndex:
     lengths: DataFrame
     postings: DataFrame
-    blocks: DataFrame
-    terms: DataFrame
+
+    @property
+    def blocks(self) -> DataFrame:
+        """(shelf, term, block, most, held)."""
+        return self.postings.drop("entries")
+
+    @property
+    def terms(self) -> DataFrame:
+        """(shelf, term, df)."""
+        return self.blocks.groupBy("shelf", "term").agg(F.sum("held").alias("df"))
 
 
 def tokenised(archive) -> DataFrame:
-    """(entry_id, t): the tokens of title and body; folded once, then kept."""
+    """(entry_id, t, length): the tokens of title and body, and how many they are; folded once, then kept."""
     both = F.concat(*(tokens(F.coalesce(c, F.lit(""))) for c in ("title", "body_text")))
-    return saved(archive.entries.select("entry_id", both.alias("t")), "tokens")
+    return saved(archive.entries.select("entry_id", bound_once(both, lambda t: F.struct(t.alias("t"), F.size(t).alias("length"))).alias("x")).select("entry_id", "x.t", "x.length"), "tokens")
 
 
 def _band(length: Column) -> Column:
     return F.floor(2 * F.log2(length + 1)).cast("long")
 
 
-def write_ranked(archive, path: str, per_block: int = PER_BLOCK) -> RankedIndex:
+@contextmanager
+def _few_rows(spark: SparkSession, rows: int = 200) -> Iterator[None]:
+    """Token lists can be long: what runs within hands Python few of them at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def _block_lists(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """Rows (block, entry_id, length, t) that lie together by block, to a row (term, block, entries, most, held) for each term of each block."""
+    block, pieces = None, []
+    for batch in batches:
+        at = batch["block"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if i < j:
+                if pieces and at[i] != block:
+                    yield from _lists(block, pieces, mean)
+                    pieces = []
+                block = at[i]
+                pieces.append(batch.slice(i, j - i))
+    if pieces:
+        yield from _lists(block, pieces, mean)
+
+
+def _lists(block: int, pieces: list[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """One block's rows; its tokens are numbered, and equal pairs of number and entry counted."""
+    rows = pa.Table.from_batches(pieces).combine_chunks()
+    n, length, ids = len(rows), rows["length"].to_numpy(), rows["entry_id"].combine_chunks()
+    tokens = pa.concat_arrays([c.flatten() for c in rows["t"].chunks]).dictionary_encode()
+    if not len(tokens):
+        return
+    pair, tf = np.unique(tokens.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
+    word, row = pair // n, pair % n
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    entries = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(part)], ["entry_id", "part"])
+    columns = [
+        tokens.dictionary.take(pa.array(word[first])),
+        pa.array(np.full(len(first), block, np.int64)),
+        pa.ListArray.from_arrays(pa.array(np.append(first, len(pair)), pa.int32()), entries),
+        pa.array(np.maximum.reduceat(part, first)),
+        pa.array(np.diff(np.append(first, len(pair)))),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, ["term", "block", "entries", "most", "held"])
+
+
+def write_ranked(archive, path: str, per_block: int = PER_BLOCK, per_task: int = PER_TASK) -> RankedIndex:
     """The index of an archive's entries, written below ``path``."""
     lists = tokenised(archive)
     spark, id_type = lists.sparkSession, lists.schema["entry_id"].dataType.simpleString()
-    sizes = lists.select("entry_id", F.size("t").alias("length"))
+    sized = lists.withColumn("band", _band(F.col("length")))
     # entries of a band of lengths are dealt to as many blocks as the band needs; a row for each band, two for each bit of lengths
-    bands = sizes.groupBy(_band(F.col("length")).alias("band")).agg(F.ceil(F.count("*") / per_block).alias("parts"), F.count("*").alias("n"), F.sum("length").alias("sum"))
+    parts = F.ceil(F.greatest(F.count("*") / per_block, F.sum("length") / PER_BLOCK_TOKENS))
+    bands = sized.groupBy("band").agg(parts.alias("parts"), F.count("*").alias("n"), F.sum("length").alias("sum"))
     bands = saved(bands.coalesce(1), "bands")
     block = (F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("entry_id"), "parts")).alias("block")
-    sizes.withColumn("band", _band(F.col("length"))).join(F.broadcast(bands), "band").select("entry_id", "length", block).write.parquet(f"{path}/lengths")
-    mean = bands.agg(F.greatest(F.sum("sum") / F.sum("n"), F.lit(1e-9)).alias("mean"))
-    counts = lists.select("entry_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("entry_id", "length", "term").agg(F.count("*").alias("tf"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    rows = counts.withColumn("band", _band(F.col("length"))).join(F.broadcast(bands.crossJoin(mean)), "band")  # mean is one row
-    rows = rows.select("term", block, "entry_id", part.alias("part"), shelf(F.col("term")).alias("shelf"))
-    rows.repartition("shelf", F.pmod(F.xxhash64("term", "block"), F.lit(4))).sortWithinPartitions("shelf", "term", "block").write.partitionBy("shelf").parquet(f"{path}/postings")
-    blocks = _read(spark, path, "postings", id_type).groupBy("shelf", "term", "block").agg(F.max("part").alias("most"), F.count("*").alias("held"))
-    blocks.select("term", "block", "most", "held", "shelf").repartition("shelf").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{path}/blocks")
-    terms = _read(spark, path, "blocks", id_type).groupBy("shelf", "term").agg(F.sum("held").alias("df"))
-    terms.select("term", "df", "shelf").repartition("shelf").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{path}/terms")
+    placed = sized.join(F.broadcast(bands.select("band", "parts")), "band").select("entry_id", "length", block, "t")
+    placed.drop("t").write.parquet(f"{path}/lengths")
+    total = bands.agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("tokens"), F.greatest(F.sum("sum") / F.sum("n"), F.lit(1e-9)).alias("mean")).first()
+    tasks = min(TASKS, total["tokens"] // per_task + 1)
+    together = placed.repartition(tasks, "block").sortWithinPartitions("block").select("block", "entry_id", "length", "t")
+    held = together.mapInArrow(partial(_block_lists, mean=total["mean"]), TABLES["postings"].format(id=id_type).removesuffix(", shelf int"))
+    rows = held.withColumn("shelf", shelf(F.col("term")))
+    with _few_rows(spark):
+        rows.sortWithinPartitions("shelf", "term", "block").write.partitionBy("shelf").parquet(f"{path}/postings")
     return read_ranked(spark, path, id_type)
 
 
@@ -104,6 +172,7 @@ def scored(index: RankedIndex, words: list[str], weights: DataFrame, blocks: Dat
     hits = _of(words, index.postings)
     if blocks is not None:
         hits = hits.join(blocks.select("block"), "block", "left_semi")
+    hits = hits.select("term", F.inline("entries"))
     return hits.join(F.broadcast(weights), "term").groupBy("entry_id").agg((-F.sum(F.col("idf") * F.col("part"))).alias("rank"))
 
 

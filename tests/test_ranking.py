@@ -61,3 +61,12 @@ def test_only_named_fields_are_folded_and_each_once(spark):
     assert folds(rules.evaluate(rows, [rules.Rule("r", rules.Group(all=[rules.Condition("title", "regex", "t")]), (("star", "true"),))])) == 0
     got = rules.evaluate(rows, [one("any", "ete \ncorps a corps \nann")]).first()
     assert got["rules"] == ["anyete \ncorps a corps \nann"]
+
+
+def test_a_frequent_word_is_dealt_by_block(spark, tmp_path):
+    rows = [(k, "all", "all " * (1 + k % 3) + f"only{k}") for k in range(600)]
+    index = ranking.write_ranked(archive_of(spark, rows), str(tmp_path), per_block=16, per_task=200)
+    found = index.postings.filter("term = 'all'")
+    assert found.select(F.input_file_name()).distinct().count() > 4
+    assert found.count() == found.select("block").distinct().count() and found.agg(F.sum("held"), F.sum(F.size("entries"))).first()[:] == (600, 600)
+    assert index.terms.filter("term IN ('all', 'only7')").select("term", "df").sort("term").collect() == [("all", 600), ("only7", 1)]
