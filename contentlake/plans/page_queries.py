@@ -232,7 +232,8 @@ def stream_watch(a: Archive) -> DataFrame:
     at = shared(a.spark, "watch")
     visits = a.table("events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("visit"), F.col("event_type").alias("seen"))
     visits.repartition("entity_id").write.parquet(f"{at}/visits")  # a key's visits lie in one file, so no batch breaks their order
-    stream = jobs.stream_changes(jobs.read_log(a.spark, f"{at}/visits", visits.schema), "entity_id", "visit", "seen")
+    files = jobs.share_of_files(a.spark, f"{at}/visits", 4)  # each batch opens the state of all keys: batches don't grow with the input
+    stream = jobs.stream_changes(jobs.read_log(a.spark, f"{at}/visits", visits.schema, files), "entity_id", "visit", "seen")
     return jobs.run_once(stream, f"watch_{uuid.uuid4().hex}", "append", f"{at}/state")
 
 

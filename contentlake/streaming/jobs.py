@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,13 @@ def read_log(spark: SparkSession, path: str, schema, files: int = 1) -> DataFram
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def share_of_files(spark: SparkSession, path: str, batches: int) -> int:
+    """How many files of a log a batch takes, so that all of them make no more than so many batches, however many there are."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return max(1, -(-sum(f.getPath().getName().endswith(".parquet") for f in files) // batches))
+
+
 def stream_winners(ops: DataFrame) -> DataFrame:
     """Last writer per key, as a running aggregate (update or complete mode)."""
     return ops.groupBy(*KEY).agg(F.max(clock("val")).alias("w")).select(*KEY, F.col("w.val").alias("val"), "w.lamport", "w.device_id")
@@ -39,14 +47,16 @@ def stream_changes(visits: DataFrame, key: str, order: str, value: str) -> DataF
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(order)
+        rows = [r for f in frames for r in zip(f[order].tolist(), f[value].tolist(), strict=True)]  # one batch's rows of one key
+        rows.sort(key=itemgetter(0))
         out = []
-        for at, now in zip(rows[order], rows[value], strict=True):
+        for at, now in rows:
             if now != last:
                 out.append((group[0], at, now))
                 last = now
         state.update((last,))
-        yield pd.DataFrame(out, columns=[key, order, value])
+        if out:
+            yield pd.DataFrame(out, columns=[key, order, value])
 
     return visits.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
 

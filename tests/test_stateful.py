@@ -111,3 +111,15 @@ def test_parked_ops_pass_as_rows_without_a_frame_for_each_entity(spark, tmp_path
     (tmp_path / "entities").mkdir()
     plan = stateful.released(jobs.read_log(spark, f"{tmp_path}/ops", ops), jobs.read_log(spark, f"{tmp_path}/entities", "entity_id long"))._jdf.queryExecution().toString()
     assert "TransformWithStateInPySpark" in plan and "TransformWithStateInPandas" not in plan
+
+
+def test_watching_takes_few_batches_however_many_files(spark, tmp_path):
+    rows = [(k % 7, k, "ab"[k // 7 % 3 == 0]) for k in range(210)]
+    written(spark, sorted(rows), "entity_id long, visit long, seen string", f"file://{tmp_path}/visits", range(30, 210, 30))  # a file per key
+    files = jobs.share_of_files(spark, f"file://{tmp_path}/visits", 3)
+    assert files == 3
+    stream = jobs.stream_changes(jobs.read_log(spark, f"file://{tmp_path}/visits", "entity_id long, visit long, seen string", files), "entity_id", "visit", "seen")
+    found = jobs.run_once(stream, "watched", "append", f"file://{tmp_path}/state")
+    assert len(list((tmp_path / "state" / "commits").glob("[0-9]*"))) == 3
+    want = [(e, v, s) for e, v, s in rows if v < 7 or s != "ab"[(v - 7) // 7 % 3 == 0]]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
