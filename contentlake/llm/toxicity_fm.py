@@ -117,6 +117,13 @@ def train(rows: list[tuple[str, int]], epochs: int = 8, rate: float = 0.3, least
 
 
 def fit(docs: DataFrame, labelled: DataFrame, bound: int = 4000, label: str = "toxic") -> Machine:
-    """Train on at most ``bound`` labelled rows; everything else about the operator sees all data."""
+    """Train on at most ``bound`` labelled rows, up to half of them toxic; everything else about the operator sees all data. Toxic
+    rows are rarer among all labels than in the sample, which the bias makes up for, so that scores stay probabilities."""
     small_batches(docs.sparkSession)
-    return train(labelled_sample(docs, labelled, label, bound, "toxic"))
+    sample = labelled_sample(docs, labelled, label, bound, "toxic", halves=True)
+    machine = train(sample)
+    toxic, clean = labelled.agg(F.count_if(F.col(label) > 0), F.count_if(F.col(label) <= 0)).first()
+    taken = sum(y > 0 for _, y in sample)
+    if 0 < taken < len(sample):
+        machine.bias += float(np.log(toxic / clean) - np.log(taken / (len(sample) - taken)))
+    return machine

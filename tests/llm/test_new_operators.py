@@ -308,3 +308,25 @@ def test_search_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert reversed_search.ranked(items, docs).collect() == [] == reversed_search.ranked(items.limit(0), spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
+
+
+def test_passages_of_the_window_go_and_shorter_ones_stay(spark):
+    """A passage of over 50 words may be shorter than the 400 bytes that the contract names; then it stays."""
+    words = [f"w{k:06d}" for k in range(4000)]  # eight bytes with the blank
+    own = lambda k: " ".join(words[k : k + 60])
+    short, long = " ".join(f"s{k:04d}" for k in range(60)), " ".join(f"long{k:05d}" for k in range(60))  # 359 and 599 bytes
+    rows = [(k, f"{own(k * 100)} {short if k % 2 else long} {own(k * 100 + 2000)}") for k in range(8)]
+    got = {r["doc_id"]: r for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(short) < suffix_dedup.WINDOW <= len(long)
+    assert all((got[k]["n_removed"], got[k]["n_spans"]) == (0, 0) for k in (1, 3, 5, 7))
+    assert all(len(long) <= got[k]["n_removed"] < len(long) + 20 and got[k]["n_spans"] == 1 for k in (0, 2, 4, 6))
+
+
+def test_a_rare_label_fills_half_of_the_sample(spark):
+    from contentlake.llm.common import labelled_sample
+
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labelled = spark.range(1000).selectExpr("id AS doc_id", "cast(id % 20 = 0 AS int) AS toxic").union(spark.sql("SELECT 20L, 0"))  # of two labels the larger counts
+    found = labelled_sample(docs, labelled, "toxic", 60, "toxic", halves=True)
+    assert len(found) == len(set(found)) == 60 and sum(y for _, y in found) == 30
+    assert len(labelled_sample(docs, labelled, "toxic", 400, "toxic", halves=True)) == 400
