@@ -6,17 +6,16 @@ context keeps one count in reserve. What the seen successors of a context leave
 to their unigram probability, with a weight that makes each context's probabilities add up to exactly 1. (A context
 that every word has followed has nothing to back off to; its reserve stays unused.)
 
-Work. One pass counts words. A second cuts texts into pairs of word numbers and deals them, packed, into buckets
-of bounded size by their context (and, for contexts larger than a share of a bucket, by their successor); a
-bucket counts its pairs, and returns its part of the context table, its documents' sums over seen pairs and the
-contexts of unseen ones. Once discounts and back-off weights are known, a pass over those parts adds up scores.
-Pairs that alone would fill a good share of a bucket are dealt by document, and their counts are added up before use.
-They are told by a sample of the rows, which decides on the dealing only: counts and scores are the same however it falls.
-
-Only the ``NUMBERED`` most frequent words have numbers. A pair with another word travels as two 64-bit hashes: dealt by
+Work. One pass counts words. A second cuts the rows into chunks of about ``FLUSH`` tokens, kept as rows of a bucketed
+table. A chunk sends each of its different pairs once, with how often its training rows have it, to a bucket of bounded
+size: by the pair's context and, for contexts larger than a share of a bucket, by its successor. A bucket adds up, returns its
+part of the context table, and to each chunk the counts of what it sent, in that order. Once discounts and back-off weights
+are known, each chunk meets its counts and scores its rows. What travels grows with the chunks' different pairs alone, however
+many buckets there are, and a pair or text that occurs everywhere comes once a chunk.
+
+Only the ``NUMBERED`` most frequent words have numbers. A pair with another word travels as two 64-bit keys: dealt by
 its second word if that has no number (whose count is then the bucket's own sum), else by its first. What follows a
-word without a number is gathered by that word once more, for its context's count and weight.
-Scores depend on the text alone, so they are kept by its hash, and copies add no rows to the result's sums.
+word without a number is gathered by that word once more, where chunks ask for its back-off weight.
 
 Driver and broadcasts hold counts and weights of the numbered words only. All counts are exact (of 64-bit hashes of
 words).
@@ -28,6 +27,7 @@ none; further columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -35,12 +35,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlake.llm.common import Scratch, dealt, small_batches, spread_join
+from contentlake.llm.common import Scratch, small_batches
 
-NUMBERED, DISCOUNTED, BUCKET, FLUSH, SAMPLED, WIDTH, PER_DEAL = 1 << 18, 5, 2_000_000, 500_000, 128, 5, 8_000
+NUMBERED, DISCOUNTED, BUCKET, FLUSH, SAMPLED, WIDTH = 1 << 18, 5, 2_000_000, 1_000_000, 128, 5
 END = b"\n"  # no word holds one
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,10 +63,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def text_hash(text: str | None) -> int:
-    return signed(xxhash.xxh3_64_intdigest((text or "").encode()))
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """(h, c): every word's hash and count."""
 
@@ -91,7 +88,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 class Words:
     """The frequent words: their hashes in order, and their counts. Numbers: a frequent word's place; ``rare`` for any
-    other; ``start`` as the context of a first token. ``split``: pairs of numbers that are dealt by document."""
+    other; ``start`` as the context of a first token."""
 
     def __init__(self, table: DataFrame, bound: int):
         level = F.least("c", F.lit(65_536)).alias("level")
@@ -108,7 +105,6 @@ class Words:
         self.hashes, self.counts = h[order], c[order]
         self.rare, self.start = len(h), len(h) + 1
         self.rare_tokens = self.tokens - int(c.sum())
-        self.split = np.zeros(0, np.int64)
 
     def finish(self, texts: int) -> None:
         """Context counts and unigram probabilities by number."""
@@ -121,10 +117,6 @@ class Words:
         k = np.searchsorted(self.hashes, h)
         return np.where(h == START, self.start, np.where((k < self.rare) & (hashes[k] == h), k, self.rare))
 
-    def is_split(self, key: np.ndarray) -> np.ndarray:
-        split = np.append(self.split, np.int64(-1))
-        return split[np.searchsorted(self.split, key)] == key
-
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -148,91 +140,48 @@ def before(x: np.ndarray, run: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def frequent_pairs(docs: DataFrame, words: Words, least: float, sampled: int) -> np.ndarray:
-    """Keys of pairs that occur about ``least`` times or more, by every ``sampled``-th row or so; at most twice as many as
-    would fit into all tokens."""
-    if np.sum(words.context >= least) < 2:
-        return np.zeros(0, np.int64)
-    base = words.rare + 2
-    some = docs.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(sampled)) == 0).select("text")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = Hashes(), words.context >= least
-        for batch in batches:
-            h, run = hashed(batch.column(0).to_pylist(), known)
-            b = words.places(h)
-            a = before(b, run, words.start)
-            both = often[a] & often[b]
-            key, count = np.unique(a[both] * base + b[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(count, pa.int64())], ["key", "c"])
-
-    found = some.mapInArrow(tally, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") * sampled >= least / 2).collect()
-    return np.sort(np.array([r["key"] for r in found], np.int64))
-
+def planes(x: np.ndarray, width: int = 0) -> bytes:
+    """The rows' bytes (the first ``width`` of each), place by place: ordered or small numbers compress well so."""
+    x = np.ascontiguousarray(x)
+    own = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    return x.view(np.uint8).reshape(len(x), own)[:, : width or own].T.tobytes()
 
-def deal(words: Words, buckets: int, size: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """The bucket of each pair (context, word) of a text."""
-    pieces = np.maximum(1, np.ceil(words.context / (size / 4))).astype(np.uint64)
 
-    def bucket(a: np.ndarray, b: np.ndarray, text: np.ndarray) -> np.ndarray:
-        both = words.is_split(a * (words.rare + 2) + b)
-        salt = np.where(both, mixed(text.view(np.uint64)), mixed(b)) % np.where(both, np.uint64(buckets), pieces[a])
-        return (mixed(a.astype(np.uint64) * np.uint64(1 << 20) + salt) % np.uint64(buckets)).astype(np.int64)
+def numbers(parts: Iterator[bytes], kind, width: int = 0) -> np.ndarray:
+    """What ``planes`` has packed, part after part."""
+    size = np.dtype(kind).itemsize
+    raw = [np.frombuffer(p, np.uint8).reshape(width or size, -1).T for p in parts]
+    out = np.zeros((sum(map(len, raw)), size), np.uint8)
+    if raw:
+        np.concatenate(raw, out=out[:, : width or size])
+    return out.view(kind).ravel()
 
-    return bucket
 
+#: What a chunk holds of a row: its id, whether it is learned from, and its number of tokens.
+OWN = np.dtype([("doc", "<i8"), ("null", "?"), ("learn", "?"), ("n", "<i8")])
+PAIR, FOLLOWER = np.dtype([("left", "<i8"), ("right", "<i8")]), np.dtype([("count", "<u4"), ("unigram", "<u4")])
+CHUNKS = "chunk long, own binary, tokens binary, odd binary"
+SHARES = "bucket int, chunk long, keys binary, learned binary"
+PARTS = "kind int, bucket int, chunk long, a binary, b binary"
 
-SHARES = "bucket int, keys binary, texts binary, runs binary"
-PARTS = "kind int, a binary, b binary, deal int"
 
+def cut(docs: DataFrame, shared) -> DataFrame:
+    """Rows of (doc_id, text, learn) as chunks: the rows' data, their tokens, and the hashes of words without number,
+    which tokens name by their places from ``start + 1``."""
 
-#: What the result says of a row, but for its score.
-OWN = np.dtype([("doc", "<i8"), ("null", "?"), ("learn", "?"), ("th", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8")])
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known, made = shared.value, Hashes(), TaskContext.get().partitionId() << 32
 
-
-def pack_pairs(docs: DataFrame, shared, buckets: int, rare_buckets: int, size: int) -> DataFrame:
-    """Rows of (bucket, keys, hashes of texts, run lengths): pairs of numbers, pairs with a word that has none (two
-    hashes, or a hash and a number); and packed rows of what the result says of the texts, in buckets after those.
-
-    ``docs`` has doc_id, text and learn. The run of a text that isn't learned from has a negative length.
-    """
-    after = buckets + 2 * rare_buckets
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = shared.value, Hashes()
-        bucket, base, logs = deal(words, buckets, size), words.rare + 2, np.append(np.log10(words.counts + 1.0), [0.0, 0.0])
-
-        def out(docs: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
+        def out(docs: list, texts: list, learn: list) -> pa.RecordBatch:
             h, run = hashed(texts, known)
-            first = np.cumsum(run) - run
-            b = words.places(h)
-            a = before(b, run, words.start)
-            at = np.repeat(np.arange(len(run)), run)
             own = np.zeros(len(run), OWN)
-            own["doc"], own["null"] = [d or 0 for d in docs], [d is None for d in docs]
-            own["th"], own["learn"], own["n"] = [text_hash(t) for t in texts], learn, run
-            own["known"], own["base"] = np.add.reduceat(b < words.rare, first, dtype=np.int64), np.add.reduceat(logs[b], first)
-            rows = [(after + int(own["th"][0] % buckets), own.tobytes(), None, None)]
-
-            def cut(key: np.ndarray, where: np.ndarray, at: np.ndarray, width: int) -> None:
-                raw = np.ascontiguousarray(key).view(np.uint8).reshape(len(key), max(8, width))[:, :width]
-                for to, place in dealt(where):
-                    new = np.flatnonzero(np.diff(at[place], prepend=-1))
-                    runs = np.diff(np.append(new, len(place))).astype(np.int32)
-                    who = at[place][new]
-                    runs[~own["learn"][who]] *= -1
-                    rows.append((to, raw[place].tobytes(), own["th"][who].tobytes(), runs.tobytes()))
-
-            odd = (a == words.rare) | (b == words.rare)
-            some = np.flatnonzero(odd)
-            second = b[some] == words.rare
-            left, right = before(h, run, START)[some], np.where(second, h[some], b[some])
-            by = mixed(np.where(second, right, left).view(np.uint64)) % np.uint64(rare_buckets)
-            cut(np.stack([left, right], 1), buckets + np.where(second, 0, rare_buckets) + by.astype(np.int64), at[some], 16)
-            a, b, at = a[~odd], b[~odd], at[~odd]
-            cut(a * base + b, bucket(a, b, own["th"][at]), at, WIDTH)
-            for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "texts", "runs"])
+            own["doc"], own["null"], own["learn"], own["n"] = [d or 0 for d in docs], [d is None for d in docs], learn, run
+            token = words.places(h)
+            unnumbered = token == words.rare
+            odd, place = np.unique(h[unnumbered], return_inverse=True)
+            token[unnumbered] = words.start + 1 + place
+            row = (made, own.tobytes(), pa.compress(planes(token.astype(np.uint32)), "zstd", asbytes=True), odd.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *3 * [pa.binary()]), strict=True)], ["chunk", "own", "tokens", "odd"])
 
         held, size_held = ([], [], []), 0
         for batch in batches:
@@ -241,113 +190,149 @@ def pack_pairs(docs: DataFrame, shared, buckets: int, rare_buckets: int, size: i
                     to.append(value)
                 size_held += 1 + len(row[1] or "") // 6
                 if size_held >= FLUSH:
-                    yield from out(*held)
-                    held, size_held = ([], [], []), 0
+                    yield out(*held)
+                    held, size_held, made = ([], [], []), 0, made + 1
         if held[0]:
-            yield from out(*held)
-
-    return docs.select(F.col("doc_id").cast("long"), "text", "learn").mapInArrow(pack, SHARES)
-
-
-def sums_by(text: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """Distinct texts and the sums of columns over them."""
-    each, place = np.unique(text, return_inverse=True)
-    return [each, *(np.bincount(place, c, len(each)) for c in columns)]
-
-
-def count_bucket(group: pd.DataFrame, words: Words) -> list[tuple]:
-    """A bucket's parts: counts of counts (0), contexts (1), seen sums (2), unseen contexts (3), split pairs (4, 5)."""
-    raw = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, WIDTH)
-    key = np.zeros((len(raw), 8), np.uint8)
-    key[:, :WIDTH] = raw
-    key = key.view(np.int64).ravel()
-    run = np.frombuffer(b"".join(group["runs"]), np.int32)
-    text = np.repeat(np.frombuffer(b"".join(group["texts"]), np.int64), np.abs(run))
-    learn = np.repeat(run > 0, np.abs(run))
-    pair, place = np.unique(key, return_inverse=True)
-    count = np.bincount(place, learn, len(pair))
-    base = words.rare + 2
-    a, b = pair // base, pair % base
-    hot = words.is_split(pair)
-    out = []
-    cold = ~hot & (count > 0)
-    out.append((0, np.bincount(np.minimum(count[cold], DISCOUNTED + 2).astype(int), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tobytes(), b"", 0))
-    if cold.any():
-        out.append((1, *context_part(a[cold], words.low[b[cold]], count[cold]), 0))
-    seen, late = cold[place], hot[place]
-    if seen.any():
-        c, which = count[place[seen]], place[seen]
-        value = np.log10(c) - np.log10(words.context[a[which]] + 1)
-        out.append((2, *seen_part(text[seen], value, c), 0))
-    unseen = ~seen & ~late
-    if unseen.any():
-        out.append((3, text[unseen].tobytes(), pair[place[unseen]].tobytes(), 0))
-    if late.any():
-        out.append((4, text[late].tobytes(), key[late].tobytes(), 0))
-        out.append((5, pair[hot].tobytes(), count[hot].astype(np.int64).tobytes(), 0))
-    return out
+            yield out(*held)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", "learn").mapInArrow(chunks, CHUNKS)
+
+
+class Deal:
+    """The bucket of a pair: of two numbers; of two words of which the second has none; of a first that has none. And
+    the bucket of ``words`` without number, where their back-off weights are told."""
+
+    def __init__(self, words: Words, buckets: int, rare_buckets: int, size: int):
+        self.words, self.buckets, self.rare_buckets, self.size = words, buckets, rare_buckets, size
+
+    def odd(self, h: np.ndarray) -> np.ndarray:
+        return (mixed(h.view(np.uint64)) % np.uint64(self.rare_buckets)).astype(np.int64)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        first = self.words.start + 1
+        pieces = np.maximum(1, np.ceil(self.words.context / (self.size / 4))).astype(np.uint64)
+        to, left, right = np.empty(len(a), np.int64), a >= first, b >= first
+        both = ~left & ~right
+        salt = mixed(b[both]) % pieces[a[both]]
+        to[both] = mixed(a[both].astype(np.uint64) * np.uint64(1 << 20) + salt) % np.uint64(self.buckets)
+        to[right] = self.buckets + self.odd(odd[b[right] - first])
+        left &= ~right
+        to[left] = self.buckets + self.rare_buckets + self.odd(odd[a[left] - first])
+        return to
+
+
+class Chunk:
+    """A chunk's tokens: ``a`` and ``b`` are its different pairs in the order of their buckets ``to``, ``place`` says
+    which of them each token ends."""
+
+    def __init__(self, own: bytes, tokens: bytes, odd: bytes, words: Words):
+        self.words, self.own, self.odd = words, np.frombuffer(own, OWN), np.frombuffer(odd, np.int64)
+        raw = pa.decompress(tokens, 4 * int(self.own["n"].sum()), "zstd", asbytes=True)
+        self.token = numbers([raw], np.uint32).astype(np.int64)
+        self.at = np.repeat(np.arange(len(self.own)), self.own["n"])
+
+    def pair_up(self, deal: Deal) -> None:
+        top = self.words.start + 1 + len(self.odd)
+        key, place = np.unique(before(self.token, self.own["n"], self.words.start) * top + self.token, return_inverse=True)
+        a, b = key // top, key % top
+        to = deal.pairs(a, b, self.odd)
+        order = np.argsort(to, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.a, self.b, self.to, self.place = a[order], b[order], to[order], rank[place]
+
+    def shares(self, deal: Deal) -> Iterator[tuple[int, bytes, bytes]]:
+        """(bucket, keys, how often training rows have them) for each bucket that the chunk has pairs of."""
+        first = self.words.start + 1
+        learned = np.bincount(self.place, self.own["learn"][self.at], len(self.a)).astype(np.uint32)
+        whole = np.concatenate([np.arange(first), self.odd])
+        for i, j in slices(self.to):
+            a, b, to = self.a[i:j], self.b[i:j], int(self.to[i])
+            keys = planes(a * first + b, WIDTH) if to < deal.buckets else planes(np.stack([whole[a], whole[b]], 1))
+            yield to, keys, planes(learned[i:j])
+
+    def asked(self, deal: Deal) -> tuple[np.ndarray, np.ndarray]:
+        """The words without number that rows which aren't learned from have, in the order of their buckets, and those."""
+        first = self.words.start + 1
+        of = np.unique(self.token[~self.own["learn"][self.at] & (self.token >= first)]) - first
+        to = deal.odd(self.odd[of])
+        order = np.argsort(to, kind="stable")
+        return of[order], to[order]
+
+
+def slices(ordered: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(ordered, prepend=-1, append=-1))
+    return zip(edge[:-1], edge[1:], strict=True)
+
 
+def from_chunks(table: DataFrame, shared, rows_of: Callable[[int, Chunk], list[tuple]], schema: str) -> DataFrame:
+    """Rows that are made of each chunk."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
 
-def count_unnumbered(group: pd.DataFrame, words: Words, by_word: bool, deals: int) -> list[tuple]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, *held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = rows_of(chunk, Chunk(*held, shared.value))
+                for k in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), types, strict=True)], names)
+
+    return table.select("chunk", "own", "tokens", "odd").mapInArrow(made, schema)
+
+
+def count_bucket(bucket: int, group: pd.DataFrame, words: Words) -> list[tuple]:
+    """A bucket's parts: counts of counts (0), contexts (1), and each chunk's counts (2)."""
+    pair, place = np.unique(numbers(group["keys"], np.int64, WIDTH), return_inverse=True)
+    count = np.bincount(place, numbers(group["learned"], np.uint32), len(pair)).astype(np.int64)
+    met = count > 0
+    a, b = pair[met] // (words.start + 1), pair[met] % (words.start + 1)
+    out = [(0, bucket, 0, levels_of(count), b"")]
+    if len(a):
+        out.append((1, bucket, 0, *context_part(a, words.low[b], count[met])))
+    sent = np.cumsum([0, *(len(x) // 4 for x in group["learned"])])
+    return out + [(2, bucket, chunk, planes(count[place[i:j]].astype(np.uint32)), b"") for chunk, i, j in zip(group["chunk"], sent[:-1], sent[1:], strict=True)]
+
+
+def count_unnumbered(bucket: int, group: pd.DataFrame, words: Words, by_word: bool, deal: Deal) -> list[tuple]:
     """A bucket of pairs with a word that has no number, of all pairs with their second word (or their first).
 
-    Parts as of other buckets, for contexts that have a number (8: unseen ones, with the unigram); what follows
-    other contexts, dealt by them (9); and for second words what base scores need (6).
+    Parts as of other buckets, with the second words' counts beside those of pairs, for contexts that have a number; what
+    training rows have after other contexts is dealt by them (9).
     """
-    key = np.frombuffer(b"".join(group["keys"]), np.int64).reshape(-1, 2)
-    run = np.frombuffer(b"".join(group["runs"]), np.int32)
-    text = np.repeat(np.frombuffer(b"".join(group["texts"]), np.int64), np.abs(run))
-    order = np.lexsort((key[:, 0], key[:, 1]))
-    ordered = key[order]
-    new_word = np.diff(ordered[:, 1], prepend=0) != 0
-    new_word[0] = True
-    new = new_word | (np.diff(ordered[:, 0], prepend=0) != 0)
+    key = numbers(group["keys"], PAIR)
+    order = np.lexsort((key["left"], key["right"]))
+    left, right = key["left"][order], key["right"][order]
+    new_word = np.append(True, right[1:] != right[:-1])
+    new = new_word | np.append(True, left[1:] != left[:-1])
     place = np.empty(len(key), np.int64)
     place[order] = np.cumsum(new) - 1
-    left, right, first = *ordered[new].T, order[new]
-    count = np.bincount(place, np.repeat(run > 0, np.abs(run)), len(left)).astype(np.int64)
-    out = []
+    left, right = left[new], right[new]
+    count = np.bincount(place, numbers(group["learned"], np.uint32), len(left)).astype(np.int64)
     if by_word:
         word = np.cumsum(new_word[new]) - 1
         unigram = np.bincount(word, count).astype(np.int64)[word]
-        each, *sums = sums_by(text, np.zeros(len(text)), np.log10(unigram[place] + 1), unigram[place] > 0)
-        out.append((6, each.tobytes(), np.stack(sums, 1).tobytes(), 0))
-        a = words.places(left)
     else:
-        unigram, a = words.counts[right], np.full(len(left), words.rare)
-    low = np.maximum(unigram, 1) / (words.tokens + 1)
-    numbered, met = a != words.rare, count > 0
-    out.append((0, np.bincount(np.minimum(count[met], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tobytes(), b"", 0))
-    if (numbered & met).any():
-        out.append((1, *context_part(a[numbered & met], low[numbered & met], count[numbered & met]), 0))
-    seen = (numbered & met)[place]
-    if seen.any():
-        which = place[seen]
-        c = count[which]
-        out.append((2, *seen_part(text[seen], np.log10(c) - np.log10(words.context[a[which]] + 1), c), 0))
-    unseen = (numbered & ~met)[place]
-    if unseen.any():
-        which = place[unseen]
-        out.append((8, text[unseen].tobytes(), np.stack([a[which], np.log10(low[which])], 1).tobytes(), 0))
-    late = np.flatnonzero(~numbered[place])
-    if len(late):
-        sign = np.full(len(key), -1)
-        sign[first] = 1  # a pair's count enters its context once
-        which = place[late]
-        columns = (left[which], text[late], (count[which] * sign[late]).astype(np.int32), unigram[which].astype(np.uint32))
-        to = (mixed(columns[0].view(np.uint64)) % np.uint64(deals)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            rows = order[i:j]
-            out.append((9, columns[0][rows].tobytes(), b"".join(c[rows].tobytes() for c in columns[1:]), int(to[rows[0]])))
+        unigram = words.counts[right]
+    met, numbered = count > 0, (left >= 0) & (left <= words.start)
+    out = [(0, bucket, 0, levels_of(count), b"")]
+    if (some := met & numbered).any():
+        out.append((1, bucket, 0, *context_part(left[some], np.maximum(unigram[some], 1) / (words.tokens + 1), count[some])))
+    late = np.flatnonzero(met & ~numbered)
+    to = deal.odd(left[late])
+    order = np.lexsort((left[late], to))
+    for i, j in slices(to[order]):
+        of = late[order[i:j]]
+        out.append((9, int(to[order[i]]), 0, planes(left[of]), planes(np.stack([count[of], unigram[of]], 1).astype(np.uint32))))
+    sent = np.cumsum([0, *(len(x) // 4 for x in group["learned"])])
+    for chunk, i, j in zip(group["chunk"], sent[:-1], sent[1:], strict=True):
+        which = place[i:j]
+        out.append((2, bucket, chunk, planes(count[which].astype(np.uint32)), planes(unigram[which].astype(np.uint32)) if by_word else b""))
     return out
 
 
-def seen_part(text: np.ndarray, value: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
-    """Per text: the sum of values without discounts, and how many of its pairs have count 1 to DISCOUNTED."""
-    each, total, *levels = sums_by(text, value, *(c == r for r in range(1, DISCOUNTED + 1)))
-    return each.tobytes(), total.tobytes() + np.stack(levels, 1).astype(np.uint32).tobytes()
+def levels_of(count: np.ndarray) -> bytes:
+    """How many pairs have each count."""
+    return np.bincount(np.minimum(count[count > 0], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2].tobytes()
 
 
 def context_part(a: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
@@ -386,79 +371,119 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def katz_scores(docs: DataFrame, learn: Column, size: int = BUCKET, numbered: int = NUMBERED, sampled: int = SAMPLED) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; learns from rows where ``learn``.
 
-    A task's bucket holds about ``size`` pairs; ``numbered`` words have numbers.
+    A task's bucket holds about ``size`` pairs; ``numbered`` words have numbers. ``sampled`` is for older callers and changes
+    nothing: dealing needs no sample of the rows any more.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    table = scratch.save(count_words(docs.filter("learn").select("text")), "words")
-    words = Words(table, numbered)
+    counted = scratch.save(count_words(docs.filter("learn").select("text")), "words")
+    words = Words(counted, numbered)
     end = signed(xxhash.xxh3_64_intdigest(END))
-    ends = table.filter(F.col("h") == end).collect()
+    ends = counted.filter(F.col("h") == end).collect()
     words.finish(ends[0]["c"] if ends else 0)
+    scratch.drop(counted)
     length = F.octet_length(F.coalesce("text", F.lit(""))) + 6
     sizes = docs.agg(F.sum(length).alias("all"), F.sum(F.when(F.col("learn"), length)).alias("learned")).first()
     per_byte = words.tokens / sizes["learned"] if words.tokens else 1 / 6
     total = int((sizes["all"] or 0) * per_byte) + 1  # tokens of all rows, about
     rare = total * (words.rare_tokens / words.tokens if words.tokens else 1) + max(0, total - words.tokens) / 8
     buckets, rare_buckets = -(-total // size), int(rare * 4 / 3 / max(1, size // 8)) + 1  # keys with hashes are longer
-    words.split = frequent_pairs(docs, words, size / 8, sampled)
     shared = spark.sparkContext.broadcast(words)
+    name = f"contentlake_chunks_{uuid.uuid4().hex}"
+    chunks = cut(docs, shared).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+    chunks.option("path", f"{scratch.base}/chunks").option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+
+    def dealt() -> Deal:
+        return Deal(shared.value, buckets, rare_buckets, size)
+
+    def shares(chunk: int, held: Chunk) -> list[tuple]:
+        deal = dealt()
+        held.pair_up(deal)
+        return [(to, chunk, keys, learned) for to, keys, learned in held.shares(deal)]
 
     def reduce_bucket(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < buckets:
-            rows = count_bucket(group, shared.value)
-        elif key[0] < buckets + 2 * rare_buckets:
-            rows = count_unnumbered(group, shared.value, key[0] < buckets + rare_buckets, rare_buckets)
+        bucket = int(key[0])
+        if bucket < buckets:
+            rows = count_bucket(bucket, group, shared.value)
         else:
-            rows = [(10, own, b"", 0) for own in group["keys"]]
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "deal"])
+            rows = count_unnumbered(bucket, group, shared.value, bucket < buckets + rare_buckets, dealt())
+        return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "a", "b"])
+
+    parts = scratch.save(from_chunks(table, shared, shares, SHARES).groupBy("bucket").applyInPandas(reduce_bucket, PARTS), "parts")
+    _, alpha, d = weights(parts, words)
+    model = spark.sparkContext.broadcast((alpha, d))
+
+    def ask(chunk: int, held: Chunk) -> list[tuple]:
+        of, to = held.asked(dealt())
+        return [(11, int(to[i]), chunk, planes(held.odd[of[i:j]]), b"") for i, j in slices(to)]
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        """Back-off weights of the words that chunks ask for; the group has all that follows these words."""
+        asks, known = group[group["kind"] == 11], group[group["kind"] == 9]
+        each, place = np.unique(numbers(asks["a"], np.int64), return_inverse=True)
+        left, after = numbers(known["a"], np.int64), numbers(known["b"], FOLLOWER)
+        at = np.searchsorted(each, left)
+        some = np.append(each, 0)[at] == left
+        some &= at < len(each)
+        at, count, low = at[some], after["count"][some].astype(np.int64), np.maximum(after["unigram"][some], 1) / (shared.value.tokens + 1)
+        held = np.zeros((len(each), DISCOUNTED + 2))
+        met, sums = context_sums(at, low, count)
+        held[met] = sums
+        told = back_off(held, np.bincount(at, count, len(each)), model.value[1])[place]
+        sent = np.cumsum([0, *(len(x) // 8 for x in asks["a"])])
+        return asks.assign(a=[told[i:j].tobytes() for i, j in zip(sent[:-1], sent[1:], strict=True)])
+
+    def score(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        return score_chunk(rows, counts, shared.value, *model.value, dealt())
+
+    asked = from_chunks(table, shared, ask, PARTS).unionByName(parts.filter("kind = 9"))
+    answers = parts.filter("kind = 2").unionByName(asked.groupBy("bucket").applyInPandas(answer, PARTS))
+    out = scratch.save(table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, RESULT), "scores")
+    spark.sql(f"DROP TABLE {name}")
+    scratch.clear(out)
+    return out
 
-    parts = scratch.save(pack_pairs(docs, shared, buckets, rare_buckets, size).groupBy("bucket").applyInPandas(reduce_bucket, PARTS), "parts")
-    hot = {int(r["key"]): int(r["c"]) for r in sum_hot(parts).collect()}  # at most the split pairs
-    n, alpha, d = weights(parts, words, hot)
-    model = spark.sparkContext.broadcast((alpha, d, hot))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                own = np.frombuffer(packed, OWN)
-                columns = [pa.array(own["doc"], pa.int64(), mask=own["null"]), *(pa.array(own[c], t) for c, t in zip(("learn", "th", "n", "known", "base"), kinds, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "learn", "th", "n_tokens", "known", "base"])
-
-    own = parts.filter("kind = 10").select("a").mapInArrow(unpack, "doc_id long, learn boolean, th long, n_tokens long, known long, base double")
-    own = scratch.save(own, "texts")
-    sums = add_up(parts, shared, model, own.count())
-    copies = own.groupBy("th").agg(F.count("*").alias("copies"))
-    each = sums.join(copies, "th").select("th", *((F.col(c) / F.col("copies")).alias(c) for c in ("score", "rare_base", "rare_known")))
+def score_chunk(rows: pd.DataFrame, counts: pd.DataFrame, words: Words, alpha: np.ndarray, d: np.ndarray, deal: Deal) -> pd.DataFrame:
+    """The result's rows of a chunk, from the counts of its pairs and the weights that it asked for."""
+    held = Chunk(*rows.iloc[0][["own", "tokens", "odd"]], words)
+    held.pair_up(deal)
+    counts = counts.sort_values("bucket")
+    paired, told = counts[counts["kind"] == 2], counts[counts["kind"] == 11]
+    c, first = numbers(paired["a"], np.uint32).astype(np.int64), words.start + 1
+    unigram, back = np.zeros(len(held.odd), np.int64), np.zeros(len(held.odd))
+    unigram[held.b[held.b >= first] - first] = numbers(paired["b"], np.uint32)
+    back[held.asked(deal)[0]] = np.frombuffer(b"".join(told["a"]))
+    seen = np.concatenate([words.counts, [0, 0], unigram])
+    context = np.concatenate([words.context, unigram])[held.a]
+    low = np.maximum(seen[held.b], 1) / (words.tokens + 1)
+    factor = np.append(d, 1.0)[np.minimum(c, DISCOUNTED + 1)]
+    value = np.where(c > 0, np.log10(np.maximum(c, 1) * factor) - np.log10(context + 1), np.concatenate([alpha, back])[held.a] + np.log10(low))
+    add = lambda x: np.bincount(held.at, x, len(held.own))
     whole = float(np.log10(words.tokens + words.types + 1))
-    joined = spread_join(own, scratch.save(each, "sums"), "th", "left")
-    return joined.select(
-        "doc_id",
-        (~F.col("learn")).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.round(F.coalesce("rare_known", F.lit(0.0))).cast("long")).alias("n_known"),
-        F.lit(words.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+    return pd.DataFrame(
+        {
+            "doc_id": pd.arrays.IntegerArray(held.own["doc"].copy(), held.own["null"].copy()),
+            "held_out": ~held.own["learn"],
+            "n_tokens": held.own["n"],
+            "n_known": add(seen[held.token] > 0).astype(np.int64),
+            "train_tokens": words.tokens,
+            "base_score": add(np.log10(seen[held.token] + 1.0)) - held.own["n"] * whole,
+            "score": add(value[held.place]),
+        }
     )
 
 
-def sum_hot(parts: DataFrame) -> DataFrame:
-    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                yield pd.DataFrame({"key": np.frombuffer(a, np.int64), "c": np.frombuffer(b, np.int64)})
-
-    return parts.filter("kind = 5").select("a", "b").mapInPandas(flat, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter("c > 0")
-
-
-def weights(parts: DataFrame, words: Words, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weights(parts: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of counts, log10 back-off weights by context, and discount factors."""
     names = [f"x{k}" for k in range(DISCOUNTED + 2)]
 
@@ -477,89 +502,5 @@ def weights(parts: DataFrame, words: Words, hot: dict[int, int]) -> tuple[np.nda
     table = flat.groupBy("context").agg(*(F.sum(x).alias(x) for x in names)).toArrow()  # at most a row per frequent word
     held = np.zeros((words.rare + 2, len(names)))
     held[table["context"].to_numpy()] = np.stack([table[x].to_numpy() for x in names], 1)
-    base = words.rare + 2
-    for key, c in hot.items():
-        a, b = divmod(key, base)
-        held[a, min(c, DISCOUNTED + 1) - 1] += 1 if c <= DISCOUNTED else c
-        held[a, DISCOUNTED + 1] += words.low[b]
-        if c <= DISCOUNTED + 1:
-            n[c] += 1
     d = discounts(n)
     return n, back_off(held, words.context, d), d
-
-
-def add_up(parts: DataFrame, shared, model, texts: int) -> DataFrame:
-    """(th, score, rare_base, rare_known): sums of all parts by text.
-
-    What a part adds to its texts travels packed, dealt by text, so that rows don't multiply with the buckets.
-    """
-    deals = max(1, -(-texts // PER_DEAL))
-
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, (alpha, d, hot) = shared.value, model.value
-        base, low, logs = words.rare + 2, np.log10(words.low), np.log10(d[1:])
-        for batch in batches:
-            for kind, a, b in zip(batch["kind"], batch["a"], batch["b"], strict=True):
-                text = np.frombuffer(a, np.int64)
-                if kind == 6:
-                    each, sums = text, np.frombuffer(b).reshape(-1, 3)
-                elif kind == 2:
-                    levels = np.frombuffer(b, np.uint32, len(text) * DISCOUNTED, 8 * len(text)).reshape(len(text), -1)
-                    each, sums = text, (np.frombuffer(b, np.float64, len(text)) + levels @ logs)[:, None]
-                elif kind == 8:
-                    left, right = np.frombuffer(b).reshape(-1, 2).T
-                    each, value = sums_by(text, alpha[left.astype(np.int64)] + right)
-                    sums = value[:, None]
-                else:
-                    pair = np.frombuffer(b, np.int64)
-                    left, right = pair // base, pair % base
-                    value = alpha[left] + low[right]
-                    if kind == 4:
-                        kinds, place = np.unique(pair, return_inverse=True)
-                        c = np.array([hot.get(int(k), 0) for k in kinds])[place]
-                        factor = np.append(d, 1.0)[np.minimum(c, DISCOUNTED + 1)]
-                        value = np.where(c > 0, np.log10(np.maximum(c, 1) * factor) - np.log10(words.context[left] + 1), value)
-                    each, value = sums_by(text, value)
-                    sums = value[:, None]
-                yield by_text(each, sums)
-
-    def by_text(each: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
-        to = (mixed(each.view(np.uint64)) % np.uint64(deals)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        edge = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
-        rows = [order[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
-        return pd.DataFrame({"deal": [to[r[0]] for r in rows], "th": [each[r].tobytes() for r in rows], "sums": [sums[r].tobytes() for r in rows]})
-
-    def after_unnumbered(group: pd.DataFrame) -> pd.DataFrame:
-        """Sums over pairs whose context has no number: the group has all that follows its contexts."""
-        tokens, (_, d, _) = shared.value.tokens, model.value
-        a, parts = np.frombuffer(b"".join(group["a"]), np.int64), []
-        for b in group["b"]:
-            n = len(b) // 16
-            parts.append((np.frombuffer(b, np.int64, n), np.frombuffer(b, np.int32, n, 8 * n), np.frombuffer(b, np.uint32, n, 12 * n)))
-        text, count, unigram = (np.concatenate(x) for x in zip(*parts, strict=True))
-        low = np.maximum(unigram, 1) / (tokens + 1)
-        each, place = np.unique(a, return_inverse=True)
-        once = count > 0
-        context = np.bincount(place, np.where(once, count, 0), len(each))
-        held = np.zeros((len(each), DISCOUNTED + 2))
-        met, sums = context_sums(place[once], low[once], count[once])
-        held[met] = sums
-        c = np.abs(count)
-        factor = np.append(d, 1.0)[np.minimum(c, DISCOUNTED + 1)]
-        value = np.where(c > 0, np.log10(np.maximum(c, 1) * factor) - np.log10(context[place] + 1), back_off(held, context, d)[place] + np.log10(low))
-        texts, value = sums_by(text, value)
-        return by_text(texts, value[:, None])
-
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        """Sums of scores, and of what base scores need where parts have that."""
-        three = np.array([len(x) == 3 * len(t) for t, x in zip(group["th"], group["sums"], strict=True)])
-        join = lambda column, which, kind: np.frombuffer(b"".join(group[column][which]), kind)
-        each, score = sums_by(join("th", ~three, np.int64), join("sums", ~three, np.float64))
-        some, *base = sums_by(join("th", three, np.int64), *join("sums", three, np.float64).reshape(-1, 3).T[1:])
-        out = pd.DataFrame({"th": each, "score": score}).merge(pd.DataFrame({"th": some, "rare_base": base[0], "rare_known": base[1]}), "outer", "th")
-        return out.fillna(0.0)[["th", "score", "rare_base", "rare_known"]]
-
-    packed = parts.filter("kind in (2, 3, 4, 6, 8)").select("kind", "a", "b").mapInPandas(resolve, "deal long, th binary, sums binary")
-    packed = packed.unionByName(parts.filter("kind = 9").select("deal", "a", "b").groupBy("deal").applyInPandas(after_unnumbered, packed.schema))
-    return packed.groupBy("deal").applyInPandas(total, "th long, score double, rare_base double, rare_known double")

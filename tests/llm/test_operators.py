@@ -495,6 +495,35 @@ def test_katz_without_training_or_rows(spark):
     assert katz.katz_scores(frame(spark, []), F.lit(True)).count() == 0
 
 
+def shuffled(spark, run):
+    """Bytes that all stages of a run hand to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    kind = spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper")
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages, total = context.statusStore().store().view(kind).iterator(), 0
+        while stages.hasNext():
+            total += stages.next().info().shuffleWriteBytes()
+        return total
+
+    start = written()
+    run()
+    return written() - start
+
+
+def test_katz_moves_no_more_with_more_buckets(spark):
+    """With the input the buckets grow in number, not in size; what travels must not grow with their number."""
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(r.choices(vocabulary, [1 / (k + 10) for k in range(3000)], k=150)) for _ in range(600)]
+    docs = frame(spark, texts).repartition(2).cache()
+    docs.count()
+    few, many = (shuffled(spark, lambda: katz.katz_scores(docs, F.col("doc_id") % 7 != 2, size, 2000).collect()) for size in (50_000, 1_500))
+    docs.unpersist()
+    assert many < 1.5 * few, (few, many)
+
+
 # 10: exact top-k
 
 
