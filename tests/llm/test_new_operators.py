@@ -103,6 +103,26 @@ def test_a_hot_core_is_halved(spark):
     assert [found[k] for k in range(300)] == removed(texts)
 
 
+def test_no_task_gets_all_rows_of_a_frequent_core(spark):
+    """Rows of one core are joined in several tasks; before, all of them met in one."""
+    from pyspark.sql import functions as F
+
+    from contentlake.llm.common import Scratch
+
+    rows = spark.range(6000).selectExpr("if(id < 4000, 7, 1000 + id div 2) AS key", "if(id < 4000, id % 3, id div 2) AS piece", "id AS pos").unionByName(spark.sql("SELECT 5L AS key, 1L AS piece, -1L AS pos"))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # as on large tables
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        kept = suffix_dedup._recurring(rows, F.count("*"), Scratch(spark), "kept", 500)
+        tasks = kept.filter("key = 7").groupBy(F.input_file_name()).count().collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sum(t["count"] for t in tasks) == 4000 and max(t["count"] for t in tasks) < 3000
+    assert sorted((r["pos"], r["key"], r["same"]) for r in kept.collect()) == [(k, 7 if k < 4000 else 1000 + k // 2, k >= 4000) for k in range(6000)]
+
+
 def test_what_is_kept(spark):
     r = random.Random(7)
     passage = words(r, 80)
