@@ -38,7 +38,6 @@ from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -50,7 +49,7 @@ from contentlake.llm.components import components
 WORDS, PERCENT = 5, 75
 #: Share of the shingle domain on which own shingles are counted first.
 SHARE = 0.4
-#: Parts of a group and how many may differ; shingles of a bucket, and of a task before it hands them on.
+#: Parts of a group and how many may differ; numbers of a bucket, and shingles of a task before it hands them on.
 PARTS, DIFFER, BUCKET, FLUSH = 3, 1, 3_000_000, 400_000
 #: Bins of the last bound.
 BINS = 256
@@ -229,50 +228,84 @@ def profiles(cuts: DataFrame) -> DataFrame:
     return cuts.filter("ids IS NOT NULL").select("ids", "sizes", "classes").mapInArrow(unpack, "doc_id long, n long, cls long")
 
 
+def numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The bytes of all rows of a binary column, one after the other, as numbers; they aren't copied row by row."""
+    parts = []
+    for c in column.chunks:
+        _, offsets, held = c.buffers()
+        edge = np.frombuffer(offsets, np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else [0, 0]
+        parts.append(np.frombuffer(held, np.uint8)[edge[0] : edge[-1]].view(kind) if edge[-1] > edge[0] else np.zeros(0, kind))
+    return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, kind)])
+
+
+def sorted_keys(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's packed shingles, sorted; whose; where each different one begins, and how many rows it has."""
+    key, owner = numbers(group["keys"], np.uint64), np.repeat(numbers(group["who"], np.int64), numbers(group["runs"], np.int32))
+    order = np.argsort(key)
+    key = key[order]  # one after the other: each frees what it was sorted from
+    owner = owner[order]
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+    return key, owner, first, np.diff(first, append=len(key))
+
+
+def by_deal(owner: np.ndarray, deals: int) -> Iterator[tuple[int, np.ndarray]]:
+    return dealt((mixed(owner.view(np.uint64)) % np.uint64(deals)).astype(np.int32))
+
+
+def table(schema: str, *columns: list) -> pa.Table:
+    """Columns by Spark's names of their types."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: c if isinstance(c, pa.Array) else pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
+COUNTS, RARE = "deal int, who binary, counts binary", "deal int, who binary, keys binary, counts binary"
+
+
 def alone_in(shares: DataFrame, deals: int) -> DataFrame:
-    """(cls, alone): how many of the packed shingles no other class has."""
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        key = np.frombuffer(b"".join(group["keys"]), np.uint64)
-        owner = np.repeat(np.frombuffer(b"".join(group["who"]), np.int64), np.frombuffer(b"".join(group["runs"]), np.int32))
-        order = np.argsort(key)
-        key, owner = key[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    """(cls, alone): how many of the packed shingles no other class has.
+
+    A class with shingles of its own has a row in each bucket that holds one, so what is summed up grows with classes times
+    buckets as long as that is less than the shingles; ``deals`` is to follow it."""
+
+    def count(group: pa.Table) -> pa.Table:
+        _, owner, first, _ = sorted_keys(group)
         least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
         names, counts = np.unique(least[least == most], return_counts=True)
-        rows = [(to, names[at].tobytes(), counts[at].astype(np.int32).tobytes()) for to, at in dealt((mixed(names.view(np.uint64)) % np.uint64(deals)).astype(np.int64))]
-        return pd.DataFrame(rows, columns=["deal", "who", "counts"])
+        rows = [(to, names[at].tobytes(), counts[at].astype(np.int32).tobytes()) for to, at in by_deal(names, deals)]
+        return table(COUNTS, *zip(*rows, strict=True)) if rows else table(COUNTS, [], [], [])
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        names, place = np.unique(np.frombuffer(b"".join(group["who"]), np.int64), return_inverse=True)
-        counts = np.bincount(place, np.frombuffer(b"".join(group["counts"]), np.int32), len(names))
-        return pd.DataFrame({"cls": names, "alone": counts.astype(np.int64)})
+    def total(group: pa.Table) -> pa.Table:
+        names, counts = numbers(group["who"], np.int64), numbers(group["counts"], np.int32)
+        order = np.argsort(names)
+        names, counts = names[order], counts[order]
+        first = np.flatnonzero(np.diff(names, prepend=~names[:1]) != 0)
+        return table("cls long, alone long", names[first], np.add.reduceat(counts, first, dtype=np.int64))
 
-    found = shares.groupBy("bucket").applyInPandas(count, "deal int, who binary, counts binary")
-    return found.groupBy("deal").applyInPandas(total, "cls long, alone long")
+    found = shares.groupBy("bucket").applyInArrow(count, COUNTS)
+    return found.groupBy("deal").applyInArrow(total, "cls long, alone long")
 
 
 def rarity(shares: DataFrame, deals: int) -> DataFrame:
     """(cls, h): the shingles of a packed set that other classes have too, the rarest first."""
 
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        key = np.frombuffer(b"".join(group["keys"]), np.uint64)
-        owner = np.repeat(np.frombuffer(b"".join(group["who"]), np.int64), np.frombuffer(b"".join(group["runs"]), np.int32))
-        _, place, often = np.unique(key, return_inverse=True, return_counts=True)
-        often = often[place].astype(np.int32)
-        key, owner, often = key[often > 1], owner[often > 1], often[often > 1]
-        rows = [(to, owner[at].tobytes(), key[at].tobytes(), often[at].tobytes()) for to, at in dealt((mixed(owner.view(np.uint64)) % np.uint64(deals)).astype(np.int64))]
-        return pd.DataFrame(rows, columns=["deal", "who", "keys", "counts"])
-
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        owner, key, often = (np.frombuffer(b"".join(group[c]), t) for c, t in (("who", np.int64), ("keys", np.int64), ("counts", np.int32)))
+    def count(group: pa.Table) -> pa.Table:
+        key, owner, _, often = sorted_keys(group)
+        shared = np.repeat(often > 1, often)
+        key, owner, often = key[shared], owner[shared], np.repeat(often[often > 1], often[often > 1]).astype(np.int32)
+        rows = [(to, owner[at].tobytes(), key[at].tobytes(), often[at].tobytes()) for to, at in by_deal(owner, deals)]
+        return table(RARE, *zip(*rows, strict=True)) if rows else table(RARE, [], [], [], [])
+
+    def gather(group: pa.Table) -> pa.Table:
+        owner, key, often = (numbers(group[c], t) for c, t in (("who", np.int64), ("keys", np.int64), ("counts", np.int32)))
         order = np.lexsort((key, often, owner))
-        names, first = np.unique(owner[order], return_index=True)
-        return pd.DataFrame({"cls": names, "h": np.split(key[order], first[1:])})
+        owner, key = owner[order], key[order]
+        first = np.flatnonzero(np.diff(owner, prepend=~owner[:1]) != 0)
+        return pa.table({"cls": owner[first], "h": pa.ListArray.from_arrays(np.append(first, len(key)).astype(np.int32), key)})
 
-    found = shares.filter("bucket >= 0").groupBy("bucket").applyInPandas(count, "deal int, who binary, keys binary, counts binary")
+    found = shares.filter("bucket >= 0").groupBy("bucket").applyInArrow(count, RARE)
     found = found.unionByName(shares.filter("bucket < 0").select((-1 - F.col("bucket")).alias("deal"), "who", "keys", F.col("runs").alias("counts")))
-    return found.groupBy("deal").applyInPandas(gather, "cls long, h array<long>")
+    return found.groupBy("deal").applyInArrow(gather, "cls long, h array<long>")
 
 
 def linkable(classes: DataFrame, alone: DataFrame) -> DataFrame:
@@ -403,42 +436,46 @@ def members(sets: DataFrame, buckets: int, salts: int, flush: int = FLUSH) -> Da
     return sets.select("cls", own, "s").mapInArrow(enumerate_parts, MEMBERS)
 
 
-def led(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def led(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A bucket's signatures, shares and classes, sorted; where a signature begins, and which one each row has."""
-    sig, own, who = (np.frombuffer(b"".join(group[c]), t) for c, t in (("sigs", np.int64), ("own", np.int16), ("who", np.int64)))
+    sig, own, who = (numbers(group[c], t) for c, t in (("sigs", np.int64), ("own", np.int16), ("who", np.int64)))
     order = np.lexsort((who, own, sig))
     sig, own, who = sig[order], own[order], who[order]
     new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-    return sig, own, who, np.flatnonzero(new), np.cumsum(new) - 1
+    return sig, own, who, np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+
+
+PAIR, LOCAL = "lead long, cls long", "part int, sig long, own int, cls long"
 
 
-def pairs_of(lead: np.ndarray, who: np.ndarray) -> pd.DataFrame:
-    pair = np.unique(np.stack([lead, who], 1)[lead != who], axis=0)
-    return pd.DataFrame({"lead": pair[:, 0], "cls": pair[:, 1]})
+def pairs_of(lead: np.ndarray, who: np.ndarray) -> pa.Table:
+    two = lead != who
+    pair = np.unique(np.stack([lead[two], who[two]], 1), axis=0)
+    return table(PAIR, pair[:, 0], pair[:, 1])
 
 
 def leader_pairs(every: DataFrame, salts: int) -> DataFrame:
     """Pairs (lead, cls): each class of a bucket with the bucket's leader, each pair once."""
 
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
+    def whole(group: pa.Table) -> pa.Table:
         _, _, who, first, place = led(group)
         return pairs_of(who[first][place], who)
 
     if salts == 1:  # a task's classes are few enough for every signature
-        return every.groupBy("bucket").applyInPandas(whole, "lead long, cls long").distinct()
+        return every.groupBy("bucket").applyInArrow(whole, PAIR).distinct()
 
-    def local(group: pd.DataFrame) -> pd.DataFrame:
+    def local(group: pa.Table) -> pa.Table:
         sig, own, who, first, _ = led(group)
-        return pd.DataFrame({"part": group["bucket"].iloc[0] // salts, "sig": sig[first], "own": own[first], "cls": who[first]})
+        return table(LOCAL, np.full(len(first), group["bucket"][0].as_py() // salts), sig[first], own[first], who[first])
 
-    def joined(group: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+    def joined(group: pa.Table, leaders: pa.Table) -> pa.Table:
         sig, _, who, _, _ = led(group)
-        leaders = leaders.sort_values("sig")
+        leaders = leaders.sort_by("sig")
         return pairs_of(leaders["lead"].to_numpy()[np.searchsorted(leaders["sig"].to_numpy(), sig)], who) if len(sig) else pairs_of(who, who)
 
-    leaders = every.groupBy("bucket").applyInPandas(local, "part int, sig long, own int, cls long").groupBy("part", "sig").agg(F.min(F.struct("own", "cls"))["cls"].alias("lead"))
+    leaders = every.groupBy("bucket").applyInArrow(local, LOCAL).groupBy("part", "sig").agg(F.min(F.struct("own", "cls"))["cls"].alias("lead"))
     leaders = leaders.select(F.explode(F.sequence(F.col("part") * salts, F.col("part") * salts + salts - 1)).alias("bucket"), "sig", "lead")
-    return every.groupBy("bucket").cogroup(leaders.groupBy("bucket")).applyInPandas(joined, "lead long, cls long").distinct()
+    return every.groupBy("bucket").cogroup(leaders.groupBy("bucket")).applyInArrow(joined, PAIR).distinct()
 
 
 def measured(pairs: DataFrame, sets: DataFrame, a: str = "lead", b: str = "cls") -> DataFrame:
@@ -539,7 +576,8 @@ def labelled(facts: DataFrame, labels: DataFrame, node: str = "cls") -> DataFram
 
 
 def near_copies(docs: DataFrame, bucket: int = BUCKET, most: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row. A task holds about ``bucket`` shingles and ``most`` classes.
+    """doc_id, n_shingles and component_id of every row. A task holds about ``bucket`` numbers and ``most`` classes; a shingle,
+    a signature or a count comes with its class, so it is two.
 
     A component is named by its smallest id that isn't null; documents that all lack an id have a null one, linked or not.
     """
@@ -547,18 +585,21 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET, most: int = BROADCAST_ROW
     scratch = Scratch(docs.sparkSession)
     parts = lambda n: max(1, -(-int(n) // bucket))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cuts = scratch.save(cut(docs, parts(size * SHARE / 6)), "cuts")
-    slim = profiles(cuts)
+    buckets = parts(2 * size * SHARE / 6)
+    cuts = scratch.save(cut(docs, buckets), "cuts")
+    slim = scratch.save(profiles(cuts), "slim")
     classes = scratch.save(slim.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    deals = parts(classes.count())
+    deals = parts(2 * min(classes.count() * buckets, size * SHARE / 6))
     left = scratch.save(linkable(classes, alone_in(cuts.filter("bucket IS NOT NULL").select("bucket", "keys", "who", "runs"), deals)), "left")
+    scratch.drop(cuts)
     sets = scratch.save(sets_of(docs, left).dropDuplicates(["cls"]).withColumn("n", F.size("s")), "sets")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = sets.join(rarity(scratch.save(pack_sets(sets, parts(total), parts(total)), "shares"), parts(total)), "cls").withColumn("alone", F.col("n") - F.size("h"))
+    shares = scratch.save(pack_sets(sets, parts(2 * total), parts(2 * total)), "shares")
+    kept = sets.join(rarity(shares, parts(2 * total)), "cls").withColumn("alone", F.col("n") - F.size("h"))
     kept = scratch.save(kept.filter(few_alone()).select("cls", "alone", "s", "h"), "kept")
-    scratch.drop(sets)
+    scratch.drop(sets, shares)
     sets, held, salts = kept, kept.select("cls", F.col("h").alias("s")), max(1, -(-kept.count() // most))
-    every = members(sets, parts(2 * total), salts)
+    every = members(sets, parts(4 * total), salts)
     every = scratch.save(every, "members") if salts > 1 else every
     pairs = scratch.save(leader_pairs(every, salts), "pairs")
     facts = scratch.save(bins(sets), "facts")

@@ -126,6 +126,26 @@ def test_a_large_group_of_near_copies_and_shared_passages(spark):
         assert [tuple(x) for x in ngram_jaccard.near_copies(docs, most=most).orderBy("doc_id").collect()] == want
 
 
+def test_counts_of_own_shingles_are_dealt_by_their_number(spark, monkeypatch):
+    """A class has a count in each bucket that holds a shingle of its own: no task sums up many more counts than a bucket has
+    shingles, however many buckets there are."""
+    r, fresh = random.Random(9), (f"w{k}" for k in itertools.count())
+    texts = [" ".join(next(fresh) for _ in range(60)) for _ in range(300)]
+    texts += [" ".join(edited(r, t.split(), 0.01, fresh)) for t in texts[:20]]
+    seen, alone_in = [], ngram_jaccard.alone_in
+
+    def watched(shares, deals):
+        held = shares.select("bucket", "who").collect()
+        seen.append((len({(x["bucket"], c) for x in held for c in np.frombuffer(x["who"], np.int64).tolist()}), deals))
+        return alone_in(shares, deals)
+
+    monkeypatch.setattr(ngram_jaccard, "alone_in", watched)
+    got = ngram_jaccard.near_copies(frame(spark, texts).repartition(3), bucket=500).orderBy("doc_id").collect()
+    counts, deals = seen[0]
+    assert counts > 2 * 500 and counts / deals <= 500
+    assert [tuple(x) for x in got] == brute_components(texts)
+
+
 def test_near_copies_of_nothing_and_of_null_ids(spark):
     assert ngram_jaccard.near_copies(frame(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id long, text string")
