@@ -146,6 +146,16 @@ def test_counts_of_own_shingles_are_dealt_by_their_number(spark, monkeypatch):
     assert [tuple(x) for x in got] == brute_components(texts)
 
 
+def test_a_join_beyond_the_broadcast_limit(spark):
+    from contentlake.llm.common import spread_join
+
+    rows = spark.createDataFrame([(k % 3 or None, k) for k in range(200)], "k long, v long")
+    unique = spark.createDataFrame([(1, "x"), (5, "y")], "k long, s string")
+    for how, count in (("inner", 67), ("left", 200)):
+        salted, sent = (sorted(map(str, spread_join(rows, unique, "k", how, most).collect())) for most in (1, 2))
+        assert salted == sent and len(salted) == count
+
+
 def test_near_copies_of_nothing_and_of_null_ids(spark):
     assert ngram_jaccard.near_copies(frame(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id long, text string")
